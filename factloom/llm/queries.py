@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_quality
+from . import block_naming, host_quality, source_mix
 from .common import documents
 
 RULE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -16,9 +16,17 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(documents(spark, sf_dir)).select(*RULE_COLUMNS)
 
 
+def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_naming.deduplicate(documents(spark, sf_dir))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_host_quality,)}
+    return {f.__name__: f for f in (op1_host_quality, op3_block_naming, op7_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_host_quality": host_quality.ORACLE_SQL}
+    return {"op1_host_quality": host_quality.ORACLE_SQL, "op3_block_naming": block_naming.ORACLE_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, host_quality, source_mix
+from . import block_naming, host_quality, quality_classifier, simhash, source_mix
 from .common import documents
 
 RULE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -20,12 +20,20 @@ def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.deduplicate(documents(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_host_quality, op3_block_naming, op7_source_mix)}
+    return {f.__name__: f for f in (op1_host_quality, op3_block_naming, op4_simhash, op5_quality_classifier, op7_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

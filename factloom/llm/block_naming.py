@@ -40,15 +40,15 @@ def _first_names(docs: DataFrame, text: str, block_bytes: int, hash_bits: int) -
     blocks = _blocks(docs, text, block_bytes, hash_bits)
     places = stage(blocks.groupBy(*KEY, "at", "h").agg(F.count("*").alias("copies")), "places")
     names = stage(blocks.select("h", "block").distinct().sortWithinPartitions("block").select("h", F.monotonically_increasing_id().alias("name")), "names")
-    ranked = names.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("name")))
-    clashes = stage(ranked.filter("r = 2").select("h"), "clashes")
-    placed = places.withColumn("r", F.lit(1))
-    if not clashes.isEmpty():
-        # Any fixed match between the names and the distinct blocks of one hash will do: both are taken in order.
-        told_apart = blocks.join(clashes, "h", "left_semi")
-        order = told_apart.select("h", "block").distinct().withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("block")))
-        exact = told_apart.join(order, ["h", "block"]).groupBy(*KEY, "at", "h", "r").agg(F.count("*").alias("copies"))
-        placed = placed.join(clashes, "h", "left_anti").unionByName(exact)
+    clashes = stage(names.groupBy("h").count().filter("count > 1").select("h"), "clashes")
+    if clashes.isEmpty():
+        return places.join(names, "h").select(*KEY, "at", "copies", "name")
+    # Any fixed match between the names and the distinct blocks of one hash will do: both are taken in order.
+    told_apart = blocks.join(clashes, "h", "left_semi")
+    order = told_apart.select("h", "block").distinct().withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("block")))
+    exact = told_apart.join(order, ["h", "block"]).groupBy(*KEY, "at", "h", "r").agg(F.count("*").alias("copies"))
+    placed = places.join(clashes, "h", "left_anti").withColumn("r", F.lit(1)).unionByName(exact)
+    ranked = stage(names.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("name"))), "ranked")
     return placed.join(ranked, ["h", "r"]).select(*KEY, "at", "copies", "name")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, host_quality, quality_classifier, simhash, source_mix
+from . import block_naming, host_quality, quality_classifier, simhash, source_mix, token_files
 from .common import documents
 
 RULE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -32,8 +32,12 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_host_quality, op3_block_naming, op4_simhash, op5_quality_classifier, op7_source_mix)}
+    return {f.__name__: f for f in (op1_host_quality, op3_block_naming, op4_simhash, op5_quality_classifier, op7_source_mix, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

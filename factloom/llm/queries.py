@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, host_quality, quality_classifier, simhash, source_mix, token_files
+from . import block_naming, bpe_reuse, host_quality, quality_classifier, simhash, source_mix, token_files
 from .common import documents
 
 RULE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -16,6 +16,10 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(documents(spark, sf_dir)).select(*RULE_COLUMNS)
 
 
+def op2_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_reuse.token_digests(documents(spark, sf_dir))
+
+
 def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.deduplicate(documents(spark, sf_dir))
 
@@ -37,7 +41,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_host_quality, op3_block_naming, op4_simhash, op5_quality_classifier, op7_source_mix, op8_token_files)}
+    return {f.__name__: f for f in (op1_host_quality, op2_bpe_reuse, op3_block_naming, op4_simhash, op5_quality_classifier, op7_source_mix, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, bpe_reuse, host_quality, quality_classifier, simhash, source_mix, token_files
+from . import block_naming, bpe_reuse, host_quality, lattice_lm, quality_classifier, simhash, source_mix, token_files
 from .common import documents
 
 RULE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -32,6 +32,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(documents(spark, sf_dir))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,7 +45,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_host_quality, op2_bpe_reuse, op3_block_naming, op4_simhash, op5_quality_classifier, op7_source_mix, op8_token_files)}
+    return {f.__name__: f for f in (op1_host_quality, op2_bpe_reuse, op3_block_naming, op4_simhash, op5_quality_classifier, op6_lattice_lm, op7_source_mix, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

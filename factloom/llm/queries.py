@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, bpe_reuse, host_quality, lattice_lm, pii, quality_classifier, simhash, source_mix, token_files
+from . import block_naming, bpe_reuse, host_quality, lattice_lm, pii, quality_classifier, repeated_passages, simhash, source_mix, token_files
 from .common import documents
 
 RULE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -44,12 +44,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(documents(spark, sf_dir))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.repeat_digests(documents(spark, sf_dir))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_host_quality, op2_bpe_reuse, op3_block_naming, op4_simhash, op5_quality_classifier, op6_lattice_lm, op7_source_mix, op8_token_files, op10_pii)}
+    return {f.__name__: f for f in (op1_host_quality, op2_bpe_reuse, op3_block_naming, op4_simhash, op5_quality_classifier, op6_lattice_lm, op7_source_mix, op8_token_files, op9_repeated_passages, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,17 +1,57 @@
-"""The corpus pipeline; its stages are filled in as the operators arrive."""
+"""The corpus pipeline: from raw documents to the token ids of a deduplicated, weighted mix."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm.common import documents
+from factloom.llm import block_naming, bpe_reuse, quality_classifier, simhash, source_mix
+from factloom.llm.common import documents, stage
 
-STAGES: list = []
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    return block_naming.unique_documents(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their fingerprints the one with the smallest id stays."""
+    return simhash.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per draw of the mix; a document that is cut at its source's quota gets its new length."""
+    mixed = source_mix.mixed_documents(docs).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return mixed
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
+    return bpe_reuse.token_digests(docs)
+
+
+STAGES = [
+    ("quality_classifier", classify_quality),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("bpe", encode),
+]
+
+#: SQL can express neither the classifier nor the fingerprints.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; each result is written and read again."""
     docs = documents(spark, sf_dir)
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
-    return docs
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

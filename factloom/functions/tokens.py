@@ -60,6 +60,15 @@ def _prefixed(prefix: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.concat(F.lit(prefix + ":"), v))
 
 
+def _date_token(pattern: str, months: Column, year: int, month: int, day: int):
+    def token(match: Column) -> Column:
+        part = lambda n: F.regexp_extract(match, pattern, n)
+        number = F.coalesce(months[part(month)], F.lpad(part(month), 2, "0"))
+        return F.concat(F.lit("date:"), part(year), F.lit("-"), number, F.lit("-"), F.lpad(part(day), 2, "0"))
+
+    return token
+
+
 def assertion_tokens(col: Column, compose: bool = True) -> Column:
     """The sorted distinct tokens of a statement."""
     text = F.lower(nfkc(col) if compose else col)
@@ -76,9 +85,7 @@ def assertion_tokens(col: Column, compose: bool = True) -> Column:
     found.append(_prefixed("magnitude", _all(text, f"{B0}(?:{MAGNITUDES}){B1}")))
     rest = text
     for pattern, (year, month, day) in _DATES:
-        group = lambda m, n, p=pattern: F.regexp_extract(m, p, n)
-        number = lambda m, n=month, g=group: F.coalesce(months[g(m, n)], F.lpad(g(m, n), 2, "0"))
-        found.append(F.transform(_all(text, pattern), lambda m, g=group, y=year, d=day, n=number: F.concat(F.lit("date:"), g(m, y), F.lit("-"), n(m), F.lit("-"), F.lpad(g(m, d), 2, "0"))))
+        found.append(F.transform(_all(text, pattern), _date_token(pattern, months, year, month, day)))
         rest = F.regexp_replace(rest, pattern, _BLANK)
 
     def clock(m: Column) -> Column:

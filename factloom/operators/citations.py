@@ -77,10 +77,12 @@ def verify_citations(candidates: DataFrame, pages: DataFrame, repair: bool = Tru
     return candidates.join(located, "candidate_id", "left").withColumn("method", F.coalesce("_method", F.lit("manual_required"))).withColumn("verified", F.col("page").isNotNull()).drop("_method")
 
 
-def _shingles(col: Column) -> Column:
-    words = F.filter(F.split(col, r"\s+"), lambda w: w != "")
-    count = F.greatest(F.size(words) - SHINGLE + 1, F.lit(0))
-    return F.transform(F.filter(F.sequence(F.lit(0), count), lambda i: i < count), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i + 1, F.lit(SHINGLE)))))
+def _with_shingles(rows: DataFrame, col: Column) -> DataFrame:
+    """Adds ``_shingles``, the hashes of the runs of SHINGLE words; the words are made once, in a step of their own."""
+    words = rows.select("*", F.explode(F.array(F.filter(F.split(col, r"\s+"), lambda w: w != ""))).alias("_words"))
+    last = F.size("_words") - SHINGLE
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return words.withColumn("_shingles", F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice("_words", i + 1, F.lit(SHINGLE)))))).drop("_words")
 
 
 def locate_quotes(quotes: DataFrame, pages: DataFrame, quote_id: str, page_id: str) -> DataFrame:
@@ -89,9 +91,9 @@ def locate_quotes(quotes: DataFrame, pages: DataFrame, quote_id: str, page_id: s
     A page that contains a quote has the quote's shingles from its second word to its last but one, so the
     join is on the first of these; quotes too short for that are compared with all pages in a join of their own.
     """
-    first = F.try_element_at(_shingles(F.regexp_replace(F.regexp_extract(F.col("text"), r"(?s)^\s*\S+\s+(.*)\s\S+\s*$", 1), r"\s+", " ")), F.lit(1))
-    keyed = quotes.select(quote_id, F.col("text").alias("_quote"), first.alias("_key"))
-    sides = pages.select(page_id, F.col("text").alias("_text"), F.explode(F.array_distinct(_shingles(F.col("text")))).alias("_key"))
+    inner = F.regexp_extract("_quote", r"(?s)^\s*\S+\s+(.*)\s\S+\s*$", 1)
+    keyed = _with_shingles(quotes.select(quote_id, F.col("text").alias("_quote")), inner).select(quote_id, "_quote", F.try_element_at("_shingles", F.lit(1)).alias("_key"))
+    sides = _with_shingles(pages.select(page_id, F.col("text").alias("_text")), F.col("_text")).select(page_id, "_text", F.explode(F.array_distinct("_shingles")).alias("_key"))
     long = keyed.filter("_key IS NOT NULL").join(sides, "_key").filter(F.contains("_text", "_quote")).select(quote_id, page_id).distinct()
     short = keyed.filter("_key IS NULL").join(pages.select(page_id, F.col("text").alias("_text")), F.contains("_text", "_quote")).select(quote_id, page_id)
     return long.unionByName(short)

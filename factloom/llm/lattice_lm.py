@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, stage, utf8
+from .encoding import tokenizer_path
 from .quality_classifier import fold
-from .token_files import tokenizer_path
 
 FOLDS = 10
 SMOOTHING = 0.1

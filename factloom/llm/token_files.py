@@ -14,76 +14,48 @@ than a segment is one segment.
 
 from __future__ import annotations
 
-import os
-import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import map_batches, shared_dir
+from .encoding import tokenizer_path, unit_encoder
 
 END_ID = 1
 BLOCK = 4096
 SEGMENT = 1 << 18
 PERCENTILES = (50, 75, 90, 95, 98, 100)
-#: Partitions of about this many characters are sorted and written by a task each.
-PARTITION_CHARS = 24_000_000
-MEMO_SIZE = 250_000
 
 SEGMENTS = "part int, segment long, first long, ids long, blocks binary, block_at array<int>, doc_id array<bigint>, doc_tokens array<bigint>"
 
 # Layout of a block: ids u32, smallest u32, width u32, exceptions u32; packed bits, padded to bytes; places of exceptions u32, their values u32.
 _HEAD = 4
+_BITS16 = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-class WordEncoder:
-    """Encodes texts by their words: this tokenizer's pieces never cross a space or a newline, so words that recur are encoded once."""
-
-    _SPLIT = re.compile(r"[^ \n]+")
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [self._SPLIT.findall(t or "") for t in texts]
-        new = list({w for words in split for w in words if w not in self.memo})
-        if len(self.memo) + len(new) > MEMO_SIZE:
-            self.memo.clear()
-            new = list({w for words in split for w in words})
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[word] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
+def _bits_needed(values: np.ndarray) -> np.ndarray:
+    return _BITS16[values] if int(values.max()) < 1 << 16 else np.frexp(values.astype(np.float64))[1]
 
 
 def pack(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     rest = (ids - np.uint32(low)).astype("<u4")
-    needed = np.sort(np.frexp(rest.astype(np.float64))[1])
+    below = np.cumsum(np.bincount(_bits_needed(rest), minlength=33))  # ids that need so many bits at most
     sizes = {}
     for p in PERCENTILES:
-        width = int(needed[(len(needed) - 1) * p // 100])
-        sizes[width] = (len(ids) * width + 7) // 8 + 8 * (len(needed) - int(np.searchsorted(needed, width, "right")))
+        width = int(np.searchsorted(below, (len(ids) - 1) * p // 100, "right"))
+        sizes[width] = (len(ids) * width + 7) // 8 + 8 * (len(ids) - int(below[width]))
     width = min(sizes, key=lambda w: (sizes[w], w))
     out = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    word = 2 if width <= 16 else 4
+    bits = np.unpackbits(rest.astype(f"<u{word}").view(np.uint8).reshape(-1, word), axis=1, bitorder="little")[:, :width]
     head = np.array([len(ids), low, width, len(out)], dtype="<u4")
     return b"".join((head.tobytes(), np.packbits(bits, bitorder="little").tobytes(), out.astype("<u4").tobytes(), rest[out].tobytes()))
 
@@ -92,9 +64,10 @@ def unpack(block: bytes | memoryview) -> np.ndarray:
     n, low, width, n_out = np.frombuffer(block, "<u4", _HEAD).tolist()
     packed = (n * width + 7) // 8
     bits = np.unpackbits(np.frombuffer(block, np.uint8, packed, 4 * _HEAD), count=n * width, bitorder="little")
-    full = np.zeros((n, 32), dtype=np.uint8)
+    word = 2 if width <= 16 else 4
+    full = np.zeros((n, 8 * word), dtype=np.uint8)
     full[:, :width] = bits.reshape(n, width)
-    ids = np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
+    ids = np.packbits(full, axis=1, bitorder="little").view(f"<u{word}").ravel().astype("<u4")
     if n_out:
         at, values = np.frombuffer(block, "<u4", 2 * n_out, 4 * _HEAD + packed).reshape(2, n_out)
         ids[at] = values
@@ -108,14 +81,12 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, list[int]]:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text", end_id: int = END_ID) -> None:
     """Encodes the documents, appends the end id to each, and writes them in ascending order of doc_id."""
-    size = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    parts = max(1, -(-size // PARTITION_CHARS))
-    ordered = docs.select("doc_id", F.col(text).alias("_text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "_text")
+    ordered = docs.select("doc_id", F.col(text).alias("_text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
     end = np.array([end_id], dtype="<u4").tobytes()
     target = to_arrow_schema(StructType.fromDDL(SEGMENTS))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = unit_encoder(tokenizer, False), TaskContext.get().partitionId()
         segment = first = pending = 0
         ids, names, counts = [], [], []
 
@@ -127,7 +98,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256).to_pydict()
-                for doc_id, got in zip(some["doc_id"], encoder(some["_text"])):
+                for doc_id, got in zip(some["doc_id"], encoder([t or "" for t in some["_text"]])):
                     ids += (got, end)
                     names.append(doc_id)
                     counts.append(len(got) // 4 + 1)
@@ -141,8 +112,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     ordered.mapInArrow(encode, SEGMENTS).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and the ids (little-endian unsigned 32-bit) of every document in the files."""
+def read_tokens(spark: SparkSession, path: str, *wanted: Column) -> DataFrame:
+    """doc_id, start, n_tokens and, of every document in the files, what is wanted of its ids (little-endian unsigned 32-bit)."""
     files = spark.read.schema(SEGMENTS).parquet(path)
     # One row per partition of the files: its ids, and those of all before it.
     before = files.groupBy("part").agg(F.sum("ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
@@ -156,16 +127,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield {"part": [part] * len(names), "first": (starts[:-1] + first).tolist(), "doc_id": names, "n_tokens": counts, "ids": [ids[4 * a : 4 * b] for a, b in zip(starts, starts[1:])]}
 
     docs = map_batches(files.select("part", "first", "blocks", "block_at", "doc_id", "doc_tokens"), decode, "part int, first bigint, doc_id bigint, n_tokens bigint, ids binary", rows=4)
-    return docs.join(before, "part").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids")
+    kept = docs.select("part", "first", "doc_id", "n_tokens", *(wanted or ("ids",)))
+    return kept.join(before, "part").withColumn("start", F.col("before") + F.col("first")).drop("part", "before", "first")
 
 
 def token_digests(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None = None) -> DataFrame:
     """Writes the documents' token files, reads them back: doc_id, start, n_tokens and the crc32 of the ids."""
-    import uuid
-
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer_path(name))
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, path, F.crc32("ids").alias("ids_crc32"))
 
 

@@ -16,7 +16,6 @@ without any place to cut is one chunk. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, stage, utf8
-from .token_files import tokenizer_path
+from .encoding import tokenizer_path, unit_encoder
 
 #: Chunks have about 2 ** CUT_BITS bytes beyond the least.
 CUT_BITS = 10
@@ -64,20 +63,16 @@ class Encoder:
     """A byte-level tokenizer with the byte lengths of its ids, and the repair of joins."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.units = unit_encoder(path, True)
+        self.tokenizer = self.units.tokenizer
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for piece, at in vocabulary.items():
             self.lengths[at] = len(piece)  # each character of a piece stands for a byte
+        self.decimal = [str(i) for i in range(len(self.lengths))]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in got]
+        return [np.frombuffer(ids, "<u4") for ids in self.units([t.decode("utf-8", "surrogatepass") for t in texts])]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
@@ -239,7 +234,7 @@ def token_ids(docs: DataFrame, name: str = "byte_bpe_50k.json", text: str = "tex
 
 
 def _digests(encoder: Encoder, ids: np.ndarray) -> tuple[int, str, str]:
-    decimal = ",".join(map(str, ids.tolist()))
+    decimal = ",".join(map(encoder.decimal.__getitem__, ids.tolist()))
     return len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
 
 

@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per draw of the mix; a document that is cut at its source's quota gets its new length."""
-    mixed = source_mix.mixed_documents(docs).select(*docs.columns)
+    mixed = source_mix.mixed_documents(docs).drop("_shard", "_order")
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed

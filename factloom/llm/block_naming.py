@@ -79,10 +79,10 @@ def deduplicate(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
 def unique_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
     stay = deduplicate(docs, text).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "group_size")
-    keyed = docs.withColumn("_digest", F.sha2(_normalised(F.col(text)), 256))
+    keyed = docs.select(F.struct("*").alias("_doc"), "doc_id", F.sha2(_normalised(F.col(text)), 256).alias("_digest"))
     joined = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_digest"] == stay["_sha"]))
     alone, copied = joined.filter("group_size = 1"), joined.filter("group_size > 1").dropDuplicates(["_id", "_sha"])
-    return alone.unionByName(copied).select(*docs.columns)
+    return alone.unionByName(copied).select("_doc.*")
 
 
 ORACLE_SQL = """

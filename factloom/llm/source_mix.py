@@ -144,13 +144,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row per draw, in shards and shuffled within them. A document cut at a word keeps its first words, joined by spaces."""
-    rows = sized(docs)
+    """The mix itself: _shard and _order, then the documents' columns; a row per draw, in shards and shuffled within them. A document cut at a word keeps its first words, joined by spaces."""
+    rows = sized(docs.select("doc_id", "source", "text", F.struct("*").alias("_doc")))
     plan = plan_mix(stage(rows.select("doc_id", "_source", "_size", "_place", "_block", "_cell"), "sizes"), **options)
     drawn = draw(rows, plan).withColumn("_draw", F.explode("draws"))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_draw.words").cast("int")), " ")
     text = F.when(F.col("_draw.words") < F.col("_size"), first).otherwise(F.col("text"))
-    return drawn.withColumn("text", text).select(*docs.columns, F.col("_draw.shard").alias("_shard"), F.col("_draw.order").alias("_order"))
+    return drawn.select(F.col("_draw.shard").alias("_shard"), F.col("_draw.order").alias("_order"), F.col("_doc").withField("text", text).alias("_doc")).select("_shard", "_order", "_doc.*")
 
 
 def shuffled_shards(docs: DataFrame, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import structural
+from . import literals, structural
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(structural.QUERIES)
+    return structural.QUERIES | literals.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(structural.SQL)
+    return structural.SQL | literals.SQL

@@ -144,7 +144,7 @@ Q_QA = """
 WITH q AS (SELECT DISTINCT concat_ws('-', conv_id, turn) AS question_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(left(lower(text), 200)), '[^a-z0-9]+'), lambda t: length(t) >= 3))) AS w FROM conversations WHERE role = 'user'),
 u AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 3))) AS w FROM documents),
 s AS (SELECT question_id, doc_id, count(*) AS overlap FROM q JOIN u USING (w) GROUP BY ALL)
-SELECT question_id, doc_id AS ord, overlap, round(overlap * 1.2, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, doc_id) = 1"""
+SELECT question_id, doc_id AS ord, overlap, round(overlap * CAST(1.2 AS DOUBLE), 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, doc_id) = 1"""
 
 
 def q_question_limit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,19 @@ def piece_counts(counts: DataFrame, path: str) -> dict[int, int]:
     return {r["piece"]: r["n"] for r in rows}
 
 
+def _most_frequent(rated: DataFrame) -> DataFrame:
+    """The words that occur at least so often that there are TOP of them at most; the bound comes from counts by magnitude, a few hundred rows."""
+    short = rated.filter((F.length("word") <= TOP_CHARS) & (F.col("c") > 0))
+    step = F.floor(F.log2("c") * 16)
+    least, held = inf, 0
+    for row in sorted(short.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect(), key=lambda r: -r["step"]):
+        held += row["n"]
+        if held > TOP:
+            break
+        least = row["least"]
+    return short.filter(F.col("c") >= F.lit(least))
+
+
 def score(docs: DataFrame, name: str = "piece_bpe_32k.model", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10), one row per document."""
     spark, path = docs.sparkSession, tokenizer_path(name)
@@ -146,7 +159,7 @@ def score(docs: DataFrame, name: str = "piece_bpe_32k.model", text: str = "text"
             yield {"word": batch["word"], "c": batch["c"], "lp": [lattice(w) / _LOG10 for w in batch["word"]]}
 
     rated = stage(map_batches(counts, rate, "word string, c bigint, lp double"), "rated")
-    top = rated.filter(F.length("word") <= TOP_CHARS).orderBy(F.desc("c"), "word").limit(TOP).collect()
+    top = _most_frequent(rated).collect()
     base = lambda c: (log(c + SMOOTHING) - divisor) / _LOG10
     shared = spark.sparkContext.broadcast({r["word"].encode("utf-8", "surrogatepass"): (r["c"] > 0, base(r["c"]), r["lp"]) for r in top})
     end = (int(ends > 0), base(ends), _lattice(path, pieces, ends)[1] / _LOG10)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.functions import tokens as K
-from factloom.operators import answers, citations, coverage, extract, facts, packages, pages
+from factloom.operators import anchors, answers, citations, coverage, extract, facts, packages, pages
 from factloom.sources.tables import FACTS
 
 ASSERTIONS = [
@@ -201,7 +201,64 @@ def q_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([r[:2] for r in POLARITY], "id string, text string").select("id", T.polarity_text(F.col("text")).alias("plain"))
 
 
-QUERIES = {f.__name__: f for f in (q_assertion_tokens, q_token_support, q_fact_statuses, q_fact_conflicts, q_fact_groups, q_channel_resolution, q_channel_mentions, q_relation_checks, q_answers, q_package_completeness, q_eval_pivot, q_page_line_sections, q_quote_verification, q_mandatory_requirements, q_polarity)}
+COVER = """RETURN BIDS TO:
+Bid Receiving
+REQUEST FOR PROPOSAL
+Proposal To: Department of Works
+and Services
+We hereby offer to sell
+Title: Bridge  Repair Works
+Solicitation No.: EZ-123/A Date: 2026-01-05"""
+SUMMARY = """1.1 Introduction
+Text before.
+1.2 Summary
+The Department needs a contractor for the repair of the northern bridge.
+Page 2 of 9
+The work includes supply of steel and all site services for one year. It may change later on in this year.
+The security requirements are listed elsewhere in this document here.
+2 Other matters
+The work is not part of the summary anymore in this place."""
+CRITERIA = """Mandatory criteria
+M1 The Bidder must hold a valid licence for bridge work. Further notes.
+M2 The bidder shall propose up to three (3) resources and provide detailed resumes for each resource named.
+M1 The Bidder must repeat nothing."""
+RULES_PAGE = """4.1 Basis of Selection
+4.1.1 Mandatory
+A bid must comply with the requirements of the bid solicitation and meet all mandatory technical evaluation criteria to be declared responsive. The responsive bid with the lowest evaluated price will be recommended for award of a contract.
+4.2 Next"""
+SECURITY_PAGE = """6.1 Security Requirements
+1. At the date of closing, the following applies:
+The Bidder must hold a valid organization security clearance as
+indicated in Part 7.
+6.2 Other
+The Contractor personnel on site must each hold a valid reliability status granted before.
+The security requirements check list, attached at Annex C, applies. ANNEX "D" - SECURITY REQUIREMENTS CHECK LIST"""
+PAGES = [("p", "d", "base", None, i, t) for i, t in enumerate((COVER, SUMMARY, CRITERIA, RULES_PAGE, SECURITY_PAGE), 1)]
+PAGES += [("q", "e", "base", None, 1, COVER), ("q", "f", "amendment", "001", 1, RULES_PAGE + "\n" + SECURITY_PAGE)]
+ANCHORS = [
+    ("p", 2, "overview", "The Department needs a contractor for the repair of the northern bridge.", "1.2 Summary"),
+    ("p", 2, "scope", "The work includes supply of steel and all site services for one year.", "1.2 Summary"),
+    ("p", 1, "title", "Bridge Repair Works", "Cover - Title"),
+    ("p", 1, "solicitation_number", "EZ-123/A", "Cover - Solicitation No."),
+    ("p", 1, "issuer", "Department of Works and Services", "Cover - Proposal To"),
+    ("p", 4, "mandatory_gate", "true", "4.1.1"),
+    ("p", 4, "selection_method", "Lowest evaluated price", "4.1.1"),
+    ("p", 3, "mandatory", "The Bidder must hold a valid licence for bridge work.", "M1"),
+    ("p", 3, "mandatory", "The bidder shall propose up to three (3) resources and provide detailed resumes for each", "M2"),
+    ("p", 5, "organization-clearance", "The Bidder must hold a valid organization security clearance as indicated in Part 7.", "6.1"),
+    ("p", 5, "checklist_annex", "Annex C", "Security Requirements Checklist"),
+    ("p", 5, "checklist_annex", "Annex D", "Security Requirements Checklist"),
+    ("q", 1, "checklist_annex", "Annex C", "Security Requirements Checklist"),
+    ("q", 1, "checklist_annex", "Annex D", "Security Requirements Checklist"),
+]
+
+
+def q_source_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(PAGES, "package_id string, document_sha256 string, role string, amendment_number string, page int, text string")
+    return anchors.anchors(rows).select("package_id", "page", "kind", "value", "section")
+
+
+QUERIES = {f.__name__: f for f in (q_assertion_tokens, q_token_support, q_fact_statuses, q_fact_conflicts, q_fact_groups, q_channel_resolution, q_channel_mentions, q_relation_checks, q_answers, q_package_completeness, q_eval_pivot, q_page_line_sections, q_quote_verification, q_mandatory_requirements, q_polarity, q_source_anchors)}
 
 SQL = {
     "q_assertion_tokens": _values("id, tokens", [(i, " ".join(t)) for i, _, t in ASSERTIONS]),
@@ -218,5 +275,6 @@ SQL = {
     "q_page_line_sections": _values("document, line, section", [("d", 1, "1.1"), ("d", 2, "1.1"), ("d", 3, "2.3"), ("d", 4, "2.3"), ("e", 1, None)]),
     "q_quote_verification": _values("candidate_id, page, method", VERIFIED),
     "q_mandatory_requirements": _values("n, quote", [(1, "The Bidder must hold a clearance."), (2, "Work shall start in May of that year!"), (3, "Reports are required monthly:")]),
+    "q_source_anchors": _values("package_id, page, kind, value, section", ANCHORS),
     "q_polarity": _values("id, plain", [(r[0], r[2]) for r in POLARITY]),
 }

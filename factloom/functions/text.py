@@ -55,7 +55,7 @@ def without_controls(col: Column, most: int = 500_000) -> Column:
 
 
 # Words that do not tell one statement from another.
-STOP_WORDS = "all and are been being but for from had has have into its may must not only shall should that the their this was were will with would".split()
+STOP_WORDS = "a an and are as at be been by for from has have in is it of on or that the this to was were will with".split()
 TOPIC_STOP_WORDS = "a an and as at by clause controlling current for from in of original required requirement rule the to value".split()
 TOPIC_SYNONYMS = {"deadline": "closing", "timestamp": "date", "due": "closing", "initial": "first", "term": "period", "ending": "end", "ends": "end"}
 

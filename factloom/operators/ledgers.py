@@ -163,5 +163,6 @@ def token_cost(tokens_in: Column, tokens_out: Column) -> Column:
 
 def redacted(key: Column, value: Column, longest: int = 500, kept: int = 120) -> Column:
     """A log value without secrets, and cut if it is long."""
-    secret = key.rlike(r"(?i)token|secret|password|authorization|cookie|api[_-]?key|signature")
-    return F.when(secret, "[REDACTED]").when(F.length(value) > longest, F.substring(value, 1, kept)).otherwise(value)
+    secret = key.rlike(r"(?i)authorization|cookie|token|secret|signed|source_url|upload_url|raw|markdown|pdf")
+    cut = F.concat(F.substring(value, 1, kept), F.lit("…[REDACTED "), (F.length(value) - kept).cast("string"), F.lit(" chars]"))
+    return F.when(secret, "[REDACTED]").when(F.length(value) > longest, cut).otherwise(value)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import predicates as C
+from factloom.functions import support as P
 from factloom.functions import text as T
 from factloom.functions import tokens as K
-from factloom.operators import anchors, answers, citations, coverage, extract, facts, packages, pages
+from factloom.operators import anchors, answers, citations, coverage, estimates, extract, facts, packages, pages
 from factloom.sources.tables import FACTS
 
 ASSERTIONS = [
@@ -155,7 +157,7 @@ def q_package_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.completeness(spark.createDataFrame(MANIFESTS, "package_id string, role string, amendment_number string, solicitation_number string"))
 
 
-RULES = [("a", "technical_weight", "Technical merit is worth 70% and price 30 percent of the score."), ("a", "financial_weight", "Technical merit is worth 70% and price 30 percent of the score."), ("a", "technical_threshold", "A minimum of 50 out of 94 points is required."), ("b", "technical_weight", "Technical: 60%. Technical: 65%."), ("b", "technical_threshold", "Score 35/50")]
+RULES = [("a", "technical_weight", "Technical merit is worth 70% and price 30 percent of the score."), ("a", "financial_weight", "Technical merit is worth 70% and price 30 percent of the score."), ("a", "rated_threshold", "A minimum of 50 out of 94 points is required."), ("b", "technical_weight", "Technical: 60%. Technical: 65%."), ("b", "rated_threshold", "Score 35/50")]
 
 
 def q_eval_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +260,72 @@ def q_source_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.anchors(rows).select("package_id", "page", "kind", "value", "section")
 
 
-QUERIES = {f.__name__: f for f in (q_assertion_tokens, q_token_support, q_fact_statuses, q_fact_conflicts, q_fact_groups, q_channel_resolution, q_channel_mentions, q_relation_checks, q_answers, q_package_completeness, q_eval_pivot, q_page_line_sections, q_quote_verification, q_mandatory_requirements, q_polarity, q_source_anchors)}
+PROSE = [
+    ("verbatim", "The contract starts in May", "The contract starts in May. Other text", True),
+    ("words", "contractor supplies steel", "The contractor also supplies structural steel", True),
+    ("negated", "contractor supplies steel", "The contractor does not supply steel", False),
+    ("tentative", "contractor supplies steel", "The contractor may supply steel", False),
+    ("left out", "price is firm", "The price is firm at 30 percent", False),
+    ("other words", "Fake contract title", "The title is real contract", False),
+    ("compared", "cost exceeds estimate", "The estimate exceeds cost", False),
+    ("both negative", "bids will not be late", "bids won't be late", True),
+]
+
+
+def q_prose_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([r[:3] for r in PROSE], "id string, assertion string, quote string")
+    spans = rows.select("id", "assertion", F.explode(P.evidence_spans(F.col("quote"))).alias("span"))
+    return spans.groupBy("id").agg(F.bool_or(P.span_supports(F.col("assertion"), F.col("span"))).alias("supported"))
+
+
+ADDRESSES = [("8.8.8.8", True), ("10.1.2.3", False), ("192.0.2.77", False), ("172.32.0.1", True), ("256.1.1.1", False), ("01.2.3.4", False), ("2001:4860:4860::8888", True), ("2001:db8::1", False), ("fe80::1", False), ("::ffff:8.8.8.8", False), ("host", False), (None, False)]
+
+
+def q_public_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(ADDRESSES, "address string, expected boolean").select("address", C.public_address(F.col("address")).alias("public"))
+
+
+URLS = [("https://files.example.org/a.pdf", True), ("http://files.example.org/a.pdf", False), ("https://u:p@files.example.org/a", False), ("https://files.example.org:443/a", True), ("https://files.example.org:8443/a", False), ("https://other.example.org/", False), ("not a url", False)]
+
+
+def q_allowed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(URLS, "url string, expected boolean").select("url", C.allowed_url(F.col("url"), "files.example.org").alias("allowed"))
+
+
+HEADINGS = [("a", "Solicitation No.: EZ899-24/B Amendment No. 2", "002", "EZ899-24/B"), ("b", "Revision 12 of the tender", "012", None), ("c", "no number", None, None)]
+
+
+def q_heading_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([r[:2] for r in HEADINGS], "id string, heading string")
+    return rows.select("id", C.amendment_in(F.col("heading")).alias("amendment"), C.solicitation_in(F.col("heading")).alias("solicitation"))
+
+
+BEATS = [("fresh", "2026-01-01 00:00:00", 100, 45000, "fresh"), ("old", "2025-12-31 23:40:00", 100, 45000, "stale"), ("ahead", "2026-01-01 00:10:00", 100, 45000, "stale"), ("slow", "2026-01-01 00:00:00", 46000, 45000, "stale"), ("none", None, None, None, "missing")]
+
+
+def q_heartbeat_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([r[:4] for r in BEATS], "id string, at string, duration int, budget int")
+    status = C.heartbeat_status(F.col("at").cast("timestamp"), F.col("duration"), F.col("budget"), F.lit("2026-01-01 00:05:00"))
+    return rows.select("id", status.alias("status"))
+
+
+METHOD_TEXTS = [("a", "lowest evaluated total price", "lowest_evaluated_price"), ("b", "the lowest price", "lowest_price"), ("c", "best value and highest score", None), ("d", "Highest  Combined Rating", "highest_combined_rating"), ("e", "none", None)]
+
+
+def q_selection_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([r[:2] for r in METHOD_TEXTS], "id string, text string").select("id", P.selection_method(F.col("text")).alias("method"))
+
+
+#: The published estimates for one document without a bucket and five with one; they add up to 876,121 and 894,623.
+PLATFORM = [("platform", "compute", 736251), ("platform", "events", 25000), ("platform", "data_written", 40960), ("platform", "data_retained", 10923), ("platform", "queue", 12000)]
+ESTIMATES = [("r1", *r) for r in [*PLATFORM, ("database", "postgres", 50987)]] + [("r5", *r) for r in [*PLATFORM, ("database", "postgres", 69487), ("bucket", "storage", 2)]]
+
+
+def q_infrastructure_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estimates.infrastructure_costs(spark.createDataFrame([("r1", 1, 1.0, 24, False), ("r5", 5, 1.0, 24, True)], "run_id string, documents int, database_units double, ttl_hours int, bucket boolean"))
+
+
+QUERIES = {f.__name__: f for f in (q_assertion_tokens, q_token_support, q_fact_statuses, q_fact_conflicts, q_fact_groups, q_channel_resolution, q_channel_mentions, q_relation_checks, q_answers, q_package_completeness, q_eval_pivot, q_page_line_sections, q_quote_verification, q_mandatory_requirements, q_polarity, q_source_anchors, q_prose_support, q_public_addresses, q_allowed_urls, q_heading_numbers, q_heartbeat_status, q_selection_methods, q_infrastructure_costs)}
 
 SQL = {
     "q_assertion_tokens": _values("id, tokens", [(i, " ".join(t)) for i, _, t in ASSERTIONS]),
@@ -271,10 +338,17 @@ SQL = {
     "q_relation_checks": _values("id, reason", [(r[0], r[9]) for r in CHECKED]),
     "q_answers": _values("package_id, question_id, answerability, answer", ANSWERS),
     "q_package_completeness": _values("package_id, completeness", [("whole", "unverified"), ("gap", "incomplete"), ("twice", "incomplete"), ("other", "incomplete"), ("bare", "incomplete"), ("alone", "unverified")]),
-    "q_eval_pivot": _values("package_id, mandatory_gate, technical_threshold, technical_weight, financial_weight, selection_method", [("a", None, "50.0", "70.0", "30.0", None), ("b", None, "35.0", None, None, None)]),
+    "q_eval_pivot": _values("package_id, mandatory_gate, rated_threshold, technical_weight, financial_weight, selection_method", [("a", None, "50.0", "70.0", "30.0", None), ("b", None, "35.0", None, None, None)]),
     "q_page_line_sections": _values("document, line, section", [("d", 1, "1.1"), ("d", 2, "1.1"), ("d", 3, "2.3"), ("d", 4, "2.3"), ("e", 1, None)]),
     "q_quote_verification": _values("candidate_id, page, method", VERIFIED),
     "q_mandatory_requirements": _values("n, quote", [(1, "The Bidder must hold a clearance."), (2, "Work shall start in May of that year!"), (3, "Reports are required monthly:")]),
     "q_source_anchors": _values("package_id, page, kind, value, section", ANCHORS),
+    "q_prose_support": _values("id, supported", [(r[0], r[3]) for r in PROSE]),
+    "q_public_addresses": _values("address, public", ADDRESSES),
+    "q_allowed_urls": _values("url, allowed", URLS),
+    "q_heading_numbers": _values("id, amendment, solicitation", [(r[0], r[2], r[3]) for r in HEADINGS]),
+    "q_heartbeat_status": _values("id, status", [(r[0], r[4]) for r in BEATS]),
+    "q_selection_methods": _values("id, method", [(r[0], r[2]) for r in METHOD_TEXTS]),
+    "q_infrastructure_costs": _values("run_id, provider, operation, estimated_micro_usd", ESTIMATES),
     "q_polarity": _values("id, plain", [(r[0], r[2]) for r in POLARITY]),
 }

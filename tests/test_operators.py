@@ -96,8 +96,8 @@ def test_settlement_never_lowers_or_exceeds(spark):
 
 
 def test_costs_and_redaction(spark):
-    row = spark.range(1).select(ledgers.token_cost(F.lit(3787), F.lit(1985)).alias("cost"), ledgers.micro(F.lit(1.2345678)).alias("micro"), ledgers.redacted(F.lit("Api_Key"), F.lit("x")).alias("secret"), F.length(ledgers.redacted(F.lit("note"), F.lit("y" * 600))).alias("cut")).first()
-    assert (row["cost"], row["micro"], row["secret"], row["cut"]) == (11773, 1234568, "[REDACTED]", 120)
+    row = spark.range(1).select(ledgers.token_cost(F.lit(3787), F.lit(1985)).alias("cost"), ledgers.micro(F.lit(1.2345678)).alias("micro"), ledgers.redacted(F.lit("Auth_Token"), F.lit("x")).alias("secret"), F.length(ledgers.redacted(F.lit("note"), F.lit("y" * 600))).alias("cut")).first()
+    assert (row["cost"], row["micro"], row["secret"], row["cut"]) == (11773, 1234568, "[REDACTED]", 141)
 
 
 def test_closed_world_and_controls(spark):

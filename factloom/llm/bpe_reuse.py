@@ -195,6 +195,7 @@ def encode(docs: DataFrame, finish: Callable[[Encoder, np.ndarray], tuple], colu
                 chunks.update({_digest(c): c for c in (data[start[at] : start[at + 1]] for at in wanted)})
             ids = encoder.encode(list(chunks.values()))
             yield {"h1": [h[0] for h in chunks], "h2": [h[1] for h in chunks], "ids": [i.tobytes() for i in ids]}
+        encoder.units.forget()
 
     def assemble(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         encoder = Encoder(tokenizer)
@@ -220,6 +221,7 @@ def encode(docs: DataFrame, finish: Callable[[Encoder, np.ndarray], tuple], colu
                 piece[2] = ids
             rows = [finish(encoder, encoder.join(data, [tuple(p) for p in pieces])) for data, pieces in jobs]
             yield {"doc_id": batch["doc_id"]} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
+        encoder.units.forget()
 
     owned = mine.filter("own").groupBy(*_ROW).agg(F.collect_set("at").alias("owned"))
     # Both joins read the same columns in the same way, so that the texts' exchange is made once and used twice.

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import string
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.staging import shared_dir, stage
+
+__all__ = ["WORD", "WORDS", "ascii_lower", "bounded_batches", "documents", "map_batches", "release_memory", "shared_dir", "stage", "utf8"]
+
 #: A word is a run of anything but space and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
@@ -30,23 +35,24 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or "file:///tmp/checkpoints/factloom").rstrip("/")
+def release_memory() -> None:
+    """Gives memory that a task has freed back to the system, as idle workers stay for the tasks to come."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a result into the shared folder and reads it back, which cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be long, so Arrow batches get fewer rows than Spark's default, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, rows: int = 2048) -> DataFrame:
     """Runs ``fn`` over column dictionaries of at most ``rows`` rows each, in Arrow batches."""
     target = None
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slices() -> Iterator[dict[str, list]]:
@@ -54,9 +60,12 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterato
                 for at in range(0, batch.num_rows, rows):
                     yield batch.slice(at, rows).to_pydict()
 
-        for out in fn(slices()):
-            if out and len(next(iter(out.values()))):
-                yield pa.RecordBatch.from_pydict(out, schema=target)
+        try:
+            for out in fn(slices()):
+                if out and len(next(iter(out.values()))):
+                    yield pa.RecordBatch.from_pydict(out, schema=target)
+        finally:
+            release_memory()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -13,8 +13,9 @@ import sys
 from array import array
 from functools import lru_cache
 
-#: A worker remembers about this many units, in two generations; the older goes when the newer is full.
-MEMO_SIZE = 250_000
+#: A task remembers about this many units, in two generations; the older goes when the newer is full. Units with their
+#: spaces belong to jobs that hold more besides.
+MEMO_SIZE = {False: 250_000, True: 100_000}
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: Visible ASCII, Latin letters (but not the one that lower-cases to two characters), space and newline: after any of the visible ones, a space or newline starts a new piece.
 _CERTAIN = re.compile(rf"[ \n!-~{_LATIN}]*")
@@ -44,6 +45,22 @@ def _packed(ids: list[int]) -> bytes:
     return values.tobytes()
 
 
+class _Memo(dict):
+    """Ids by unit, made when they are first asked for, in two generations."""
+
+    def __init__(self, learn, size: int):
+        self.learn, self.size, self.older = learn, size, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        if (got := self.older.get(unit)) is None:
+            got = self.learn(unit)
+        self[unit] = got
+        return got
+
+
 class UnitEncoder:
     def __init__(self, path: str, spaces: bool):
         """``spaces``: the tokenizer keeps white space and case; else it drops the one and lowers the other."""
@@ -55,51 +72,31 @@ class UnitEncoder:
         self.tokenizer.no_padding()
         self.units = _SPACED.findall if spaces else lambda text: text.lower().split()
         self.spaces = spaces
-        self.plain, self.symbols, self.model = _PLAIN[spaces].fullmatch, _byte_symbols(), self.tokenizer.model
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, units: set[str]) -> None:
-        if len(self.memo) + len(units) > MEMO_SIZE:
-            self.older, self.memo = self.memo, {}
-        memo, older, new, whole = self.memo, self.older, {}, {}
-        for unit in units:
-            if (got := older.get(unit)) is not None:
-                memo[unit] = got
-            elif not self.spaces and (m := _MARKED.fullmatch(unit)):
-                whole[unit] = m.groups()
-                new.update(dict.fromkeys(x for x in m.groups() if x not in memo))
-            else:
-                new[unit] = None
-        merge, symbols, rest = self.model.tokenize, self.symbols, []
-        for unit in new:
-            if self.plain(unit):
-                memo[unit] = _packed([piece.id for piece in merge(unit.encode().decode("latin-1").translate(symbols))])
-            else:
-                rest.append(unit)
-        for unit, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            memo[unit] = _packed(got.ids)
-        for unit, (stem, marks) in whole.items():
-            memo[unit] = memo[stem] + memo[marks]
+        self.plain, self.symbols, self.merge = _PLAIN[spaces].fullmatch, _byte_symbols(), self.tokenizer.model.tokenize
+        self.memo = _Memo(self._learn, MEMO_SIZE[spaces])
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn(self, unit: str) -> bytes:
+        if self.plain(unit):
+            return _packed([piece.id for piece in self.merge(unit.encode().decode("latin-1").translate(self.symbols))])
+        if not self.spaces and (parts := _MARKED.fullmatch(unit)):
+            return self.memo[parts[1]] + self.memo[parts[2]]
+        return self._whole(unit)
+
+    def forget(self) -> None:
+        """What one task has met helps the next but little, and an idle worker should hold little."""
+        self.memo.clear()
+        self.memo.older = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            if not _CERTAIN.fullmatch(text):
-                out.append(_packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
-                continue
-            units = self.units(text)
-            if new := set(units).difference(self.memo):
-                self._learn(new)
-            try:
-                out.append(b"".join(map(self.memo.__getitem__, units)))
-            except KeyError:  # a new generation has begun within this text
-                out.append(b"".join([self.memo.get(u) or self.older[u] for u in units]))
-        return out
+        of = self.memo.__getitem__
+        return [b"".join(map(of, self.units(t))) if _CERTAIN.fullmatch(t) else self._whole(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
 def unit_encoder(path: str, spaces: bool) -> UnitEncoder:
-    """One encoder for each worker process; tasks that it runs one after another share what it remembers."""
+    """One encoder for each worker process, for the tasks that it runs one after another."""
     return UnitEncoder(path, spaces)

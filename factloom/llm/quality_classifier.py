@@ -3,7 +3,7 @@
 A text's features are its words and pairs of words, in two views: as they are (A-Z lower-cased) and by shape
 (case, digits and marks, and whether a word repeats the one before it). Each is hashed into 2 ** BITS places
 with log counts, scaled to length one per view. Training reads a bounded sample of labelled documents: the
-SAMPLE with the smallest seeded hash of their id, repeated in further passes where there are fewer. A score
+SAMPLE at most with the smallest seeded hashes of their ids, repeated in further passes where there are fewer. A score
 is the logistic of a sparse dot product with the weights.
 
 Defined cases: a null or empty text has the bias feature only. Rows of labels without an id or a label are
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS
+from .common import WORDS, bounded_batches, release_memory
 
 BITS = 18
 #: The bound on the labelled documents that training reads.
@@ -33,7 +33,7 @@ FOLDS = 5
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MEMO_SIZE = 200_000
+_MEMO_SIZE = 100_000
 
 
 def _shape(word: str) -> str:
@@ -94,11 +94,24 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))
 
 
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """The rows with the smallest hashes (column _order), ``most`` at most: as many of 2 ** 12 classes of hashes as fit whole."""
+    step = F.shiftrightunsigned(F.col("_order"), 52)
+    held, last = 0, -1
+    for row in sorted(rows.groupBy(step.alias("step")).count().collect(), key=lambda r: r["step"]):
+        held += row["count"]
+        if held > most:
+            break
+        last = row["step"]
+    return rows.filter(step <= last)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", bits: int = BITS, sample: int = SAMPLE, held_out: bool = True) -> np.ndarray:
     """The weights. One task makes the updates in order; what it reads is bounded by ``sample`` rows in all passes together."""
+    bounded_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col(label).cast("int").alias("_label")).filter("doc_id IS NOT NULL AND _label IS NOT NULL")
     usable = usable.filter(fold(F.col("doc_id"), FOLDS) != 0) if held_out else usable
-    chosen = usable.withColumn("_order", F.xxhash64(F.lit(5), "doc_id")).orderBy("_order", "doc_id", "_label").limit(sample)
+    chosen = _bounded(usable.withColumn("_order", F.xxhash64(F.lit(5), "doc_id")), sample)
     rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id")
     passes = min(PASSES, max(1, sample // max(1, chosen.count())))
     again = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.lit(passes)))).withColumn("_order", F.xxhash64("_pass", "_order"))
@@ -110,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
                 leader.learn(*features(body), int(y))
         weights = leader.weights(slice(None)).astype(np.float32)
         kept = np.flatnonzero(weights)
+        del features
         yield pd.DataFrame({"places": [kept.astype(np.int32).tobytes()], "weights": [weights[kept].tobytes()]})
 
     model = again.select("_text", "_label", "_pass", "_order").repartition(1).sortWithinPartitions("_pass", "_order", "_label", "_text").select("_text", "_label").mapInPandas(fit, "places binary, weights binary").collect()
@@ -121,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", bits: int = BITS) -> Column:
     """A column with the score of each text; the weights are of a fixed size, 2 ** bits floats."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
@@ -129,6 +144,8 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", bits: int =
         for part in parts:
             sums = np.array([known[p] @ v for p, v in map(features, part)], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
+        del features
+        release_memory()
 
     return scored(F.col(text))
 

@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import bounded_batches, stage, utf8
 
 SHINGLE = 3
 LIMIT = 2
@@ -56,6 +56,7 @@ def _prints(texts: pd.Series) -> pd.Series:
 
 
 def fingerprints(text: Column) -> Column:
+    bounded_batches(SparkSession.active())
     return F.pandas_udf(_prints, "long", F.PandasUDFType.SCALAR)(text)
 
 
@@ -204,7 +205,7 @@ def one_of_each(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> Data
     """The document with the smallest id of each component, with all its columns; one row if several repeat that id."""
     near = near_duplicates(docs, text, limit).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = near.groupBy(F.col("doc_id").alias("_id"), "component_id").agg(F.min("fp").alias("_fp"), F.count("*").alias("_rows"))
-    keyed = docs.withColumn("_print", fingerprints(F.col(text)))
+    keyed = docs.select(F.struct("*").alias("_doc"), "doc_id", fingerprints(F.col(text)).alias("_print"))
     joined = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_print"] == stay["_fp"]))
     alone, repeated = joined.filter("_rows = 1"), joined.filter("_rows > 1").dropDuplicates(["_id", "_fp"])
-    return alone.unionByName(repeated).select(*docs.columns)
+    return alone.unionByName(repeated).select("_doc.*")

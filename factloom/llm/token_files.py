@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import map_batches, shared_dir
+from .common import map_batches, release_memory, shared_dir
 from .encoding import tokenizer_path, unit_encoder
 
 END_ID = 1
@@ -108,6 +108,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
                         segment, first, pending, ids, names, counts = segment + 1, first + pending, 0, [], [], []
         if names:
             yield close()
+        encoder.forget()
+        release_memory()
 
     ordered.mapInArrow(encode, SEGMENTS).write.parquet(path)
 

@@ -23,7 +23,7 @@ def invented(seed, n, most=25):
 
 @pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_units_encode_like_whole_texts(monkeypatch, name, spaces):
-    monkeypatch.setattr(encoding, "MEMO_SIZE", 200)
+    monkeypatch.setattr(encoding, "MEMO_SIZE", {True: 200, False: 200})
     plain, encoder = tokenizer(name), encoding.UnitEncoder(public_tokenizers.path(name), spaces)
     texts = invented(1, 4000)
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]

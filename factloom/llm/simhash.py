@@ -192,19 +192,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """One row per document: doc_id, fp (signed), fingerprint (hexadecimal) and component_id."""
+    """One row per document: doc_id, fp (signed), root (the component's smallest fp), fingerprint (hexadecimal) and component_id."""
     rows = stage(docs.select("doc_id", fingerprints(F.col(text)).alias("fp")), "prints")
     prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(prints, limit))
     placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """The document with the smallest id of each component, with all its columns; one row if several repeat that id."""
     near = near_duplicates(docs, text, limit).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = near.groupBy(F.col("doc_id").alias("_id"), "component_id").agg(F.min("fp").alias("_fp"), F.count("*").alias("_rows"))
+    stay = near.groupBy(F.col("doc_id").alias("_id"), "root").agg(F.min("fp").alias("_fp"), F.count("*").alias("_rows"))
     keyed = docs.select(F.struct("*").alias("_doc"), "doc_id", fingerprints(F.col(text)).alias("_print"))
     joined = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_print"] == stay["_fp"]))
     alone, repeated = joined.filter("_rows = 1"), joined.filter("_rows > 1").dropDuplicates(["_id", "_fp"])

@@ -27,8 +27,12 @@ def nfkc(col: Column) -> Column:
     return F.pandas_udf(_nfkc, "string", F.PandasUDFType.SCALAR)(col)
 
 
+#: The same characters as in SPACE, one by one.
+SPACES = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def display_text(col: Column) -> Column:
@@ -38,8 +42,9 @@ def display_text(col: Column) -> Column:
 
 def normalised(col: Column, compose: bool = True) -> Column:
     """The form in which evidence is compared. ``compose=False`` leaves out NFKC, for text known to be in that form."""
-    col = F.regexp_replace(nfkc(col) if compose else col, INVISIBLE, "")
-    return F.lower(display_text(F.translate(col, DASHES + QUOTES, "-" * len(DASHES) + PLAIN_QUOTES)))
+    col = nfkc(col) if compose else col
+    plain = F.translate(F.regexp_replace(col, INVISIBLE, ""), DASHES + QUOTES, "-" * len(DASHES) + PLAIN_QUOTES)
+    return F.lower(display_text(F.when(F.length(col) == F.octet_length(col), col).otherwise(plain)))
 
 
 def polarity_text(col: Column, compose: bool = True) -> Column:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -124,6 +125,11 @@ class Encoder:
         return kept, rest
 
 
+@lru_cache(maxsize=2)
+def cached_encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def _is_safe(data: bytes, at: int) -> bool:
     """No piece of this tokenizer crosses from a visible ASCII character to a space or newline, whatever stands around them."""
     return data[at] in b" \n" and 0x21 <= data[at - 1] <= 0x7E
@@ -184,7 +190,7 @@ def encode(docs: DataFrame, finish: Callable[[Encoder, np.ndarray], tuple], colu
     unpack = lambda body: zstandard.ZstdDecompressor().decompress(body)
 
     def encode_owned(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        encoder = Encoder(tokenizer)
+        encoder = cached_encoder(tokenizer)
         for batch in batches:
             chunks = {}
             for body, wanted in zip(batch["body"], batch["owned"]):
@@ -198,7 +204,7 @@ def encode(docs: DataFrame, finish: Callable[[Encoder, np.ndarray], tuple], colu
         encoder.units.forget()
 
     def assemble(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        encoder = Encoder(tokenizer)
+        encoder = cached_encoder(tokenizer)
         names = [c.split()[0] for c in columns.split(", ")]
         for batch in batches:
             jobs, fresh = [], []

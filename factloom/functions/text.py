@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space of the source language, and what evidence normalisation folds.
-SPACE = r"[\s   -     　﻿]"
-INVISIBLE = r"[­​-‍﻿]"
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+INVISIBLE = r"[\u00ad\u200b-\u200d\ufeff]"
 DASHES = "‐‑‒–—―"
 QUOTES = "“”‘’"
 PLAIN_QUOTES = "\"\"''"

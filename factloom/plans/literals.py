@@ -9,7 +9,7 @@ from factloom.functions import predicates as C
 from factloom.functions import support as P
 from factloom.functions import text as T
 from factloom.functions import tokens as K
-from factloom.operators import anchors, answers, citations, coverage, estimates, extract, facts, packages, pages
+from factloom.operators import anchors, answers, citations, coverage, estimates, extract, facts, materialize, packages, pages
 from factloom.sources.tables import FACTS
 
 ASSERTIONS = [
@@ -325,7 +325,42 @@ def q_infrastructure_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimates.infrastructure_costs(spark.createDataFrame([("r1", 1, 1.0, 24, False), ("r5", 5, 1.0, 24, True)], "run_id string, documents int, database_units double, ttl_hours int, bucket boolean"))
 
 
-QUERIES = {f.__name__: f for f in (q_assertion_tokens, q_token_support, q_fact_statuses, q_fact_conflicts, q_fact_groups, q_channel_resolution, q_channel_mentions, q_relation_checks, q_answers, q_package_completeness, q_eval_pivot, q_page_line_sections, q_quote_verification, q_mandatory_requirements, q_polarity, q_source_anchors, q_prose_support, q_public_addresses, q_allowed_urls, q_heading_numbers, q_heartbeat_status, q_selection_methods, q_infrastructure_costs)}
+DRAFT_PAGES = [("d", 1, "The bidder must provide a signed form by 2026-05-01. The contract value is at most 500 CAD."), ("d", 2, "Work may start in June. The mandatory requirements are listed in annex B."), ("d", 3, "Nothing here.")]
+#: id, kind, text, category, document, quotes, why it does not stand
+DRAFTS = [
+    ("good", "claim", "The contract value is at most 500 CAD", None, "d", ["The contract value is at most 500 CAD."], None),
+    ("must", "requirement", "The bidder must provide a signed form", "mandatory", "d", ["The bidder must provide a signed form by 2026-05-01."], "unsupported_statement"),
+    ("dated", "requirement", "The bidder must provide a signed form by 2026-05-01", "mandatory", "d", ["The bidder must provide a signed form by 2026-05-01."], None),
+    ("altered", "claim", "The contract value is at most 600 CAD", None, "d", ["The contract value is at most 500 CAD."], "unsupported_value"),
+    ("firm", "claim", "Work starts in June", None, "d", ["Work may start in June."], "unsupported_statement"),
+    ("pointer", "requirement", "The mandatory requirements are listed in annex B", "mandatory", "d", ["The mandatory requirements are listed in annex B."], "unsupported_mandatory"),
+    ("lost", "claim", "Work may start in June", None, "d", ["Work may begin in June."], "unverified_citation"),
+    ("bare", "claim", "Work may start in June", None, "d", [], "no_citation"),
+    ("stranger", "claim", "Work may start in June", None, "x", ["Work may start in June."], "unknown_document"),
+    ("twice", "claim", "Work may start in June", None, "d", ["Work may start in June."], "duplicate_id"),
+    ("twice", "claim", "The contract value is at most 500 CAD", None, "d", [], "duplicate_id"),
+]
+
+
+def judged_drafts(spark: SparkSession) -> DataFrame:
+    pages_ = spark.createDataFrame(DRAFT_PAGES, "document_sha256 string, page int, text string")
+    records_ = spark.createDataFrame([("p", k, i, t, c, d) for i, k, t, c, d, _, _ in DRAFTS], "package_id string, kind string, id string, text string, category string, document_sha256 string")
+    quotes = spark.createDataFrame([("p", k, i, n, d, q) for i, k, _, _, d, qs, _ in DRAFTS for n, q in enumerate(qs)], "package_id string, kind string, id string, ordinal int, document_sha256 string, evidence_quote string")
+    manifests = spark.createDataFrame([("p", "d")], "package_id string, document_sha256 string")
+    return materialize.judged_records(records_, materialize.verified_citations(quotes, pages_), manifests)
+
+
+def q_judged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_drafts(spark).select("id", "text", "reason", "status")
+
+
+def q_package_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = spark.createDataFrame([("p", 3)], "package_id string, pages_total int")
+    fields = spark.createDataFrame([("p", 2)], "package_id string, fields int")
+    return materialize.package_quality(judged_drafts(spark), totals, fields)
+
+
+QUERIES = {f.__name__: f for f in (q_assertion_tokens, q_token_support, q_fact_statuses, q_fact_conflicts, q_fact_groups, q_channel_resolution, q_channel_mentions, q_relation_checks, q_answers, q_package_completeness, q_eval_pivot, q_page_line_sections, q_quote_verification, q_mandatory_requirements, q_polarity, q_source_anchors, q_prose_support, q_public_addresses, q_allowed_urls, q_heading_numbers, q_heartbeat_status, q_selection_methods, q_infrastructure_costs, q_judged_records, q_package_quality)}
 
 SQL = {
     "q_assertion_tokens": _values("id, tokens", [(i, " ".join(t)) for i, _, t in ASSERTIONS]),
@@ -350,5 +385,7 @@ SQL = {
     "q_heartbeat_status": _values("id, status", [(r[0], r[4]) for r in BEATS]),
     "q_selection_methods": _values("id, method", [(r[0], r[2]) for r in METHOD_TEXTS]),
     "q_infrastructure_costs": _values("run_id, provider, operation, estimated_micro_usd", ESTIMATES),
+    "q_judged_records": _values("id, text, reason, status", [(r[0], r[2], r[6], "needs_review" if r[6] else "active") for r in DRAFTS]),
+    "q_package_quality": _values('package_id, active, "open", verified_citations, covered_pages, pages_total, readiness', [("p", 2, 9, 2, 1, 3, "needs_clarification")]),
     "q_polarity": _values("id, plain", [(r[0], r[2]) for r in POLARITY]),
 }

@@ -102,5 +102,6 @@ def test_one_of_each_keeps_one_row(make_docs, edge_rows):
     out = simhash.one_of_each(docs)
     near = simhash.near_duplicates(docs).collect()
     assert out.columns == docs.columns
-    assert out.count() == len({r["component_id"] for r in near})
+    # Two components may have the same smallest id where ids repeat, so components are counted by brute force.
+    assert out.count() == len(set(brute_components([int(r["fingerprint"], 16) for r in near])))
     assert simhash.near_duplicates(make_docs([])).count() == 0

@@ -1,6 +1,7 @@
 """Folds, splits, order independence and cases that must be withheld."""
 
 import itertools
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 from factloom.operators import citations, ledgers, pages, records
 from factloom.plans import literals
-from factloom.sources import tables
+from factloom.sources import staging, tables
 from factloom.streaming import leases
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -135,3 +136,12 @@ def test_streamed_leases_equal_the_batch_twin(spark, tmp_path):
     batch = ledgers.leases(events, "user_id", "ts", lease)
     wanted = {r["user_id"]: (r["fence"], r["beats"]) for r in batch.groupBy("user_id").agg(F.max_by(F.struct("fence", "beats"), "fence").alias("s")).select("user_id", "s.*").collect()}
     assert found == wanted
+
+
+def test_staged_tables_can_be_dropped(spark):
+    staging.drop_staged(spark)
+    table = staging.stage(spark.range(5), "numbers")
+    assert table.count() == 5
+    path = table.inputFiles()[0]
+    assert staging.drop_staged(spark) == 1 and staging.drop_staged(spark) == 0
+    assert not os.path.exists(path.removeprefix("file://"))

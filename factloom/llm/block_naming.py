@@ -71,7 +71,8 @@ def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYT
 def deduplicate(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept and text_sha256."""
     named = identities(docs, text, block_bytes, hash_bits)
-    groups = named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Written first, so that the join reads both sides as they are dealt and a large group can be split.
+    groups = stage(named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     rows = named.join(groups, ["n_blocks", "name"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256")
 

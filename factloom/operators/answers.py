@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from factloom.functions.text import leaves_closed_world, question_tokens
 
 # Weights by kind of unit, and the score from which an answer is complete.
 WEIGHTS = {"claim": 1.2, "requirement": 1.4, "risk": 1.1, "conflict": 1.5}
 ANSWERED = 2.4
+#: Most questions and units, on average, that meet in one task, and the share of its units from which a word is frequent.
+CELL_QUESTIONS, CELL_UNITS, DENSE = 65_536, 8_192, 32
 
 
 def answer_units(units: DataFrame) -> DataFrame:
@@ -20,15 +27,72 @@ def answer_units(units: DataFrame) -> DataFrame:
     return units.filter(active & open_ & F.col("has_verified_citation")).withColumn("weight", weights[F.col("kind")])
 
 
+def _best_in_cell(key: tuple, questions: pa.Table, units: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The best unit of a cell for each question of the cell; words that many units have are added as rows of flags, the others by their lists of units."""
+    units = units.take(pc.sort_indices(units, sort_keys=[("ord", "ascending")], null_placement="at_end"))
+    n = units.num_rows
+    asked, told = questions["words"].combine_chunks(), units["words"].combine_chunks()
+    words, ids = np.unique(asked.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    if not n or not len(words):
+        return schema.empty_table()
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False))])
+    flat = told.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(n), pc.list_value_length(told).to_numpy(zero_copy_only=False))
+    at = np.searchsorted(words, flat).clip(max=len(words) - 1)
+    known = words[at] == flat
+    at, owner = at[known], owner[known]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    starts = np.searchsorted(at, np.arange(len(words) + 1))
+    many = np.flatnonzero(np.diff(starts) > n // DENSE)
+    row = np.full(len(words), -1)
+    row[many] = np.arange(len(many))
+    flags = np.zeros((len(many), n), np.int16)
+    for i, w in enumerate(many):
+        flags[i, owner[starts[w] : starts[w + 1]]] = 1
+    weights = units["weight"].to_numpy()
+    plain = (weights == weights[0]).all()
+    found, best, overlaps, scores = [], [], [], []
+    for q in range(questions.num_rows):
+        mine = ids[bounds[q] : bounds[q + 1]]
+        dense = row[mine]
+        lists = [owner[starts[w] : starts[w + 1]] for w in mine[dense < 0]]
+        counts = flags[dense[dense >= 0]].sum(axis=0, dtype=np.int16)
+        if lists:
+            counts = counts + np.bincount(np.concatenate(lists), minlength=n)
+        top = int(np.argmax(counts if plain else counts * weights))
+        if counts[top]:
+            found.append(q)
+            best.append(top)
+            overlaps.append(int(counts[top]))
+            scores.append(float(counts[top] * weights[top]))
+    left = questions.take(pa.array(found, pa.int64()))
+    columns = [*(left[c] for c in schema.names[:2]), units["ord"].take(pa.array(best, pa.int64())), pa.array(overlaps, pa.int64()), pa.array(scores, pa.float64())]
+    return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _dealt(df: DataFrame, package: str, identity: str, number: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the number of a part of their package, and the packages that have more than one part."""
+    parts = df.groupBy(package).agg(F.ceil(F.count("*") / most).cast("int").alias("n")).filter("n > 1").withColumnRenamed("n", f"{number}_n")
+    large = F.coalesce(f"{number}_n", F.lit(1))
+    return df.join(F.broadcast(parts), package, "left").withColumn(number, F.pmod(F.xxhash64(identity, "words"), large).cast("int")).drop(f"{number}_n"), parts
+
+
 def best_units(questions: DataFrame, units: DataFrame, package: str = "package_id", compose: bool = True) -> DataFrame:
     """Each question's best unit: question_id, ord, overlap and score. Questions that share no word with a unit are left out.
 
-    Questions and units meet on their words, each distinct word once, so no pair without a shared word is made.
+    Every question meets every unit of its package, in cells of some of the questions and some of the units, so that a large
+    package is many tasks and a frequent word costs no rows. Words are held by their 64-bit hashes.
     """
-    asked = questions.select(package, "question_id", F.explode(question_tokens(F.col("question"), compose)).alias("word"))
-    told = units.select(package, "ord", "weight", F.explode(question_tokens(F.col("text"), compose)).alias("word"))
-    scores = asked.join(told, [package, "word"]).groupBy(package, "question_id", "ord", "weight").agg(F.count("*").alias("overlap"))
-    scored = scores.withColumn("score", F.col("overlap") * F.col("weight"))
+    hashed = lambda c: F.transform(question_tokens(F.col(c), compose), lambda w: F.xxhash64(w))
+    asked, asked_parts = _dealt(questions.select(package, "question_id", hashed("question").alias("words")).filter(F.size("words") > 0), package, "question_id", "part", CELL_QUESTIONS)
+    told, told_parts = _dealt(units.select(package, "ord", F.col("weight").cast("double").alias("weight"), hashed("text").alias("words")).filter((F.size("words") > 0) & F.col("weight").isNotNull()), package, "ord", "block", CELL_UNITS)
+    to_all = lambda df, parts, number: df.join(F.broadcast(parts), package, "left").withColumn(number, F.explode(F.sequence(F.lit(0), F.coalesce(f"{number}_n", F.lit(1)) - 1))).drop(f"{number}_n")
+    cell = [package, "part", "block"]
+    schema = StructType([*(questions.schema[c] for c in (package, "question_id")), units.schema["ord"], *StructType.fromDDL("overlap bigint, score double")])
+    target = to_arrow_schema(schema)
+    meet = lambda key, left, right: _best_in_cell(key, left, right, target)
+    scored = to_all(asked, told_parts, "block").groupBy(*cell).cogroup(to_all(told, asked_parts, "part").groupBy(*cell)).applyInArrow(meet, schema)
     best = F.max_by(F.struct("ord", "overlap", "score"), F.struct("score", -F.col("ord")))
     return scored.groupBy(package, "question_id").agg(best.alias("best")).select(package, "question_id", "best.*")
 

@@ -132,22 +132,18 @@ def q_local_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q_LOCAL_EXTRACT = f"WITH {CHUNKS_SQL} SELECT document_sha256, min(ordinal) AS ordinal, arg_min(q, ordinal) AS quote FROM (SELECT document_sha256, ordinal, {SENTENCES_SQL}[1] AS q FROM chunks) WHERE q IS NOT NULL GROUP BY 1"
 
 
-QA_PACKAGES = 100
-
-
 def q_qa_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns asked of documents; both are dealt to packages by id, as a question belongs to one package."""
-    package = lambda c: (F.col(c) % QA_PACKAGES).alias("package_id")
+    """User turns asked of all documents: the whole corpus is one package."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    questions = turns.select(package("conv_id"), F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.substring(F.lower("text"), 1, 200).alias("question"))
-    units = table(spark, sf_dir, "documents").select(package("doc_id"), F.col("doc_id").alias("ord"), F.lower("text").alias("text"), F.lit(1.2).alias("weight"))
+    questions = turns.select(F.lit("corpus").alias("package_id"), F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.lower("text").alias("question"))
+    units = table(spark, sf_dir, "documents").select(F.lit("corpus").alias("package_id"), F.col("doc_id").alias("ord"), F.lower("text").alias("text"), F.lit(1.2).alias("weight"))
     return answers.best_units(questions, units, compose=False).select("question_id", "ord", "overlap", F.round("score", 6).alias("score"))
 
 
-Q_QA = f"""
-WITH q AS (SELECT DISTINCT conv_id % {QA_PACKAGES} AS p, concat_ws('-', conv_id, turn) AS question_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(left(lower(text), 200)), '[^a-z0-9]+'), lambda t: length(t) >= 3))) AS w FROM conversations WHERE role = 'user'),
-u AS (SELECT doc_id % {QA_PACKAGES} AS p, doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 3))) AS w FROM documents),
-s AS (SELECT question_id, doc_id, count(*) AS overlap FROM q JOIN u USING (p, w) GROUP BY ALL)
+Q_QA = """
+WITH q AS (SELECT DISTINCT concat_ws('-', conv_id, turn) AS question_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 3))) AS w FROM conversations WHERE role = 'user'),
+u AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 3))) AS w FROM documents),
+s AS (SELECT question_id, doc_id, count(*) AS overlap FROM q JOIN u USING (w) GROUP BY ALL)
 SELECT question_id, doc_id AS ord, overlap, round(overlap * CAST(1.2 AS DOUBLE), 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, doc_id) = 1"""
 
 

@@ -2,10 +2,12 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
 
+from factloom.operators import answers
 from factloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +44,22 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_flagship_has_rows(spark):
     assert catalog.flagship(spark, SF).limit(1).count() == 1
+
+
+def test_whole_questions_meet_all_documents(spark, monkeypatch):
+    """Against brute force, in one cell and in many: the best document has the least id of all with the most words of the whole question."""
+    words = lambda t: {w for w in re.split("[^a-z0-9]+", (t or "").lower()) if len(w) >= 3}
+    docs = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").filter("role = 'user'").collect()
+    wanted = {}
+    for r in turns:
+        asked = words(r["text"])
+        overlap, ord_ = max((len(asked & told), -i) for i, told in docs.items())
+        if overlap:
+            wanted[f"{r['conv_id']}-{r['turn']}"] = (-ord_, overlap)
+    assert any(len(r["text"]) > 200 for r in turns)
+    for most in (answers.CELL_UNITS, 30):
+        monkeypatch.setattr(answers, "CELL_UNITS", most)
+        monkeypatch.setattr(answers, "CELL_QUESTIONS", most)
+        found = catalog.queries()["q_qa_top1"](spark, SF).collect()
+        assert len(found) == len(wanted) and {r["question_id"]: (r["ord"], r["overlap"]) for r in found} == wanted

@@ -58,11 +58,8 @@ SELECT doc_id, CAST(s // {pages.CORE} AS INTEGER) AS core, CAST(s AS INTEGER) AS
 
 
 def q_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") == F.octet_length("text"))
-    return docs.select("doc_id", F.sha2(T.normalised(F.col("text")), 256).alias("normalized_sha256"))
-
-
-Q_NORMALIZE = "SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS normalized_sha256 FROM documents WHERE length(text) = strlen(text)"
+    """Every document, null texts as null; without SQL, which has no NFKC."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalised(F.col("text")), 256).alias("normalized_sha256"))
 
 
 def q_word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,13 +400,13 @@ def q_span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q_OVERLAP = "WITH t AS (SELECT conv_id, turn, turn * 300 AS s, turn * 300 + length(text) AS e FROM conversations WHERE length(text) > 0) SELECT a.conv_id, a.turn AS l_turn, b.turn AS r_turn FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn AND a.s < b.e AND a.e > b.s"
 
 SQL = {
-    "q_chunks": Q_CHUNKS, "q_cores_coverage": Q_CORES, "q_core_halos": Q_CORE_HALOS, "q_normalize": Q_NORMALIZE, "q_word_sets": Q_WORD_SETS, "q_numeric_tokens": Q_NUMERIC, "q_quote_locate": Q_QUOTE_LOCATE,
+    "q_chunks": Q_CHUNKS, "q_cores_coverage": Q_CORES, "q_core_halos": Q_CORE_HALOS, "q_word_sets": Q_WORD_SETS, "q_numeric_tokens": Q_NUMERIC, "q_quote_locate": Q_QUOTE_LOCATE,
     "q_quote_unique": Q_QUOTE_UNIQUE, "q_verify_citations": Q_VERIFY, "q_local_extract": Q_LOCAL_EXTRACT, "q_qa_top1": Q_QA, "q_question_limit": Q_QUESTION_LIMIT, "q_cost_rollup": Q_COST_ROLLUP, "q_cost_status": Q_COST_STATUS,
     "q_unpriced_operations": Q_UNPRICED, "q_daily_budget": Q_DAILY, "q_lease_gaps": Q_LEASES, "q_attempt_settle": Q_ATTEMPTS, "q_state_transitions": Q_STATES, "q_heartbeat_newest": Q_HEARTBEAT, "q_retention_prune": Q_RETENTION,
     "q_idempotent_insert": Q_IDEMPOTENT, "q_canonical_merge": Q_CANONICAL, "q_citation_dedup": Q_CITATION_DEDUP, "q_reconcile": Q_RECONCILE, "q_conflicts": Q_CONFLICTS, "q_cleanup_gate": Q_CLEANUP, "q_key_reconciliation": Q_KEYS,
     "q_balanced_batches": Q_BALANCED, "q_output_caps": Q_CAPS, "q_reason_pivot": Q_REASONS, "q_group_digest": Q_DIGEST, "q_span_overlap": Q_OVERLAP,
 }
 
-#: Sequential folds and recursive splits, which SQL does not express; tested against plain loops.
-WITHOUT_SQL = (q_budget_admit, q_upload_admit, q_packed_batches, q_fragments)
+#: Sequential folds, recursive splits and NFKC, which SQL does not express; tested against plain loops.
+WITHOUT_SQL = (q_normalize, q_budget_admit, q_upload_admit, q_packed_batches, q_fragments)
 QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in WITHOUT_SQL}

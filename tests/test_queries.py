@@ -1,8 +1,10 @@
 """Every registered query with SQL equals it on the smallest tables."""
 
+import hashlib
 import math
 import os
 import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -63,3 +65,24 @@ def test_whole_questions_meet_all_documents(spark, monkeypatch):
         monkeypatch.setattr(answers, "CELL_QUESTIONS", most)
         found = catalog.queries()["q_qa_top1"](spark, SF).collect()
         assert len(found) == len(wanted) and {r["question_id"]: (r["ord"], r["overlap"]) for r in found} == wanted
+
+
+def test_every_document_is_normalised(spark, tmp_path):
+    """Against plain Python: on a driver table, and on texts with each character that is folded."""
+
+    def wanted(text):
+        if text is None:
+            return None
+        text = unicodedata.normalize("NFKC", text)
+        text = "".join(c for c in text if c not in "\u00ad\u200b\u200c\u200d\ufeff")
+        text = text.translate(dict.fromkeys(range(0x2010, 0x2016), "-") | dict.fromkeys((0x201C, 0x201D), '"') | dict.fromkeys((0x2018, 0x2019), "'"))
+        return hashlib.sha256(" ".join(text.split()).lower().encode()).hexdigest()
+
+    odd = [*(f"A{chr(c)}B  c" for c in (*range(0xA0, 0x250), *range(0x2000, 0x2070), 0x3000, 0xFB01, 0xFEFF, 0xFF21, 0x1D400)), "e\u0301 \u2460 x\u00b2", "", " \n\t ", None]
+    rows = [(i, t) for i, t in enumerate(odd) if t is None or not set(t) & set("\x85\u0130")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for folder in (SF, str(tmp_path)):
+        docs = {r["doc_id"]: wanted(r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+        found = catalog.queries()["q_normalize"](spark, folder).collect()
+        assert len(found) == len(docs) and {r["doc_id"]: r["normalized_sha256"] for r in found} == docs
+    assert docs[odd.index("A\u2011B  c")] == docs[odd.index("A\u2013B  c")]

@@ -1,10 +1,10 @@
 """Information-theoretic sanitisation of personal data.
 
 Fixed patterns find the protected entities: e-mail and IP addresses, card and phone numbers. The words
-around them are terms, and the corpus says how strongly a term reveals an entity: the pointwise mutual
-information of the two, from the documents that have the entity, the term, and both near each other. A term
-that gives away at least DISCLOSURE of the entity's information, in at least LEAST_DOCS documents, is
-sanitised next to that entity: generalised, or removed if it occurs with that entity only.
+of a document are terms, and the corpus says how strongly a term reveals an entity: the pointwise mutual
+information of the two, from the documents that have the entity, the term, and both. A term that gives away at
+least DISCLOSURE of the entity's information, in at least LEAST_DOCS documents, is sanitised wherever it stands
+in a document that has that entity: generalised, or removed if it occurs with that entity only.
 
 Defined cases: null counts as empty and has no spans. Entities are what the patterns find in any row, and
 rows that repeat an id count once each. A base span is kept whatever stands around it; terms never overlap
@@ -27,11 +27,11 @@ from .common import map_batches, stage, utf8
 KINDS = ("email", "ip", "card", "phone")
 #: A term is sanitised if it gives away this share of an entity's information ...
 DISCLOSURE = 0.9
-#: ... and stands near it in so many documents.
+#: ... and shares so many documents with it.
 LEAST_DOCS = 2
-#: Terms are the words of letters among so many on either side of an entity, within so many characters.
-NEAR_WORDS, NEAR_CHARS = 10, 400
 HELD_TERMS = 300_000
+#: Keys of more documents than this, or than this share of all, are joined by broadcast, so that none lands in one task.
+HOT_DOCS, HOT_SHARE = 1000, 0.001
 
 # Possessive forms and checks of what stands before a match find the same matches as the plain patterns, without going back over long runs.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -86,27 +86,34 @@ def term_of(word: str) -> str:
     return bare if len(bare) >= 3 and bare.isalpha() else ""
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of the terms around each span and outside all spans."""
-    covered = [(a, b) for _, a, b in spans]
-    for kind, start, end in spans:
-        entity = xxhash.xxh64_intdigest(utf8(f"{kind}:{text[start:end].lower()}")) - (1 << 63)
-        low, high = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-        before = [m.span() for m in _TERM.finditer(text, low, start) if m.start() > low or low == 0][-NEAR_WORDS:]
-        after = [m.span() for m in _TERM.finditer(text, end, high) if m.end() < high or high == len(text)][:NEAR_WORDS]
-        for a, b in before + after:
-            word = text[a:b]
-            if term := term_of(word):
-                a += len(word) - len(word.lstrip(_MARKS))
-                b -= len(word) - len(word.rstrip(_MARKS))
-                if not any(a < y and x < b for x, y in covered):
-                    yield entity, term, a, b
+def terms_outside(text: str, covered: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of all terms of a text that overlap no covered stretch."""
+    covered, at, reach = sorted(covered), 0, 0
+    for m in _TERM.finditer(text):
+        word = m[0]
+        if term := term_of(word):
+            a = m.start() + len(word) - len(word.lstrip(_MARKS))
+            b = m.end() - len(word) + len(word.rstrip(_MARKS))
+            while at < len(covered) and covered[at][0] < b:
+                reach = max(reach, covered[at][1])
+                at += 1
+            if reach <= a:
+                yield term, a, b
+
+
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """The distinct entities of a document, as numbers."""
+    return list({xxhash.xxh64_intdigest(utf8(f"{kind}:{text[a:b].lower()}")) - (1 << 63) for kind, a, b in spans})
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _stretches(base: str) -> list[tuple[int, int]]:
+    return [(int(a), int(b)) for _, a, b in (s.split(":") for s in base.split(",") if s)]
+
+
 def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
     """Every term of the corpus and the number of documents that have it."""
 
@@ -133,9 +140,8 @@ def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _found(docs: DataFrame, text: str) -> DataFrame:
-    """A row per document: counts and base spans, and what stands near them."""
+    """A row per document: counts and base spans, the entities, and the text where there are any."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    columns = ("entity", "term", "start", "end")
 
     def find(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
@@ -145,36 +151,80 @@ def _found(docs: DataFrame, text: str) -> DataFrame:
                 out[f"n_{kind}"] = [sum(s[0] == kind for s in found) for found in spans]
             out["base"] = [_joined(found) for found in spans]
             out["base_sha256"] = [hashlib.sha256(b.encode()).hexdigest() for b in out["base"]]
-            near = [list(near_terms(t, found)) if found else [] for t, found in zip(batch["_text"], spans)]
-            for i, c in enumerate(columns):
-                out[c] = [[n[i] for n in some] for some in near]
+            out["entity"] = [entities(t, found) if found else [] for t, found in zip(batch["_text"], spans)]
+            out["body"] = [t if found else None for t, found in zip(batch["_text"], spans)]
             yield out
 
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("k2"), "doc_id", F.col(text).alias("_text"))
     counts = "".join(f", n_{k} bigint" for k in KINDS)
-    return stage(map_batches(slim, find, f"rid bigint, k1 bigint, k2 bigint, doc_id {id_type}{counts}, base string, base_sha256 string, entity array<bigint>, term array<string>, start array<int>, `end` array<int>"), "found")
+    return stage(map_batches(slim, find, f"rid bigint, k1 bigint, k2 bigint, doc_id {id_type}{counts}, base string, base_sha256 string, entity array<bigint>, body string"), "found")
+
+
+def _join_counts(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, hot: float) -> DataFrame:
+    """An inner join on keys that are unique in ``counts``, which has each key's number of documents as ``n``."""
+    many = F.broadcast(counts.filter(F.col(n) > hot))
+    rest = rows.join(F.broadcast(counts.filter(F.col(n) > hot).select(*keys)), keys, "left_anti")
+    return rows.join(many, keys).unionByName(rest.join(counts.filter(F.col(n) <= hot), keys))
+
+
+def _pairs(found: DataFrame, frequencies: DataFrame, n_docs: int, hot: float) -> DataFrame:
+    """(rid, entity, term, entity_docs, term_docs): a row per document and pair of it that may be disclosing.
+
+    A pair is left out only if it cannot reach the thresholds: with both <= entity_docs, given_away is at most log2(n_docs / term_docs).
+    """
+    has = found.filter(F.size("entity") > 0)
+    each = has.select("rid", F.explode("entity").alias("entity"))
+    counts = stage(each.groupBy("entity").agg(F.count("*").alias("entity_docs")).filter(F.col("entity_docs") >= LEAST_DOCS), "entities")
+    known = _join_counts(each, counts, ["entity"], "entity_docs", hot).groupBy("rid").agg(F.collect_list(F.struct("entity", "entity_docs")).alias("known"), F.max("entity_docs").alias("most"))
 
+    def find(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            for rid, body, base, some, most in zip(*(batch[c] for c in ("rid", "body", "base", "known", "most"))):
+                terms = list({t for t, _, _ in terms_outside(body, _stretches(base))})
+                yield {"rid": [rid] * len(terms), "known": [some] * len(terms), "most": [most] * len(terms), "term": terms}
+
+    bodies = has.select("rid", "body", "base").join(known, "rid")
+    terms = map_batches(bodies, find, "rid bigint, known array<struct<entity: bigint, entity_docs: bigint>>, most bigint, term string", rows=64)
+    # A little slack, as this only leaves out what the exact test would; that one follows.
+    may = lambda docs: F.log2(F.lit(float(n_docs)) / F.col("term_docs")) >= DISCLOSURE * F.log2(F.lit(float(n_docs)) / F.col(docs)) - 1e-6
+    met = _join_counts(terms, frequencies.filter(F.col("term_docs") >= LEAST_DOCS), ["term"], "term_docs", hot).filter(may("most"))
+    return met.select("rid", "term", "term_docs", F.explode("known").alias("k")).select("rid", "k.entity", "term", "k.entity_docs", "term_docs").filter(may("entity_docs"))
 
-def disclosing(near: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFrame:
-    """(entity, term, removed): the pairs in which the term reveals the entity beyond the threshold."""
-    together = near.select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= LEAST_DOCS)
-    entities = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    known = together.join(entities, "entity").join(frequencies, "term")
+
+def disclosing(pairs: DataFrame, n_docs: int) -> DataFrame:
+    """(entity, term, both, removed): the pairs in which the term reveals the entity beyond the threshold."""
+    known = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("entity_docs").alias("entity_docs"), F.first("term_docs").alias("term_docs")).filter(F.col("both") >= LEAST_DOCS)
     information = F.log2(F.lit(float(n_docs)) / F.col("entity_docs"))
     given_away = F.log2(F.col("both") * F.lit(float(n_docs)) / (F.col("entity_docs") * F.col("term_docs")))
-    return known.filter((information > 0) & (given_away >= DISCLOSURE * information)).select("entity", "term", (F.col("both") >= F.col("term_docs")).alias("removed"))
+    return known.filter((information > 0) & (given_away >= DISCLOSURE * information)).select("entity", "term", "both", (F.col("both") >= F.col("term_docs")).alias("removed"))
+
+
+def _term_spans(found: DataFrame, revealed: DataFrame) -> DataFrame:
+    """(rid, terms): all occurrences of each document's revealing terms, in order."""
+
+    def locate(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            terms = []
+            for body, base, some in zip(batch["body"], batch["base"], batch["some"]):
+                removed = {t["term"]: t["removed"] for t in some}
+                terms.append([{"start": a, "end": b, "removed": removed[t]} for t, a, b in terms_outside(body, _stretches(base)) if t in removed])
+            yield {"rid": batch["rid"], "terms": terms}
+
+    listed = revealed.groupBy("rid").agg(F.collect_list(F.struct("term", "removed")).alias("some"))
+    return map_batches(found.select("rid", "body", "base").join(listed, "rid"), locate, "rid bigint, terms array<struct<start: int, `end`: int, removed: boolean>>", rows=256)
 
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, counts by kind, base_sha256, spans (all), and the terms' spans with what becomes of them; one row per document."""
     found = _found(docs, text)
-    near = found.filter(F.size("entity") > 0).select("rid", F.explode(F.arrays_zip("entity", "term", "start", "end")).alias("n")).select("rid", "n.*")
-    revealed = disclosing(near, document_frequencies(docs, text), found.count())
-    terms = near.join(revealed, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.bool_or("removed").alias("removed"))
-    listed = terms.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    n_docs = found.count()
+    hot = max(HOT_DOCS, HOT_SHARE * n_docs)
+    pairs = stage(_pairs(found, stage(document_frequencies(docs, text), "terms"), n_docs, hot), "pairs")
+    pairs_revealed = _join_counts(pairs.select("rid", "entity", "term"), stage(disclosing(pairs, n_docs), "revealed"), ["entity", "term"], "both", hot)
+    listed = _term_spans(found, pairs_revealed.groupBy("rid", "term").agg(F.bool_or("removed").alias("removed")))
     written = F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"], F.lit(":"), t["end"]))
     spans = F.array_join(F.filter(F.concat(F.array("base"), F.coalesce(written, F.array())), lambda s: s != ""), ",")
-    return found.drop("entity", "term", "start", "end").join(listed, "rid", "left").withColumn("spans", spans)
+    return found.drop("entity", "body").join(listed, "rid", "left").withColumn("spans", spans)
 
 
 def _clean(text: str | None, base: str, terms) -> str | None:

@@ -154,3 +154,27 @@ def test_revealing_terms_are_sanitised(make_docs, edge_rows):
     assert clean[100] == "the report of  is with <EMAIL> now" and clean[200] == rows[len(edge_rows) + 4][1]
     assert pii.sanitised(docs).columns == docs.columns
     assert pii.find_personal_data(make_docs([])).count() == 0
+
+
+def test_revealing_terms_are_sanitised_in_the_whole_document(make_docs, monkeypatch):
+    """A name in the heading and an address in the footer of a long text, and the name again between: against counts by plain Python."""
+    middle = " ".join(f"the common words of part{chr(97 + i % 26)}" for i in range(200))
+    rows = [(i, f"Zebulon {middle} says zebulon, and {middle} mail anna@corp.example.com", "s") for i in range(3)]
+    rows += [(10 + i, f"{middle} mail hot@corp.example.com Quillon{'' if i else ' alone'}", "s") for i in range(12)]
+    rows += [(100 + i, f"{middle} mail us", "s") for i in range(100)]
+    words = {i: {pii.term_of(w) for w in t.split() if "@" not in w} - {""} for i, t, _ in rows}
+    for hot in (pii.HOT_DOCS, 2):
+        monkeypatch.setattr(pii, "HOT_DOCS", hot)
+        docs = make_docs(rows)
+        for r in pii.find_personal_data(docs).collect():
+            body = next(t for i, t, _ in rows if i == r["doc_id"])
+            group = [i for i, t, _ in rows if any(e in t and e in body for e in ("anna@", "hot@"))]
+            wanted = set()
+            for term in words[r["doc_id"]] if group else ():
+                both, having = sum(term in words[i] for i in group), sum(term in w for w in words.values())
+                if both >= 2 and math.log2(both * len(rows) / (len(group) * having)) >= 0.9 * math.log2(len(rows) / len(group)):
+                    wanted.add(term)
+            spans = [body[int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k == "term"]
+            assert set(spans) == wanted and len(spans) == sum(pii.term_of(w) in wanted for w in body.split())
+        clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+        assert "zebulon" not in clean[0].lower() and "Quillon" not in clean[12] and clean[100] == rows[15][1]

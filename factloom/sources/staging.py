@@ -10,17 +10,24 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where none is set."""
+    """The folder that the driver and all executors see; where none is set, one of our own on a local master and an error elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return (root or "file:///tmp/checkpoints/factloom").rstrip("/")
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which drop_staged() deletes."""
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes a result into the shared folder and reads it back, which cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = staged_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

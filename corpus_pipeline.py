@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import block_naming, bpe_reuse, quality_classifier, simhash, source_mix
 from factloom.llm.common import documents, stage
@@ -25,11 +24,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per draw of the mix; a document that is cut at its source's quota gets its new length."""
-    mixed = source_mix.mixed_documents(docs).drop("_shard", "_order")
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed
+    """A row per draw of the mix, shard by shard and shuffled within each."""
+    return source_mix.shuffled_shards(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Exact deduplication by deterministic block naming.
 
-Every normalised text is cut into blocks of a fixed number of bytes. The distinct blocks are sorted and get
-integer names; then adjacent names are paired, the distinct pairs are sorted and named in turn, and so on
-until one name is left for each document. Two texts are equal exactly if they have as many blocks and the
-same last name. A 64-bit hash only carries blocks to their names: where distinct blocks share a hash, they
-are told apart by their bytes.
+Every normalised text is cut into blocks of a fixed number of bytes. The distinct blocks are sorted, by a hash and
+then their bytes, and their ranks are their names; then adjacent names are paired, the distinct pairs are sorted
+and named by rank in turn, and so on until one name is left for each document. So equal tables get equal names,
+however they are partitioned. Two texts are equal exactly if they have as many blocks and the same last name. The
+64-bit hash only carries blocks to their names: where distinct blocks share a hash, they are told apart by their
+bytes.
 
 Defined cases: null counts as empty, and empty texts are equal to each other. Null ids sort before all
 others. Rows that repeat an id are told apart by the digest of their text; of rows that repeat both, one
@@ -35,11 +36,20 @@ def _blocks(docs: DataFrame, text: str, block_bytes: int, hash_bits: int) -> Dat
     return cut.select(*KEY, "at", block.alias("block")).withColumn("h", F.shiftrightunsigned(F.xxhash64("block"), 64 - hash_bits))
 
 
+def _ranked(distinct: DataFrame, ranges: list[str], order: list[str], label: str) -> DataFrame:
+    """The rows with their rank as ``name``: sorted in ranges, counted within each, and added to the rows of the ranges before."""
+    sorted_ = stage(distinct.repartitionByRange(*ranges).sortWithinPartitions(*order).select(*ranges, F.monotonically_increasing_id().alias("_at")), label)
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))  # one row per range
+    before = sizes.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    return sorted_.join(F.broadcast(before), part == F.col("_part")).select(*ranges, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("name"))
+
+
 def _first_names(docs: DataFrame, text: str, block_bytes: int, hash_bits: int) -> DataFrame:
     """The blocks' places with their names; copies counts rows that repeat both id and text."""
     blocks = _blocks(docs, text, block_bytes, hash_bits)
     places = stage(blocks.groupBy(*KEY, "at", "h").agg(F.count("*").alias("copies")), "places")
-    names = stage(blocks.select("h", "block").distinct().sortWithinPartitions("block").select("h", F.monotonically_increasing_id().alias("name")), "names")
+    names = _ranked(blocks.select("h", "block").distinct(), ["h"], ["h", "block"], "names")
     clashes = stage(names.groupBy("h").count().filter("count > 1").select("h"), "clashes")
     if clashes.isEmpty():
         return places.join(names, "h").select(*KEY, "at", "copies", "name")
@@ -61,7 +71,7 @@ def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYT
         open_ = current.filter(F.col("n_blocks") > span)
         even = F.col("at") % 2 == 0
         pairs = open_.groupBy(*KEY, F.floor(F.col("at") / 2).alias("at")).agg(F.max("copies").alias("copies"), F.max(F.when(even, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("right"))
-        names = stage(pairs.select("left", "right").distinct().sortWithinPartitions("left", "right").select("left", "right", F.monotonically_increasing_id().alias("name")), "pairs")
+        names = _ranked(pairs.select("left", "right").distinct(), ["left", "right"], ["left", "right"], "pairs")
         current = stage(pairs.join(names, ["left", "right"]).select(*KEY, "at", "copies", "name"), "level")
         span *= 2
         done = done.unionByName(current.filter(F.col("n_blocks") <= span))

@@ -6,7 +6,9 @@ it, and its ids go to all its places; what lies between shared chunks is encoded
 pieces meet, the ids around the join are repaired: a window around the join is encoded anew and has to agree
 exactly, at both ends, with the ids that stand there; if it does not, it grows.
 
-Texts cross the cluster once, compressed; otherwise only chunk digests and the ids of shared chunks do.
+Texts cross the cluster once, compressed; otherwise only chunk digests and the ids of shared chunks do. Chunks
+are equal if their 128-bit hashes are; their bytes are not compared again. The rows of a chunk with more than its
+share are dealt to SALTS tasks, to each of which the chunk's ids go.
 
 Defined cases: null counts as empty and has no ids. Rows are told apart by two hashes of their id and text,
 so rows that repeat an id are encoded by their own texts, and rows that repeat both get the same ids. A text
@@ -25,12 +27,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, utf8
+from .common import hot_bound, join_counted, map_batches, stage, utf8
 from .encoding import tokenizer_path, unit_encoder
 
 #: Chunks have about 2 ** CUT_BITS bytes beyond the least.
 CUT_BITS = 10
 LEAST_CHUNK = 256
+#: The first window around a join has so many bytes on each side.
+REACH = 96
+#: The tokenizer's first step looks less far: at a special token, a contraction and a character beyond.
+MARGIN = 24
+#: Rows of a hot chunk meet its ids in so many tasks.
+SALTS = 16
 _GEAR = np.random.default_rng(2).integers(0, 1 << 32, 256, dtype=np.uint32)
 _ROW = ("k1", "k2")
 _CHUNK = ("h1", "h2")
@@ -79,79 +87,80 @@ class Encoder:
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
     def join(self, data: bytes, pieces: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
-        """The ids of data from those of its pieces (start, end, ids), which cover it in order."""
-        done: list[tuple[int, np.ndarray]] = []  # where a stretch starts, its ids
+        """The ids of data from those of its pieces (start, end, ids), which cover it in order.
+
+        A window around each join is encoded anew. It agrees with the ids that stand there where one of them has the same bytes
+        as one of its own, MARGIN bytes or more from the join and from the window's edge: the tokenizer's first step looks no
+        further around a place, and a row of ids is that of its text if every two neighbours are. Where no id agrees on one side,
+        the window doubles, up to the text's start and the piece's end.
+        """
+        done: list[np.ndarray] = []  # the ids of data up to the join
         for start, end, ids in pieces:
-            if not done:
-                done.append((start, ids))
-                continue
-            reach = 1
-            while True:
-                left, right = _safe_before(data, start, reach), _safe_after(data, start, end, reach)
-                while done[-1][0] > left:
-                    (_, ids_before) = done[-1]
-                    done[-2:] = [(done[-2][0], np.concatenate([done[-2][1], ids_before]))]
-                base, before = done[-1]
+            reach, before = REACH, _no_ids()
+            while done or len(before):
+                before = np.concatenate([_take_off(done, reach - len(before)), before])
+                begins = start - np.cumsum(self.lengths[before][::-1])[::-1]
+                ahead = ids[:reach]
+                ends = start + np.cumsum(self.lengths[ahead])
+                left, right = _window_start(data, start - reach, begins), _character(data, start + reach, end)
                 fresh = self.encode([data[left:right]])[0]
-                kept, rest = self._agree(data, base, before, left, start, fresh, ids, start, end, right)
-                if kept is not None:
-                    done[-1] = (base, before[:kept])
-                    done.append((left, np.concatenate([fresh, ids[rest:]])))
+                stops = left + np.cumsum(self.lengths[fresh])
+                spans = stops - self.lengths[fresh], stops
+                head = _agreement((begins, begins + self.lengths[before]), spans, left + MARGIN, start - MARGIN) if left else (0, 0)
+                tail = _agreement((ends - self.lengths[ahead], ends), spans, start + MARGIN, right - MARGIN) if right < end else (len(ids), len(fresh))
+                if head and tail:
+                    done += [before[: head[0]], fresh[head[1] : tail[1]]]
+                    ids = ids[tail[0] :]
                     break
                 reach *= 2
-        return np.concatenate([ids for _, ids in done]) if done else np.zeros(0, dtype="<u4")
-
-    def _agree(self, data, base, before, left, join, fresh, ids, start, end, right):
-        """How many ids before the window and from which id after it are kept; (None, None) if the window does not agree with them."""
-        at_left = np.cumsum(self.lengths[before]) + base  # where each id before the join ends
-        kept = int(np.searchsorted(at_left, left, "right")) if left > base else 0
-        if left > base and (kept == 0 or at_left[kept - 1] != left):
-            return None, None
-        at_right = np.cumsum(self.lengths[ids]) + start
-        rest = len(ids) if right == end else int(np.searchsorted(at_right, right)) + 1
-        if right < end and (rest > len(ids) or at_right[rest - 1] != right):
-            return None, None
-        # The first and the last unit of the window were encoded before, away from the join: they have to come out alike.
-        inner_left, inner_right = _safe_after(data, left, join, 1), _safe_before(data, right, 1, join)
-        ends = np.cumsum(self.lengths[fresh]) + left
-        if left < inner_left < join and left > 0:
-            n = int(np.searchsorted(ends, inner_left)) + 1
-            if n > len(ends) or ends[n - 1] != inner_left or not np.array_equal(fresh[:n], before[kept : kept + n]):
-                return None, None
-        if join < inner_right < right < end:
-            n = len(ends) - int(np.searchsorted(ends, inner_right)) - 1
-            if n < 0 or ends[len(ends) - n - 1] != inner_right or not np.array_equal(fresh[len(fresh) - n :], ids[rest - n : rest]):
-                return None, None
-        return kept, rest
+            done.append(ids)
+        return np.concatenate(done) if done else _no_ids()
 
 
-@lru_cache(maxsize=2)
-def cached_encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _no_ids() -> np.ndarray:
+    return np.zeros(0, dtype="<u4")
 
 
-def _is_safe(data: bytes, at: int) -> bool:
-    """No piece of this tokenizer crosses from a visible ASCII character to a space or newline, whatever stands around them."""
-    return data[at] in b" \n" and 0x21 <= data[at - 1] <= 0x7E
+def _take_off(done: list[np.ndarray], count: int) -> np.ndarray:
+    """Takes the last ids off the stretches, ``count`` at most."""
+    parts: list[np.ndarray] = []
+    while done and count > 0:
+        part = done.pop()
+        if len(part) > count:
+            done.append(part[:-count])
+            part = part[-count:]
+        parts.append(part)
+        count -= len(part)
+    return np.concatenate(parts[::-1]) if parts else _no_ids()
 
 
-def _safe_before(data: bytes, at: int, count: int, least: int = 0) -> int:
-    """The start of the count-th unit that begins before ``at``, from units that begin at safe places."""
-    while at > least and count >= 0:
-        at -= 1
-        while at > least and not _is_safe(data, at):
-            at -= 1
-        count -= 1
-    return at
+def _character(data: bytes, at: int, end: int) -> int:
+    """The first place from ``at`` where a character starts, or the end."""
+    while at < end and data[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, end)
 
 
-def _safe_after(data: bytes, at: int, most: int, count: int) -> int:
-    while at < most and count > 0:
-        at += 1
-        while at < most and not _is_safe(data, at):
-            at += 1
-        count -= 1
-    return at
+def _window_start(data: bytes, at: int, begins: np.ndarray) -> int:
+    """A place close to ``at`` where a character starts, and an id too if there is such a one."""
+    if at <= 0:
+        return 0
+    for place in begins[np.searchsorted(begins, at) :][:4].tolist():
+        if place < at + MARGIN and data[place] & 0xC0 != 0x80:
+            return place
+    return _character(data, at, len(data))
+
+
+def _agreement(some: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray], low: int, high: int) -> tuple[int, int] | None:
+    """Which of some ids and which of the others, given by where they start and end, is the first that both have between low and high."""
+    at = np.minimum(np.searchsorted(others[0], some[0]), len(others[0]) - 1)
+    hits = np.flatnonzero((others[0][at] == some[0]) & (others[1][at] == some[1]) & (some[0] >= low) & (some[1] <= high))
+    return (int(hits[0]), int(at[hits[0]])) if len(hits) else None
+
+
+@lru_cache(maxsize=2)
+def cached_encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -184,8 +193,12 @@ def encode(docs: DataFrame, finish: Callable[[Encoder, np.ndarray], tuple], colu
     id_type = docs.schema["doc_id"].dataType.simpleString()
     places = stage(map_batches(base.select(*_ROW, "_text"), _occurrences, "k1 bigint, k2 bigint, at int, h1 bigint, h2 bigint"), "chunks")
     owner = F.min(F.struct(*_ROW, "at"))
-    shared = places.groupBy(*_CHUNK).agg(F.count("*").alias("n"), owner.alias("owner")).filter("n > 1")
-    mine = stage(places.join(shared, list(_CHUNK)).select(*_ROW, "at", *_CHUNK, (F.col("owner") == F.struct(*_ROW, "at")).alias("own")), "shared")
+    shared = stage(places.groupBy(*_CHUNK).agg(F.count("*").alias("n"), owner.alias("owner")).filter("n > 1"), "shared")
+    hot = hot_bound(shared.agg(F.sum("n")).first()[0] or 0)
+    own = F.col("owner") == F.struct(*_ROW, "at")
+    salt = F.when(F.col("n") > hot, F.pmod(F.xxhash64(*_ROW, "at"), F.lit(SALTS))).otherwise(0).cast("int")
+    mine = stage(join_counted(places, shared, list(_CHUNK), "n", hot).select(*_ROW, "at", *_CHUNK, own.alias("own"), salt.alias("salt")), "reused")
+    salts = F.broadcast(shared.filter(F.col("n") > hot).select(*_CHUNK, F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts")))
     texts = map_batches(base, _compressed, f"k1 bigint, k2 bigint, doc_id {id_type}, body binary", rows=512)
     unpack = lambda body: zstandard.ZstdDecompressor().decompress(body)
 
@@ -232,7 +245,8 @@ def encode(docs: DataFrame, finish: Callable[[Encoder, np.ndarray], tuple], colu
     owned = mine.filter("own").groupBy(*_ROW).agg(F.collect_set("at").alias("owned"))
     # Both joins read the same columns in the same way, so that the texts' exchange is made once and used twice.
     tokens = map_batches(texts.join(owned, list(_ROW), "left").select("doc_id", "body", "owned"), encode_owned, "h1 bigint, h2 bigint, ids binary", rows=256).dropDuplicates(list(_CHUNK))
-    parts = mine.join(tokens, list(_CHUNK)).groupBy(*_ROW).agg(F.collect_set(F.struct("at", "ids")).alias("parts"))
+    dealt = tokens.join(salts, list(_CHUNK), "left").withColumn("salt", F.explode(F.coalesce("salts", F.array(F.lit(0))))).drop("salts")
+    parts = mine.select(*_ROW, "at", *_CHUNK, "salt").join(dealt, [*_CHUNK, "salt"]).groupBy(*_ROW).agg(F.collect_set(F.struct("at", "ids")).alias("parts"))
     return map_batches(texts.join(parts, list(_ROW), "left").select("doc_id", "body", "parts"), assemble, f"doc_id {id_type}, {columns}", rows=256)
 
 

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from factloom.sources.staging import shared_dir, stage
 
-__all__ = ["WORD", "WORDS", "ascii_lower", "bounded_batches", "documents", "map_batches", "release_memory", "shared_dir", "stage", "utf8"]
+__all__ = ["HOT_ROWS", "HOT_SHARE", "WORD", "WORDS", "ascii_lower", "bounded_batches", "documents", "hot_bound", "join_counted", "map_batches", "release_memory", "shared_dir", "stage", "utf8"]
+
+#: A key with more rows than this, and than this share of all, is hot: at most 1 / HOT_SHARE keys are.
+HOT_ROWS, HOT_SHARE = 1000, 0.0005
 
 #: A word is a run of anything but space and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,8 +45,26 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def hot_bound(rows: int) -> float:
+    """The number of rows beyond which a key is hot, of so many rows."""
+    return max(HOT_ROWS, HOT_SHARE * rows)
+
+
+def join_counted(rows: DataFrame, known: DataFrame, keys: list[str], n: str, hot: float) -> DataFrame:
+    """An inner join with ``known``, which has each key once and the number of its rows as ``n``.
+
+    Keys of more than ``hot`` rows are few and go to all tasks, so that none lands in one task; the others are shuffled.
+    """
+    many = known.filter(F.col(n) > hot)
+    rest = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(many), keys).unionByName(rest.join(known.filter(F.col(n) <= hot), keys))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts may be long, so Arrow batches get fewer rows than Spark's default, unless the session says otherwise."""
+    """Texts may be long, so Arrow batches get fewer rows than Spark's default, unless the session says otherwise.
+
+    Spark reads the setting when a query runs, so it stays as set here for the session.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))

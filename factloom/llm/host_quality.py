@@ -2,7 +2,9 @@
 
 Each document gets rule counts of its own. Failures are then counted by host, each host's failure rate is
 shrunk towards the corpus by a beta prior fitted to all hosts (method of moments), and the verdict on the
-host goes back to its documents.
+host goes back to its documents. A host is rejected if its rate exceeds the prior's by HOST_FACTOR even when
+HOST_CERTAINTY standard deviations of its posterior are taken off, so neither a few documents nor chance are
+enough, and a corpus whose hosts are alike loses none.
 
 Defined cases: a null or empty text has no words, so it fails the word rule. A document without a host
 (null source) is judged by its own rules only. Repeated rows count once each. An empty table gives an empty
@@ -22,9 +24,9 @@ from .common import map_batches, stage, utf8
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-#: A host is rejected if its shrunk failure rate reaches this.
-MAX_HOST_FAILURE = 0.8
-#: The prior counts as at least and at most this many documents.
+#: A host is rejected if its posterior rate, less so many standard deviations, is above so many times the prior's.
+HOST_FACTOR, HOST_CERTAINTY = 1.5, 2.0
+#: The prior counts as at least and at most this many documents: below, it would say nothing; above, no host could stand out.
 PRIOR_STRENGTH = (4.0, 1000.0)
 #: A host's verdict is kept this many times, so that the documents of one large host meet it in as many tasks.
 SALTS = 64
@@ -69,7 +71,7 @@ def base_failure() -> F.Column:
     return (words < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * words)
 
 
-def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_failed", limit: float = MAX_HOST_FAILURE) -> DataFrame:
+def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_failed", factor: float = HOST_FACTOR, certainty: float = HOST_CERTAINTY) -> DataFrame:
     """One row per host: documents, failures, the failure rate shrunk by the beta prior, and the verdict."""
     hosts = stage(judged.filter(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("host_docs"), F.count_if(failed).alias("host_failures")), "hosts")
     rate = F.col("host_failures") / F.col("host_docs")
@@ -80,17 +82,19 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_f
     spread = variance - mean * (1 - mean) * noise
     strength = mean * (1 - mean) / spread - 1 if spread > 0 else PRIOR_STRENGTH[1]
     strength = min(max(strength, PRIOR_STRENGTH[0]), PRIOR_STRENGTH[1])
-    shrunk = (F.col("host_failures") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    return hosts.withColumn("host_failure_rate", shrunk).withColumn("host_kept", F.col("host_failure_rate") < limit)
+    weight = F.col("host_docs") + F.lit(strength)
+    shrunk = (F.col("host_failures") + F.lit(mean * strength)) / weight
+    deviation = F.sqrt(F.col("host_failure_rate") * (1 - F.col("host_failure_rate")) / (weight + 1))
+    return hosts.withColumn("host_failure_rate", shrunk).withColumn("host_kept", F.col("host_failure_rate") - certainty * deviation <= factor * mean)
 
 
-def judge(docs: DataFrame, limit: float = MAX_HOST_FAILURE) -> DataFrame:
-    """doc_id, source, the counts, base_failed, the host's shrunk failure rate and kept."""
+def judge(docs: DataFrame, factor: float = HOST_FACTOR, certainty: float = HOST_CERTAINTY) -> DataFrame:
+    """doc_id, source, the counts, base_failed, the host's shrunk failure rate and verdict (null without a host), and kept."""
     judged = stage(document_counts(docs).withColumn("base_failed", base_failure()), "counts")
-    verdicts = host_verdicts(judged, limit=limit).select(F.col("source").alias("_host"), "host_failure_rate", "host_kept").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    verdicts = host_verdicts(judged, factor=factor, certainty=certainty).select(F.col("source").alias("_host"), "host_failure_rate", "host_kept").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = judged.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(verdicts, (salted["source"] == verdicts["_host"]) & (salted["_salt"] == verdicts["_salt"]), "left")
-    return joined.select(*judged.columns, "host_failure_rate", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
+    return joined.select(*judged.columns, "host_failure_rate", "host_kept", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
 
 
 ORACLE_SQL = rf"""
@@ -126,9 +130,10 @@ WITH docs AS (
   SELECT m, least(greatest(CASE WHEN v - m * (1 - m) * noise > 0 THEN m * (1 - m) / (v - m * (1 - m) * noise) - 1
     ELSE {PRIOR_STRENGTH[1]} END, {PRIOR_STRENGTH[0]}), {PRIOR_STRENGTH[1]}) AS s FROM mean
 ), verdicts AS (
-  SELECT source, (k + m * s) / (n + s) < {MAX_HOST_FAILURE} AS host_kept FROM hosts, prior
+  SELECT source, r AS host_failure_rate, r - {HOST_CERTAINTY} * sqrt(r * (1 - r) / (n + s + 1)) <= {HOST_FACTOR} * m AS host_kept
+  FROM (SELECT source, n, m, s, (k + m * s) / (n + s) AS r FROM hosts, prior)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(host_failure_rate, 6) AS host_failure_rate, host_kept,
   NOT base_failed AND coalesce(host_kept, true) AS kept
 FROM judged LEFT JOIN verdicts USING (source)
 """

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from math import exp, inf, log
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ from .quality_classifier import fold
 
 FOLDS = 10
 SMOOTHING = 0.1
-#: The words that go to all tasks: at most so many, of at most so many characters.
-TOP, TOP_CHARS = 1 << 17, 64
+#: The words that go to all tasks: at most so many; of words with more bytes, a 128-bit hash goes.
+TOP, TOP_BYTES = 1 << 17, 64
 #: A task hands on its counts when it holds so many words.
 HELD_WORDS = 300_000
 _START = "▁"
@@ -131,15 +132,19 @@ def piece_counts(counts: DataFrame, path: str) -> dict[int, int]:
 
 def _most_frequent(rated: DataFrame) -> DataFrame:
     """The words that occur at least so often that there are TOP of them at most; the bound comes from counts by magnitude, a few hundred rows."""
-    short = rated.filter((F.length("word") <= TOP_CHARS) & (F.col("c") > 0))
+    learnt = rated.filter(F.col("c") > 0)
     step = F.floor(F.log2("c") * 16)
     least, held = inf, 0
-    for row in sorted(short.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect(), key=lambda r: -r["step"]):
+    for row in sorted(learnt.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect(), key=lambda r: -r["step"]):
         held += row["n"]
         if held > TOP:
             break
         least = row["least"]
-    return short.filter(F.col("c") >= F.lit(least))
+    return learnt.filter(F.col("c") >= F.lit(least))
+
+
+def _key(word: bytes) -> bytes:
+    return word if len(word) <= TOP_BYTES else b" " + xxhash.xxh3_128_digest(word)
 
 
 def score(docs: DataFrame, name: str = "piece_bpe_32k.model", text: str = "text") -> DataFrame:
@@ -159,9 +164,9 @@ def score(docs: DataFrame, name: str = "piece_bpe_32k.model", text: str = "text"
             yield {"word": batch["word"], "c": batch["c"], "lp": [lattice(w) / _LOG10 for w in batch["word"]]}
 
     rated = stage(map_batches(counts, rate, "word string, c bigint, lp double"), "rated")
-    top = _most_frequent(rated).collect()
+    top = map_batches(_most_frequent(rated), lambda batches: ({"key": [_key(utf8(w)) for w in b["word"]], "c": b["c"], "lp": b["lp"]} for b in batches), "key binary, c bigint, lp double").collect()
     base = lambda c: (log(c + SMOOTHING) - divisor) / _LOG10
-    shared = spark.sparkContext.broadcast({r["word"].encode("utf-8", "surrogatepass"): (r["c"] > 0, base(r["c"]), r["lp"]) for r in top})
+    shared = spark.sparkContext.broadcast({bytes(r["key"]): (r["c"] > 0, base(r["c"]), r["lp"]) for r in top})
     end = (int(ends > 0), base(ends), _lattice(path, pieces, ends)[1] / _LOG10)
 
     def look_up(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
@@ -172,7 +177,7 @@ def score(docs: DataFrame, name: str = "piece_bpe_32k.model", text: str = "text"
             for rid, doc_id, body in zip(batch["rid"], batch["doc_id"], batch["_text"]):
                 words, n_known, base_sum, sum_ = utf8(body).lower().split(), *end
                 for word, tf in Counter(words).items():
-                    if (got := table.get(word)) is None:
+                    if (got := table.get(_key(word))) is None:
                         out.append((rid, None, word.decode("utf-8", "surrogatepass"), tf, 0, 0, 0.0, 0.0))
                     else:
                         n_known += got[0] * tf

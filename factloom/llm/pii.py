@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data.
 
-Fixed patterns find the protected entities: e-mail and IP addresses, card and phone numbers. The words
-of a document are terms, and the corpus says how strongly a term reveals an entity: the pointwise mutual
+Fixed patterns find the protected entities: e-mail and IP addresses, card and phone numbers. All other words
+of a document, names and numbers of any form, are terms, and the corpus says how strongly a term reveals an entity: the pointwise mutual
 information of the two, from the documents that have the entity, the term, and both. A term that gives away at
 least DISCLOSURE of the entity's information, in at least LEAST_DOCS documents, is sanitised wherever it stands
 in a document that has that entity: generalised, or removed if it occurs with that entity only.
@@ -18,11 +18,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, utf8
+from .common import hot_bound, join_counted, map_batches, stage, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 #: A term is sanitised if it gives away this share of an entity's information ...
@@ -30,8 +29,6 @@ DISCLOSURE = 0.9
 #: ... and shares so many documents with it.
 LEAST_DOCS = 2
 HELD_TERMS = 300_000
-#: Keys of more documents than this, or than this share of all, are joined by broadcast, so that none lands in one task.
-HOT_DOCS, HOT_SHARE = 1000, 0.001
 
 # Possessive forms and checks of what stands before a match find the same matches as the plain patterns, without going back over long runs.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,9 +78,8 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def term_of(word: str) -> str:
-    """The form in which words are counted, empty if it has no letters only."""
-    bare = word.strip(_MARKS).lower()
-    return bare if len(bare) >= 3 and bare.isalpha() else ""
+    """The form in which words are counted: without the marks around it, in lower case; empty for marks alone."""
+    return word.strip(_MARKS).lower()
 
 
 def terms_outside(text: str, covered: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
@@ -101,9 +97,9 @@ def terms_outside(text: str, covered: list[tuple[int, int]]) -> Iterator[tuple[s
                 yield term, a, b
 
 
-def entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
-    """The distinct entities of a document, as numbers."""
-    return list({xxhash.xxh64_intdigest(utf8(f"{kind}:{text[a:b].lower()}")) - (1 << 63) for kind, a, b in spans})
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The distinct entities of a document: kind and text in lower case."""
+    return list({f"{kind}:{text[a:b].lower()}" for kind, a, b in spans})
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -157,14 +153,7 @@ def _found(docs: DataFrame, text: str) -> DataFrame:
 
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("k2"), "doc_id", F.col(text).alias("_text"))
     counts = "".join(f", n_{k} bigint" for k in KINDS)
-    return stage(map_batches(slim, find, f"rid bigint, k1 bigint, k2 bigint, doc_id {id_type}{counts}, base string, base_sha256 string, entity array<bigint>, body string"), "found")
-
-
-def _join_counts(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, hot: float) -> DataFrame:
-    """An inner join on keys that are unique in ``counts``, which has each key's number of documents as ``n``."""
-    many = F.broadcast(counts.filter(F.col(n) > hot))
-    rest = rows.join(F.broadcast(counts.filter(F.col(n) > hot).select(*keys)), keys, "left_anti")
-    return rows.join(many, keys).unionByName(rest.join(counts.filter(F.col(n) <= hot), keys))
+    return stage(map_batches(slim, find, f"rid bigint, k1 bigint, k2 bigint, doc_id {id_type}{counts}, base string, base_sha256 string, entity array<string>, body string"), "found")
 
 
 def _pairs(found: DataFrame, frequencies: DataFrame, n_docs: int, hot: float) -> DataFrame:
@@ -175,7 +164,7 @@ def _pairs(found: DataFrame, frequencies: DataFrame, n_docs: int, hot: float) ->
     has = found.filter(F.size("entity") > 0)
     each = has.select("rid", F.explode("entity").alias("entity"))
     counts = stage(each.groupBy("entity").agg(F.count("*").alias("entity_docs")).filter(F.col("entity_docs") >= LEAST_DOCS), "entities")
-    known = _join_counts(each, counts, ["entity"], "entity_docs", hot).groupBy("rid").agg(F.collect_list(F.struct("entity", "entity_docs")).alias("known"), F.max("entity_docs").alias("most"))
+    known = join_counted(each, counts, ["entity"], "entity_docs", hot).groupBy("rid").agg(F.collect_list(F.struct("entity", "entity_docs")).alias("known"), F.max("entity_docs").alias("most"))
 
     def find(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
@@ -184,10 +173,10 @@ def _pairs(found: DataFrame, frequencies: DataFrame, n_docs: int, hot: float) ->
                 yield {"rid": [rid] * len(terms), "known": [some] * len(terms), "most": [most] * len(terms), "term": terms}
 
     bodies = has.select("rid", "body", "base").join(known, "rid")
-    terms = map_batches(bodies, find, "rid bigint, known array<struct<entity: bigint, entity_docs: bigint>>, most bigint, term string", rows=64)
+    terms = map_batches(bodies, find, "rid bigint, known array<struct<entity: string, entity_docs: bigint>>, most bigint, term string", rows=64)
     # A little slack, as this only leaves out what the exact test would; that one follows.
     may = lambda docs: F.log2(F.lit(float(n_docs)) / F.col("term_docs")) >= DISCLOSURE * F.log2(F.lit(float(n_docs)) / F.col(docs)) - 1e-6
-    met = _join_counts(terms, frequencies.filter(F.col("term_docs") >= LEAST_DOCS), ["term"], "term_docs", hot).filter(may("most"))
+    met = join_counted(terms, frequencies.filter(F.col("term_docs") >= LEAST_DOCS), ["term"], "term_docs", hot).filter(may("most"))
     return met.select("rid", "term", "term_docs", F.explode("known").alias("k")).select("rid", "k.entity", "term", "k.entity_docs", "term_docs").filter(may("entity_docs"))
 
 
@@ -218,9 +207,9 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, counts by kind, base_sha256, spans (all), and the terms' spans with what becomes of them; one row per document."""
     found = _found(docs, text)
     n_docs = found.count()
-    hot = max(HOT_DOCS, HOT_SHARE * n_docs)
+    hot = hot_bound(n_docs)
     pairs = stage(_pairs(found, stage(document_frequencies(docs, text), "terms"), n_docs, hot), "pairs")
-    pairs_revealed = _join_counts(pairs.select("rid", "entity", "term"), stage(disclosing(pairs, n_docs), "revealed"), ["entity", "term"], "both", hot)
+    pairs_revealed = join_counted(pairs.select("rid", "entity", "term"), stage(disclosing(pairs, n_docs), "revealed"), ["entity", "term"], "both", hot)
     listed = _term_spans(found, pairs_revealed.groupBy("rid", "term").agg(F.bool_or("removed").alias("removed")))
     written = F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"], F.lit(":"), t["end"]))
     spans = F.array_join(F.filter(F.concat(F.array("base"), F.coalesce(written, F.array())), lambda s: s != ""), ",")

@@ -3,12 +3,13 @@
 A text's features are its words and pairs of words, in two views: as they are (A-Z lower-cased) and by shape
 (case, digits and marks, and whether a word repeats the one before it). Each is hashed into 2 ** BITS places
 with log counts, scaled to length one per view. Training reads a bounded sample of labelled documents: the
-SAMPLE at most with the smallest seeded hashes of their ids, repeated in further passes where there are fewer. A score
+SAMPLE ids with the smallest seeded hashes, one label and one text each, in further passes where there are fewer. A score
 is the logistic of a sparse dot product with the weights.
 
 Defined cases: a null or empty text has the bias feature only. Rows of labels without an id or a label are
-left out of training; if none is left, all scores are one half. A document without an id counts as held out.
-Repeated rows get the same score. An empty table gives an empty result.
+left out of training; if none is left, all scores are one half. Of several labels of an id the largest counts, of
+several texts the one that sorts first. A document without an id counts as held out. Repeated rows get the same
+score. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, bounded_batches, release_memory
+from .common import WORDS, bounded_batches, release_memory, stage
 
 BITS = 18
 #: The bound on the labelled documents that training reads.
@@ -32,6 +33,9 @@ THRESHOLD = 0.3
 FOLDS = 5
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 
+#: Labelled rows are ordered by hashes of so many bits, which are told apart so many bits at a time.
+ORDER_BITS, STEP_BITS = 60, 12
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MEMO_SIZE = 100_000
 
@@ -95,15 +99,26 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def _bounded(rows: DataFrame, most: int) -> DataFrame:
-    """The rows with the smallest hashes (column _order), ``most`` at most: as many of 2 ** 12 classes of hashes as fit whole."""
-    step = F.shiftrightunsigned(F.col("_order"), 52)
-    held, last = 0, -1
-    for row in sorted(rows.groupBy(step.alias("step")).count().collect(), key=lambda r: r["step"]):
-        held += row["count"]
-        if held > most:
+    """The ``most`` rows with the smallest _order (0 <= _order < 2 ** 60), all if there are no more; one fewer if the last two tie.
+
+    The bound is found digit by digit: each step counts the rows by the next STEP_BITS bits, within the class that the bound
+    falls into, so at most 2 ** STEP_BITS counts come to the driver however many rows there are.
+    """
+    low, need = 0, most
+    for shift in range(ORDER_BITS - STEP_BITS, -1, -STEP_BITS):
+        step = F.shiftrightunsigned("_order", shift)
+        within = rows.filter((F.col("_order") >= low) & (F.col("_order") < low + (1 << (shift + STEP_BITS))))
+        held = 0
+        for row in sorted(within.groupBy(step.alias("step")).count().collect(), key=lambda r: r["step"]):
+            if held + row["count"] > need:
+                low, need = row["step"] << shift, need - held
+                break
+            held += row["count"]
+        else:
+            return rows
+        if not need:
             break
-        last = row["step"]
-    return rows.filter(step <= last)
+    return rows.filter(F.col("_order") < low)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", bits: int = BITS, sample: int = SAMPLE, held_out: bool = True) -> np.ndarray:
@@ -111,8 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     bounded_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col(label).cast("int").alias("_label")).filter("doc_id IS NOT NULL AND _label IS NOT NULL")
     usable = usable.filter(fold(F.col("doc_id"), FOLDS) != 0) if held_out else usable
-    chosen = _bounded(usable.withColumn("_order", F.xxhash64(F.lit(5), "doc_id")), sample)
-    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id")
+    # One row per id, whatever the labels repeat; of the texts under an id, the smallest.
+    one = usable.groupBy("doc_id").agg(F.max("_label").alias("_label")).withColumn("_order", F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 64 - ORDER_BITS))
+    chosen = _bounded(stage(one, "labelled"), sample)
+    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label", "_order").agg(F.min("_text").alias("_text"))
     passes = min(PASSES, max(1, sample // max(1, chosen.count())))
     again = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.lit(passes)))).withColumn("_order", F.xxhash64("_pass", "_order"))
 
@@ -126,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
         del features
         yield pd.DataFrame({"places": [kept.astype(np.int32).tobytes()], "weights": [weights[kept].tobytes()]})
 
-    model = again.select("_text", "_label", "_pass", "_order").repartition(1).sortWithinPartitions("_pass", "_order", "_label", "_text").select("_text", "_label").mapInPandas(fit, "places binary, weights binary").collect()
+    model = again.select("_text", "_label", "_pass", "_order").repartition(1).sortWithinPartitions("_pass", "_order").select("_text", "_label").mapInPandas(fit, "places binary, weights binary").collect()
     weights = np.zeros(1 << bits, dtype=np.float32)
     for part in model:
         weights[np.frombuffer(part["places"], np.int32)] = np.frombuffer(part["weights"], np.float32)

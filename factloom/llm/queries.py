@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import block_naming, bpe_reuse, host_quality, lattice_lm, pii, quality_classifier, repeated_passages, simhash, source_mix, token_files
 from .common import documents
 
-RULE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+RULE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_kept", "kept")
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_quality.judge(documents(spark, sf_dir)).select(*RULE_COLUMNS)
+    return host_quality.judge(documents(spark, sf_dir)).select(*RULE_COLUMNS, F.round("host_failure_rate", 6).alias("host_failure_rate"))
 
 
 def op2_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,8 @@ def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    drawn = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["shard"], d["pass"], d["words"])), ",")
+    return source_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", drawn.alias("draws"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

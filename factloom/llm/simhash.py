@@ -1,21 +1,24 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints that differ in at most two of 64 bits agree on one of three blocks of 21 bits. So the distinct
-fingerprints are dealt three times, each time rotated so that another block leads, and sorted by Gray rank,
-which brings those that agree on the leading block together. Over each such run stands a tree: a node keeps
-the bits that all below it share and that no node above has, and a search adds up the differences on its way
-down and drops a node with all below it as soon as they exceed two. Each run then gives one link from each
+Fingerprints that differ in at most two of 64 bits agree on one of three blocks of bits. So the distinct
+fingerprints are dealt three times, each time by another block, and sorted by Gray rank. Over each run of
+those that agree on the block stands a tree: a node keeps the bits that all below it share and that no node
+above has, and a search adds up the differences on its way down and drops a node with all below it as soon as
+they exceed two. A run of more than MOST_RUN is dealt again, three times, by blocks of its other bits, for
+the same reason, and so on, so no task holds more than a bounded run. Each run then gives one link from each
 fingerprint to the smallest that it is connected with there, never all pairs; the links' connected components
 are found by alternating star contractions.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint zero and are linked like any
 other. Null ids are ignored when the smallest id of a component is sought; a component of such rows alone has
-a null id. Repeated rows get one row each. An empty table gives an empty result.
+a null id. Repeated rows get one row each. Rows are told apart by two hashes of their id and text where one of
+a component is kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,11 +32,10 @@ from .common import bounded_batches, stage, utf8
 SHINGLE = 3
 LIMIT = 2
 SEED = 42
-#: Rotations that bring each block to the front, and the bits of a block.
-ROTATIONS, BLOCK_BITS = (0, 21, 42), 21
 FANOUT = 16
-#: A run of fingerprints is indexed at once up to about this many; more only if they share a leading block.
-RUN = 1 << 15
+#: Runs are indexed together up to about RUN fingerprints. One of more than MOST_RUN is dealt again by further bits, unless
+#: so few are left that it cannot have more than 2 ** LEAST_BITS.
+RUN, MOST_RUN, LEAST_BITS = 1 << 15, 1 << 16, 16
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE = (np.arange(8) * 256).astype(np.int64)
@@ -113,23 +115,21 @@ class GrayIndex:
 def _linked(prints: np.ndarray, starts: np.ndarray, limit: int) -> np.ndarray:
     """For each fingerprint the place of the first one that it is connected with in its run."""
     index, run = GrayIndex(prints, starts), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(prints))))
-    pairs = []
+    label = np.arange(len(prints))
     for at in range(0, len(prints), 4096):
         left, right = index.search(prints[at : at + 4096], run[at : at + 4096], limit)
         ahead = right < left + at
-        pairs.append(np.stack([left[ahead] + at, right[ahead]]))
-    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
-    label = np.arange(len(prints))
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        for side in (label[a], label[b]):
-            np.minimum.at(label, side, low)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if np.array_equal(label, before):
-            return label
+        a, b = left[ahead] + at, right[ahead]
+        while True:
+            one, other = label[a], label[b]
+            apart = one != other
+            if not apart.any():
+                break
+            a, b = a[apart], b[apart]
+            np.minimum.at(label, np.maximum(one, other)[apart], np.minimum(one, other)[apart])
+            while not np.array_equal(label, further := label[label]):
+                label = further
+    return label
 
 
 def _run_links(limit: int):
@@ -160,15 +160,45 @@ def _run_links(limit: int):
     return links
 
 
-def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
+def _blocks(free: int, parts: int) -> list[int]:
+    """The bits of ``free``, from the highest, in consecutive blocks of about the same size, as masks."""
+    bits = [1 << i for i in range(63, -1, -1) if free >> i & 1]
+    return [sum(bits[len(bits) * i // parts : len(bits) * (i + 1) // parts]) for i in range(parts)]
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _dealt(prints: DataFrame, masks: list[int]) -> DataFrame:
+    """fp, mask and lead, its bits under the mask; a row for each of the masks."""
+    each = prints.select("fp", F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in masks))).alias("mask"))
+    return each.withColumn("lead", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def links(prints: DataFrame, limit: int = LIMIT, most: int = MOST_RUN) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that keep every connection of at most ``limit`` bits."""
-    turned = prints.select("fp", F.explode(F.array(*map(F.lit, ROTATIONS))).alias("turn"))
-    rotated = F.when(F.col("turn") == 0, F.col("fp"))
-    for r in ROTATIONS[1:]:
-        rotated = rotated.when(F.col("turn") == r, F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", 64 - r)))
-    ranked = turned.withColumn("rank", _gray_rank(rotated)).select("fp", F.col("turn").cast("long").alias("turn"), F.shiftrightunsigned("rank", 64 - BLOCK_BITS).alias("lead"), F.shiftrightunsigned("rank", 1).alias("rank"))
-    dealt = ranked.repartition("turn", "lead").sortWithinPartitions("turn", "lead", "rank")
-    return dealt.select("fp", "turn", "lead").mapInArrow(_run_links(limit), "a long, b long")
+    everything = (1 << 64) - 1
+    masks = _blocks(everything, limit + 1)
+    runs, done = _dealt(prints, masks), []
+    while True:
+        open_ = [m for m in masks if 64 - m.bit_count() > LEAST_BITS]
+        sizes = runs.filter(F.col("mask").isin([_signed(m) for m in open_])).groupBy("mask", "lead").agg(F.count("*").alias("n"))
+        large = stage(sizes.filter(F.col("n") > most).select("mask", "lead"), "large")
+        again = {r["mask"] for r in large.select("mask").distinct().collect()}  # of a few masks
+        if not again:
+            return reduce(DataFrame.unionByName, [*done, _links_of(runs, limit)])
+        done.append(_links_of(runs.join(large, ["mask", "lead"], "left_anti"), limit))
+        much = stage(runs.join(large, ["mask", "lead"], "left_semi"), "run")
+        deeper = {m: [m | b for b in _blocks(everything & ~m, limit + 1)] for m in open_ if _signed(m) in again}
+        runs = reduce(DataFrame.unionByName, [_dealt(much.filter(F.col("mask") == _signed(m)).select("fp"), inner) for m, inner in deeper.items()])
+        masks = [m for inner in deeper.values() for m in inner]
+
+
+def _links_of(runs: DataFrame, limit: int) -> DataFrame:
+    ranked = runs.withColumn("rank", F.shiftrightunsigned(_gray_rank(F.col("fp")), 1))
+    dealt = ranked.repartition("mask", "lead").sortWithinPartitions("mask", "lead", "rank")
+    return dealt.select("fp", "mask", "lead").mapInArrow(_run_links(limit), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,21 +221,28 @@ def components(edges: DataFrame) -> DataFrame:
         now = stage(oriented(small), "edges")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """One row per document: doc_id, fp (signed), root (the component's smallest fp), fingerprint (hexadecimal) and component_id."""
-    rows = stage(docs.select("doc_id", fingerprints(F.col(text)).alias("fp")), "prints")
+def _rows(docs: DataFrame, text: str, limit: int) -> DataFrame:
+    """doc_id, two hashes of id and text, fp (signed), root (the component's smallest fp) and component_id; one row per document."""
+    keys = {"k1": F.xxhash64("doc_id", text), "k2": F.xxhash64(F.lit(1), "doc_id", text)}
+    rows = stage(docs.select("doc_id", *(c.alias(n) for n, c in keys.items()), fingerprints(F.col(text)).alias("fp")), "prints")
     prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(prints, limit))
     placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named, "fp").select("doc_id", "k1", "k2", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
+    """One row per document: doc_id, fp (signed), root (the component's smallest fp), fingerprint (hexadecimal) and component_id."""
+    return _rows(docs, text, limit).select("doc_id", "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """The document with the smallest id of each component, with all its columns; one row if several repeat that id."""
-    near = near_duplicates(docs, text, limit).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = near.groupBy(F.col("doc_id").alias("_id"), "root").agg(F.min("fp").alias("_fp"), F.count("*").alias("_rows"))
-    keyed = docs.select(F.struct("*").alias("_doc"), "doc_id", fingerprints(F.col(text)).alias("_print"))
-    joined = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_print"] == stay["_fp"]))
-    alone, repeated = joined.filter("_rows = 1"), joined.filter("_rows > 1").dropDuplicates(["_id", "_fp"])
+    rows = _rows(docs, text, limit).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = rows.groupBy("root", "k1", "k2").agg(F.count("*").alias("_rows")).groupBy("root").agg(F.min(F.struct("k1", "k2", "_rows")).alias("first"))
+    stay = first.select("first.*")
+    keyed = docs.select(F.struct("*").alias("_doc"), F.xxhash64("doc_id", text).alias("_k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("_k2"))
+    joined = keyed.join(stay, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
+    alone, repeated = joined.filter("_rows = 1"), joined.filter("_rows > 1").dropDuplicates(["k1", "k2"])
     return alone.unionByName(repeated).select("_doc.*")

@@ -1,19 +1,20 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 A seeded hash deals the documents of each source into blocks, whose order is thereby a random permutation
-of the source. A source's quota is a number of whole passes over its blocks and a number of blocks of one
-more pass, of which the last may be cut at a word, so that the quota holds to the word. A tree over the
-output shards splits the quotas: each node draws how many of its blocks of each source go left from a
-multivariate hypergeometric distribution. Every shard then takes its own stretch of each source's permuted
-blocks, and rows are shuffled within the shard by a second hash.
+of the source. A source's quota is a number of blocks, in as many passes over its permutation as it needs. A
+tree over the output shards splits the quotas: each node draws how many of its blocks of each source go left
+from a multivariate hypergeometric distribution. Every shard then draws its own stretch of each source's
+permuted blocks, disjoint from all others, and rows are shuffled within the shard by a second hash. What the mix
+takes is what its shards draw; of the last block of a quota only the documents that the target still has room
+for are drawn, and the last of them may be cut at a word, so that the quota holds to the word.
 
 Only one row per source comes to the driver, and MAX_SOURCES bounds the sources. The cut is found by sums
 over blocks, then over the cells of the block that it falls into, then over the documents of one cell, so
 no window holds more than BLOCKS rows or one cell (a 2 ** -24 share of a source).
 
 Defined cases: a null text has no words; a document without words is never taken. The null source is a
-source of its own and comes last. Rows that repeat an id are all dealt, alike. An empty table gives an
-empty result.
+source of its own and comes last. Rows that repeat an id are dealt each by its own text; those that repeat both
+are dealt together, and any of them may be the one that is cut. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 SHARDS = 16
+#: The tasks that write one shard. With more data, more of both keep a task's share of rows the same.
+PARTS = 8
 SEED = 20
 MAX_SOURCES = 10_000
 BLOCKS = 4096
@@ -50,7 +53,7 @@ def _source_key(source: Column) -> Column:
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows with their size in words, the key of their source and their place in the permutation."""
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     return docs.withColumns({"_source": _source_key(F.col("source")), "_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_place": place, "_block": F.shiftrightunsigned(place, 52), "_cell": F.shiftrightunsigned(place, 40).bitwiseAND(BLOCKS - 1)})
 
 
@@ -105,7 +108,7 @@ def _cuts(rows: DataFrame, level: str, rests: DataFrame) -> dict[str, tuple[int,
 
 
 def plan_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per source: size, target, passes, the cut, and where each shard's stretch of blocks ends."""
+    """One row per source: size, target, passes, the cut, and where the stretch of blocks of each shard ends; the last one ends with the quota."""
     spark = rows.sparkSession
     plan = _source_plan(rows, weights, share, cap)
     rests = spark.createDataFrame([(s.key, s.rest) for s in plan], "_source string, rest long")
@@ -116,43 +119,49 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     quotas = [s.passes * BLOCKS + (blocks[s.key][0] + 1 if s.rest else 0) for s in plan]
     ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0)
     return spark.createDataFrame(
-        [(s.key, s.size, s.target, s.passes, blocks.get(s.key, (-1, 0))[0], *cells.get(s.key, (-1, 0)), [int(x) for x in ends[:-1, i]]) for i, s in enumerate(plan)],
+        [(s.key, s.size, s.target, s.passes, blocks.get(s.key, (-1, 0))[0], *cells.get(s.key, (-1, 0)), [int(x) for x in ends[:, i]]) for i, s in enumerate(plan)],
         "_source string, source_size long, target double, _passes long, _cut_block long, _cut_cell long, _cut_rest long, _ends array<long>",
     )
 
 
 def draw(rows: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
-    """The sized rows with their draws: pass, shard, words taken and the place in the shard's shuffle."""
+    """The sized rows with their draws, one for each shard and pass whose stretch has their block: pass, shard, words and the place in the shard's shuffle."""
     known = rows.join(F.broadcast(plan), "_source")
-    at_cut = (F.col("_block") == F.col("_cut_block")) & (F.col("_cell") == F.col("_cut_cell"))
+    at_cut = (F.col("_block") == F.col("_cut_block")) & (F.col("_cell") == F.col("_cut_cell")) & (F.col("_size") > 0)
     below = (F.col("_block") < F.col("_cut_block")) | ((F.col("_block") == F.col("_cut_block")) & (F.col("_cell") < F.col("_cut_cell")))
     whole = known.filter(~at_cut).withColumn("_part", F.when(below, F.col("_size")).otherwise(F.lit(0).cast("long")))
     before = F.coalesce(F.sum("_size").over(Window.partitionBy("_source").orderBy("_place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = known.filter(at_cut).withColumn("_part", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_cut_rest") - before)))
-    words = lambda p: F.when(p < F.col("_passes"), F.col("_size")).when(p == F.col("_passes"), F.col("_part")).otherwise(F.lit(0))
-    shard = lambda p: F.size(F.filter("_ends", lambda end: end <= p * BLOCKS + F.col("_block")))
-    one = lambda p: F.struct(p.alias("pass"), shard(p).alias("shard"), words(p).alias("words"), F.xxhash64(F.lit(seed + 1), p, F.col("doc_id")).alias("order"))
-    draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_passes")), one), lambda d: d["words"] > 0)
+    stretch = lambda p: F.size(F.filter("_ends", lambda end: end <= p * BLOCKS + F.col("_block")))
+    in_cut_block = lambda p: (p == F.col("_passes")) & (F.col("_block") == F.col("_cut_block"))
+    words = lambda p: F.when(in_cut_block(p), F.col("_part")).otherwise(F.col("_size"))
+    one = lambda p: F.struct(p.alias("pass"), stretch(p).alias("shard"), words(p).alias("words"), F.xxhash64(F.lit(seed + 1), p, F.col("_place")).alias("order"))
+    draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_passes")), one), lambda d: (d["shard"] < F.size("_ends")) & (d["words"] > 0))
     return whole.unionByName(cut).withColumn("draws", draws)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, draws and taken; one row per document."""
+    """doc_id, source, size, source_size, target, draws and taken, the words of all draws; one row per document."""
     rows = stage(sized(docs).select("doc_id", "_source", "source", "_size", "_place", "_block", "_cell"), "sizes")
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     return draw(rows, plan_mix(rows, **options)).select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "draws", taken.alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: _shard and _order, then the documents' columns; a row per draw, in shards and shuffled within them. A document cut at a word keeps its first words, joined by spaces."""
+def _drawn(docs: DataFrame, **options) -> DataFrame:
+    """_shard, _order and the document; a row per draw. The document at a source's cut comes whole if more than half of it is drawn, else not at all."""
     rows = sized(docs.select("doc_id", "source", "text", F.struct("*").alias("_doc")))
     plan = plan_mix(stage(rows.select("doc_id", "_source", "_size", "_place", "_block", "_cell"), "sizes"), **options)
-    drawn = draw(rows, plan).withColumn("_draw", F.explode("draws"))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_draw.words").cast("int")), " ")
-    text = F.when(F.col("_draw.words") < F.col("_size"), first).otherwise(F.col("text"))
-    return drawn.select(F.col("_draw.shard").alias("_shard"), F.col("_draw.order").alias("_order"), F.col("_doc").withField("text", text).alias("_doc")).select("_shard", "_order", "_doc.*")
+    drawn = draw(rows, plan).withColumn("_draw", F.explode("draws")).filter(2 * F.col("_draw.words") > F.col("_size"))
+    return drawn.select(F.col("_draw.shard").alias("_shard"), F.col("_draw.order").alias("_order"), "_doc")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: _shard, _order and the documents' columns; a row per draw."""
+    return _drawn(docs, **options).select("_shard", "_order", "_doc.*")
 
 
-def shuffled_shards(docs: DataFrame, **options) -> DataFrame:
-    """The mix, each shard in one partition and in its shuffled order."""
-    return mixed_documents(docs, **options).repartition(options.get("shards", SHARDS), "_shard").sortWithinPartitions("_shard", "_order")
+def shuffled_shards(docs: DataFrame, parts: int = PARTS, **options) -> DataFrame:
+    """The documents of the mix, shard by shard and in shuffled order within: a shard is dealt to ``parts`` tasks, each a range of that order."""
+    part = F.floor(F.shiftrightunsigned("_order", 32) * parts / (1 << 32)).cast("int")
+    dealt = _drawn(docs, **options).withColumn("_range", part).repartition("_shard", "_range")
+    return dealt.sortWithinPartitions("_shard", "_range", "_order").select("_doc.*")

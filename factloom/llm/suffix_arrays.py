@@ -2,17 +2,19 @@
 
 The steps are those of induced sorting with the inner loops taken a bucket at a time: suffixes are classed
 as smaller or larger than the next, the leftmost-smaller substrings are sorted by one round of induction and
-named, the string of names is sorted (by induction again if it has few names, else by ranks of three names at
-a time), and a second round induces all suffixes from them. Common prefixes are compared only where the
-preceding bytes differ; everywhere else they are one shorter than at the position before.
+named, the string of names is sorted in the same way (until all names differ), and a second round induces all
+suffixes from them. A string of many symbols has small buckets, so consecutive ones are taken together: suffixes
+that are induced within such a group are put in order by that of the suffixes which they are induced from.
+Common prefixes are compared only where the preceding bytes differ; everywhere else they are one shorter than at
+the position before.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Strings of names with more symbols than this are sorted by ranks instead of buckets.
-MOST_BUCKETS = 400
+#: Buckets are grouped where there are more than this, each group with about so many suffixes.
+MOST_BUCKETS, GROUP = 400, 4096
 END = 0
 SEPARATOR = 255
 
@@ -31,54 +33,110 @@ class _Induction:
 
     def __init__(self, text: np.ndarray):
         self.text, self.small = text, smaller_types(text)
-        self.symbols = int(text.max()) + 1
         leftmost = self.small.copy()
         leftmost[1:] &= ~self.small[:-1]
         leftmost[0] = False
         self.leftmost, self.lms = leftmost, np.flatnonzero(leftmost)
-
-    def _deal(self, places: np.ndarray, buckets: list[list[np.ndarray]], here: int, small: bool) -> np.ndarray:
-        """Sends the suffixes before ``places``, if of the wanted type, to their buckets; gives back those of this bucket."""
-        before = places[places > 0] - 1
-        before = before[self.small[before] == small]
+        size = np.bincount(text)
+        self.group = np.arange(len(size))
+        if len(size) > MOST_BUCKETS:
+            self.group = np.unique((np.cumsum(size) - 1) // GROUP, return_inverse=True)[1]
+        self.groups = int(self.group[-1]) + 1
+        self.alone = np.bincount(self.group) == 1
+        self.of_group = lambda places: self.group[self.text[places]]
+        # How many suffixes of the other type come before those of each symbol.
+        small = np.bincount(text[self.small], minlength=len(size))
+        self.small_before, self.large_upto = np.cumsum(small) - small, np.cumsum(size - small)
+
+    def _before(self, places: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes one place before these, if of the wanted type, and which of these they belong to."""
+        at = np.flatnonzero(places > 0)
+        at = at[self.small[places[at] - 1] == small]
+        return places[at] - 1, at
+
+    def _deal(self, places: np.ndarray, pending: list[list[np.ndarray]], here: int, small: bool) -> np.ndarray:
+        """Sends the suffixes before ``places`` to their groups; gives back those of this group."""
+        before, _ = self._before(places, small)
         if not len(before):
             return before
-        symbols = self.text[before]
-        order = np.argsort(symbols, kind="stable")
-        symbols, before = symbols[order], before[order]
-        cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
+        groups = self.of_group(before)
+        order = np.argsort(groups, kind="stable")
+        groups, before = groups[order], before[order]
+        cuts = np.flatnonzero(groups[1:] != groups[:-1]) + 1
         kept = before[:0]
-        for symbol, part in zip(symbols[np.append(0, cuts)].tolist(), np.split(before, cuts)):
-            if symbol == here:
+        for group, part in zip(groups[np.append(0, cuts)].tolist(), np.split(before, cuts)):
+            if group == here:
                 kept = part
             else:
-                buckets[symbol].append(part)
+                pending[group].append(part)
         return kept
 
-    def _sweep(self, seeds: list[np.ndarray], order: range, small: bool) -> list[np.ndarray]:
-        """Fills the buckets in order; a bucket's own suffixes go first, then its seeds."""
-        buckets: list[list[np.ndarray]] = [[] for _ in range(self.symbols)]
+    def _within(self, own: np.ndarray, seeds: np.ndarray, here: int, small: bool) -> tuple[np.ndarray, np.ndarray]:
+        """A group of several buckets in order, and which of its suffixes are not seeds.
+
+        In each bucket come the suffixes dealt from earlier groups, then those induced within the group, then the seeds. The
+        second are sorted by what they are induced from, following twice as many steps each time.
+        """
+        front, link = np.concatenate([own, seeds]), np.arange(len(own) + len(seeds))
+        items, links = [front], [link]
+        while True:
+            before, at = self._before(front, small)
+            inside = self.of_group(before) == here
+            front, at = before[inside], at[inside]
+            if not len(front):
+                break
+            links.append(link[at] if len(items) == 1 else at + first)
+            first = sum(map(len, items))
+            items.append(front)
+        first = len(own) + len(seeds)
+        places, link = np.concatenate(items), np.concatenate(links)
+        kind = np.repeat([0, 2, 1], [len(own), len(seeds), len(places) - first])
+        bucket = (-3 if small else 3) * self.text[places].astype(np.int64) + kind
+        second = np.where(kind == 1, 0, np.arange(len(places)))
+        while True:
+            key = (bucket - bucket.min()) * len(second) + second
+            order = np.argsort(key)
+            new = key[order[1:]] != key[order[:-1]]
+            bucket = np.empty(len(order), dtype=np.int64)
+            bucket[order] = np.append(0, np.cumsum(new))
+            if new.all():
+                return places[order], kind[order] < 2
+            second, link = bucket[link], link[link]
+
+    def _sweep(self, seeds: np.ndarray, small: bool) -> np.ndarray:
+        """All suffixes of one type in the order of the sweep (downwards for the smaller ones), from seeds in that order."""
+        pending: list[list[np.ndarray]] = [[] for _ in range(self.groups)]
         if small:
-            buckets[END].append(np.array([len(self.text) - 1]))
-        filled: list[np.ndarray] = [np.zeros(0, np.int64)] * self.symbols
-        for symbol in order:
-            own, front = buckets[symbol], np.concatenate(buckets[symbol]) if buckets[symbol] else None
-            while front is not None and len(front):
-                front = self._deal(front, buckets, symbol, small)
-                own.append(front)
-            if own:
-                filled[symbol] = np.concatenate(own)
-            if len(seeds[symbol]):
-                self._deal(seeds[symbol], buckets, symbol, small)
-        return filled
+            pending[0].append(np.array([len(self.text) - 1]))
+        ends = np.cumsum(np.bincount(self.of_group(seeds), minlength=self.groups)[:: -1 if small else 1])
+        dealt = dict(zip(range(self.groups)[:: -1 if small else 1], np.split(seeds, ends[:-1])))
+        out = []
+        for here, mine in dealt.items():
+            parts = pending[here]
+            own = np.concatenate(parts) if parts else mine[:0]
+            if not len(own) and not len(mine):
+                continue
+            if self.alone[here]:
+                front = own
+                while len(front):
+                    front = self._deal(front, pending, here, small)
+                    parts.append(front)
+                self._deal(mine, pending, here, small)
+                out += parts
+            else:
+                places, induced = self._within(own, mine, here, small)
+                self._deal(places, pending, here, small)
+                out.append(places[induced])
+            pending[here] = []
+        return np.concatenate(out) if out else seeds[:0]
 
     def induce(self, lms: np.ndarray) -> np.ndarray:
-        first = self.text[lms]
-        order = np.argsort(first, kind="stable")
-        sizes = np.cumsum(np.bincount(first, minlength=self.symbols))[:-1]
-        large = self._sweep(np.split(lms[order], sizes), range(self.symbols), False)
-        small = self._sweep([b[::-1] for b in large], range(self.symbols - 1, -1, -1), True)
-        return np.concatenate([part for big, little in zip(large, small) for part in (big, little[::-1])])
+        large = self._sweep(lms[np.argsort(self.text[lms], kind="stable")], False)
+        small = self._sweep(large[::-1], True)[::-1]
+        out = np.empty(len(self.text), dtype=np.int64)
+        out[np.arange(len(large)) + self.small_before[self.text[large]]] = large
+        out[np.arange(len(small)) + self.large_upto[self.text[small]]] = small
+        return out
 
     def names(self) -> tuple[np.ndarray, int]:
         """A name for each leftmost-smaller substring, in text order; smaller substrings have smaller names."""
@@ -101,36 +159,13 @@ class _Induction:
         return out, int(named[-1]) + 1
 
 
-def _by_ranks(names: np.ndarray, count: int) -> np.ndarray:
-    """The suffix array of a string of names, by ranks of one, three, nine ... names."""
-    rank, reach = names, 1
-    while True:
-        bits = max(1, int(count).bit_length())
-        shifted = [np.append(rank[reach * i :] + 1, np.zeros(min(reach * i, len(rank)), np.int64))[: len(rank)] for i in range(3 if 3 * bits < 63 else 2)]
-        key = shifted[0]
-        for part in shifted[1:]:
-            key = (key << bits) | part
-        order = np.argsort(key)
-        new = np.append(False, key[order[1:]] != key[order[:-1]])
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        count, reach = int(rank[order[-1]]) + 1, reach * len(shifted)
-        if count == len(names):
-            return order
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Places of the suffixes in order; the text's last symbol is its only END."""
     if len(text) == 1:
         return np.zeros(1, dtype=np.int64)
     induction = _Induction(text)
     names, count = induction.names()
-    if count == len(names):
-        order = np.argsort(names)
-    elif count <= MOST_BUCKETS:
-        order = suffix_array(names)
-    else:
-        order = _by_ranks(names, count)
+    order = np.argsort(names) if count == len(names) else suffix_array(names)
     return induction.induce(induction.lms[order])
 
 

@@ -8,13 +8,12 @@ need, that makes the block smallest, and what does not fit the width goes to a l
 container is Parquet, so files are written by Spark's committer and survive lost executors.
 
 Defined cases: null counts as empty and has the end id only. Null ids come first. Rows that repeat an id are
-written one after another, in the order of their texts. An empty table gives no segments. A document longer
+written one after another, in the order of a hash of their texts, over as many ranges as they need. An empty table gives no segments. A document longer
 than a segment is one segment.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import map_batches, release_memory, shared_dir
+from factloom.sources.staging import staged_path
+
+from .common import map_batches, release_memory
 from .encoding import tokenizer_path, unit_encoder
 
 END_ID = 1
@@ -81,7 +82,7 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, list[int]]:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text", end_id: int = END_ID) -> None:
     """Encodes the documents, appends the end id to each, and writes them in ascending order of doc_id."""
-    ordered = docs.select("doc_id", F.col(text).alias("_text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
+    ordered = docs.select("doc_id", F.col(text).alias("_text"), F.xxhash64(text).alias("_hash")).repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash").drop("_hash")
     end = np.array([end_id], dtype="<u4").tobytes()
     target = to_arrow_schema(StructType.fromDDL(SEGMENTS))
 
@@ -136,7 +137,7 @@ def read_tokens(spark: SparkSession, path: str, *wanted: Column) -> DataFrame:
 def token_digests(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None = None) -> DataFrame:
     """Writes the documents' token files, reads them back: doc_id, start, n_tokens and the crc32 of the ids."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = path or staged_path(spark, "tokens")
     write_tokens(docs, path, tokenizer_path(name))
     return read_tokens(spark, path, F.crc32("ids").alias("ids_crc32"))
 

@@ -24,6 +24,17 @@ def test_host_verdicts_shrink_small_hosts(make_docs):
     assert kept[3001] and not kept[3000] and kept[3002]
 
 
+def test_host_verdict_is_relative_to_the_prior(make_docs):
+    """A rate far below one half is rejected where other hosts hardly fail; where all hosts fail alike, none is."""
+    good = " ".join(f"w{i}" for i in range(60))
+    host = lambda name, n, bad, at: [(at + i, "bad" if i < bad else good, name) for i in range(n)]
+    rows = [r for h in range(12) for r in host(f"h{h}", 100, 4, 1000 * h)] + host("odd", 100, 30, 50_000) + host("small", 4, 1, 60_000)
+    verdicts = {r["source"]: r["host_kept"] for r in host_quality.judge(make_docs(rows)).collect()}
+    assert [h for h, kept in verdicts.items() if not kept] == ["odd"]
+    alike = [r for h in range(12) for r in host(f"h{h}", 100, 30, 1000 * h)]
+    assert all(r["host_kept"] for r in host_quality.judge(make_docs(alike)).collect())
+
+
 def test_rules_take_every_row(make_docs, edge_rows):
     assert host_quality.judge(make_docs(edge_rows)).count() == len(edge_rows)
     assert host_quality.judge(make_docs([])).count() == 0
@@ -39,13 +50,24 @@ def expected_groups(rows):
 
 @pytest.mark.parametrize(("block", "bits"), [(4096, 64), (16, 64), (16, 3)])
 def test_block_naming_equals_comparison_of_texts(make_docs, edge_rows, block, bits):
-    rows = [r for r in edge_rows if r[0] != 10] + [(20, "lang " * 300, "c"), (21, "lang " * 301, "c"), (22, "LANG " * 300, "c")]
+    rows = edge_rows + [(20, "lang " * 300, "c"), (21, "lang " * 301, "c"), (22, "LANG " * 300, "c")]
     found = block_naming.deduplicate(make_docs(rows), block_bytes=block, hash_bits=bits).collect()
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found), key=repr) == expected_groups(rows)
     kept = Counter(r["text_sha256"] for r in found if r["kept"])
     assert set(kept.values()) == {1} and len(kept) == len({r["text_sha256"] for r in found})
 
 
+def test_block_names_are_ranks_whatever_the_partitions(spark, make_docs, edge_rows):
+    docs, found = make_docs(edge_rows), []
+    for partitions in (1, 3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found.append(sorted((str(r["doc_id"]), r["text_sha256"], r["n_blocks"], r["name"]) for r in block_naming.identities(docs.repartition(partitions), block_bytes=16).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1] == found[2]
+    blocks = {t[i : i + 16] for t in ((t or "").translate(LOWER).encode() for _, t, _ in edge_rows) for i in range(0, max(1, len(t)), 16)}
+    assert {r[3] for r in found[0] if r[2] == 1} <= set(range(len(blocks)))
+
+
 def test_unique_documents_keep_columns(make_docs, edge_rows):
     docs = make_docs(edge_rows)
     out = block_naming.unique_documents(docs)
@@ -97,6 +119,20 @@ def test_links_join_a_long_chain(spark):
     assert len({r["root"] for r in roots}) == 1 and len(roots) == len(chain) - 1
 
 
+@pytest.mark.parametrize("most", [1, 7, 1 << 16])
+def test_large_runs_are_dealt_again(spark, most):
+    """Fingerprints that agree on most bits, so that runs are cut by further blocks of bits: components as by brute force."""
+    random = np.random.default_rng(5)
+    flips = np.uint64(1) << random.integers(0, 64, (150, 3)).astype(np.uint64)
+    prints = np.unique(np.uint64(0xF00DFACE12345678) ^ np.bitwise_xor.reduce(flips, axis=1))
+    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(table, most=most)).collect()}
+    label, least = brute_components([int(x) for x in prints]), {}
+    for x, c in zip(prints.view(np.int64).tolist(), label):
+        least[c] = min(x, least.get(c, x))
+    assert [roots.get(x, x) for x in prints.view(np.int64).tolist()] == [least[c] for c in label]
+
+
 def test_one_of_each_keeps_one_row(make_docs, edge_rows):
     docs = make_docs(edge_rows)
     out = simhash.one_of_each(docs)

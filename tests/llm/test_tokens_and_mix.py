@@ -1,10 +1,13 @@
 import hashlib
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from factloom.llm import bpe_reuse, encoding, source_mix, token_files
@@ -39,6 +42,34 @@ def test_joins_are_repaired_at_any_cut():
         assert encoder.join(data, pieces).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_joins_without_spaces_take_linear_time():
+    """Long texts in which the tokenizer's first step finds no place to cut: characters of three bytes, letters, one letter, and runs of spaces."""
+    plain, encoder, source = tokenizer("byte_bpe_50k.json"), bpe_reuse.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(12)
+    for letters, n in (("日本語中国人民大学生活動物", 100_000), ("etaoinshr", 100_000), ("a", 20_000), (" ", 20_000), ("日🙂", 50_000)):
+        text = "".join(source.choice(letters) for _ in range(n))
+        data = text.encode()
+        places = bpe_reuse.cuts(data) if n > 20_000 else [*range(0, n, 700), n]
+        pieces = [(a, b, encoder.encode([data[a:b]])[0]) for a, b in zip(places, places[1:])]
+        began = time.time()
+        joined = encoder.join(data, pieces)
+        assert time.time() - began < 10 and len(pieces) > 25
+        assert joined.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("hot", [None, 1])
+def test_two_long_texts_without_spaces(make_docs, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(bpe_reuse, "hot_bound", lambda rows: hot)
+    source = random.Random(13)
+    text = "".join(source.choice("日本語中国人民大学生活動物") for _ in range(300_000))
+    rows = [(1, text, "a"), (2, text, "b"), (3, "前書き" + text + "end", None)]
+    plain = tokenizer("byte_bpe_50k.json")
+    found = {r["doc_id"]: r for r in bpe_reuse.token_digests(make_docs(rows)).collect()}
+    for i, t, _ in rows:
+        ids = plain.encode(t, add_special_tokens=False).ids
+        assert (found[i]["n_tokens"], found[i]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
 def test_cuts_follow_content():
     source = random.Random(4)
     body = " ".join(f"w{source.randint(0, 10**6)}é" for _ in range(3000)).encode()
@@ -78,7 +109,10 @@ def test_blocks_round_trip():
 
 def test_token_files_round_trip(make_docs, edge_rows, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT", 500)
-    rows = sorted(edge_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    # Spark's xxhash64 is seeded with 42, which is also its hash of null.
+    hashed = lambda t: 42 if t is None else signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    rows = sorted(edge_rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1])))
     found = sorted(token_files.token_digests(make_docs(edge_rows)).collect(), key=lambda r: r["start"])
     plain, start, wanted = tokenizer("word_bpe_49k.json"), 0, []
     for i, t, _ in rows:
@@ -116,10 +150,59 @@ def test_mix_meets_targets_to_the_word(make_docs, edge_rows):
         mine = [r for r in found if r["source"] == name]
         assert {r["source_size"] for r in mine} == {size} and all(r["target"] == pytest.approx(target) for r in mine)
         assert abs(sum(r["taken"] for r in mine) - target) <= 1
-        assert all(0 <= d["shard"] < source_mix.SHARDS for r in mine for d in r["draws"])
     again = sorted((r["doc_id"] or 0, r["taken"]) for r in source_mix.mix(docs).collect())
     assert again == sorted((r["doc_id"] or 0, r["taken"]) for r in found)
-    mixed = source_mix.mixed_documents(docs).drop("_shard", "_order")
-    assert mixed.columns == docs.columns
-    assert sum(len((t or "").split()) for (t,) in mixed.select("text").collect()) == sum(r["taken"] for r in found)
     assert source_mix.mix(make_docs([])).count() == 0
+
+
+def plain_mix(rows, shards, seed):
+    """The mix by plain loops: (source, pass, shard, doc_id, text, words) of all draws."""
+    hashed = lambda i, t: xxhash.xxh64_intdigest(t.encode(), xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)))
+    by_source = {}
+    for i, t, s in rows:
+        by_source.setdefault(s, []).append((hashed(i, t), i, t, len(t.split())))
+    names = sorted(s for s in by_source if s is not None) + [None] * (None in by_source)
+    sizes = [sum(r[3] for r in by_source[s]) for s in names]
+    targets = [min(round(t), 2 * n) for t, n in zip(source_mix.targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))]), sizes)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    draws, quotas = [], []
+    for s, size, target in zip(names, sizes, targets):
+        left, quota = target, 0
+        for p in range(3):
+            # Blocks and cells in order, and within a cell by the signed hash.
+            for place, i, t, n in sorted(by_source[s], key=lambda r: (r[0] >> 40, signed(r[0]))):
+                if n and left:
+                    block = p * source_mix.BLOCKS + (place >> 52)
+                    draws.append((s, block, p, i, t, min(n, left)))
+                    left, quota = left - min(n, left), block + 1
+        # A whole number of passes ends with the last block of the last one.
+        quotas.append(quota if size and target % size else target // size * source_mix.BLOCKS if size else 0)
+    ends = np.cumsum(source_mix.split_quotas(quotas, shards, seed), axis=0)
+    return [(s, p, int(np.searchsorted(ends[:, names.index(s)], block, "right")), i, t, w) for s, block, p, i, t, w in draws], ends, quotas
+
+
+@pytest.mark.parametrize("shards", [1, 5, 16])
+def test_draws_equal_plain_loops(make_docs, shards):
+    """Each draw's pass, shard and words; ids repeat with other texts, and the stretches of all shards cover the quotas."""
+    source = random.Random(16)
+    rows = [(i % 250, f"d{i} " + " ".join("w" for _ in range(source.randint(0, 60))), source.choice(["hot", "hot", "b", "c", None])) for i in range(300)]
+    found = source_mix.mix(make_docs(rows), shards=shards).collect()
+    got = sorted((str(r["source"]), d["pass"], d["shard"], r["doc_id"], d["words"]) for r in found for d in r["draws"])
+    wanted, ends, quotas = plain_mix(rows, shards, source_mix.SEED)
+    assert got == sorted((str(s), p, shard, i, w) for s, p, shard, i, _, w in wanted)
+    assert ends[-1].tolist() == quotas and (np.diff(ends, axis=0) >= 0).all()
+    assert all(r["taken"] == sum(d["words"] for d in r["draws"]) for r in found)
+
+
+def test_shards_hold_whole_documents_in_shuffled_order(make_docs, edge_rows):
+    source = random.Random(17)
+    rows = edge_rows + [(1000 + i, " ".join("w" for _ in range(source.randint(0, 90))), source.choice(["hot", "b", None])) for i in range(300)]
+    docs = make_docs(rows)
+    mixed = source_mix.mixed_documents(docs, shards=4).collect()
+    drawn = Counter((r["doc_id"], d["shard"]) for r in source_mix.mix(docs, shards=4).collect() for d in r["draws"] if 2 * d["words"] > r["size"])
+    assert Counter((r["doc_id"], r["_shard"]) for r in mixed) == drawn
+    assert {(r["doc_id"], r["text"]) for r in mixed} <= {(i, t) for i, t, _ in rows}
+    shuffled = source_mix.shuffled_shards(docs, parts=2, shards=4)
+    assert shuffled.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in shuffled.collect()) == Counter((r["doc_id"], r["text"]) for r in mixed)
+    assert source_mix.shuffled_shards(make_docs([])).count() == 0

@@ -21,7 +21,8 @@ DOMAINS = ("closing", "delivery", "financial", "insurance", "security", "technic
 def stage_columns(role: Column, amendment: Column) -> tuple[Column, Column]:
     """The number and the label of a document's stage; the base comes first, unnumbered amendments last."""
     number = F.regexp_extract(amendment, r"\d+", 0)
-    rank = F.when(role == "base", F.lit(-1)).when(F.coalesce(number, F.lit("")) != "", number.cast("long")).otherwise(F.lit(LAST))
+    # A number beyond any amendment's sorts with the unnumbered ones.
+    rank = F.when(role == "base", F.lit(-1)).when(number.try_cast("long").isNotNull(), number.try_cast("long")).otherwise(F.lit(LAST))
     return rank.cast("long"), F.when(role == "base", F.lit("")).otherwise(F.lower(F.coalesce(amendment, F.lit(""))))
 
 
@@ -56,14 +57,14 @@ def alias_pairs(facts: DataFrame, compose: bool = True) -> DataFrame:
     return pairs.filter((shared >= ALIAS_WORDS) & close & agree(numbers) & agree(structures) & agree(domains)).select("package_id", "key", "other")
 
 
-def merged_keys(facts: DataFrame, pairs: DataFrame, rounds: int = 32) -> DataFrame:
+def merged_keys(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Facts whose keys are connected by alias pairs get the smallest of the connected keys.
 
-    Labels spread along the pairs and then jump to their labels' labels, so few rounds do; the pairs are few beside the facts.
+    Labels spread along the pairs and then jump to their labels' labels until none changes, which takes few rounds; the pairs are few beside the facts.
     """
     both = pairs.unionByName(pairs.select("package_id", F.col("other").alias("key"), F.col("key").alias("other")))
     labels = both.select("package_id", "key").distinct().withColumn("label", F.col("key"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("key", "other").withColumnRenamed("label", "near"), ["package_id", "other"]).groupBy("package_id", "key").agg(F.min("near").alias("near"))
         spread = labels.join(near, ["package_id", "key"]).select("package_id", "key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = spread.select("package_id", F.col("key").alias("label"), F.col("label").alias("jumped"))
@@ -98,6 +99,7 @@ def reconcile(facts: DataFrame, compose: bool = True) -> DataFrame:
     last = F.coalesce(F.max(F.when(valid & (F.col("effect") != "add"), F.col("stage"))).over(group), F.lit(0))
     scalars = F.array_join(assertion_tokens(F.col("value"), compose), "|")
     marked = ordered.withColumns({"current": valid & (F.col("effect") != "delete") & (F.col("stage") >= last), "owned": F.col("key").startswith("owned:") | F.col("key").startswith("derived:"), "value_key": normalised(F.col("value"), compose), "scalars": scalars})
+    marked = stage(marked, "marked")  # so that tokens are made once, not in each window below
     now = lambda c: F.when(F.col("current"), c)
 
     def differ(window) -> Column:
@@ -114,7 +116,7 @@ def reconcile(facts: DataFrame, compose: bool = True) -> DataFrame:
 
 def conflicts(reconciled: DataFrame) -> DataFrame:
     """One row per conflicted key: id, topic, the differing values and a safe answer. Of several stages the last is reported."""
-    clashing = reconciled.filter("status = 'conflicted'")
+    clashing = stage(reconciled.filter("status = 'conflicted'"), "conflicted")
     order = F.struct("stage_number", "stage_label", "document_sha256", "id")
     last = clashing.groupBy("package_id", "key").agg(F.max("stage").alias("_last"), F.count_distinct("stage").alias("_stages"))
     within = clashing.groupBy("package_id", "key", "stage").agg(F.count_distinct("value_key").alias("_values"))

@@ -34,11 +34,31 @@ def cost_rollup(events: DataFrame, *keys: str) -> DataFrame:
 
 
 def cost_status(events: DataFrame, run: str) -> DataFrame:
-    """Per run: no attempt priced yet, still pending, estimated or actual."""
+    """Per run with attempts: still pending, estimated or actual. A run without any is told apart in runs.status_view()."""
     flags = events.groupBy(run).agg(F.bool_or(F.col("status") == "pending").alias("pending"), F.bool_or(F.col("actual_micro_usd").isNull()).alias("estimated"))
     return flags.select(run, F.when(F.col("pending"), "estimated_pending").when(F.col("estimated"), "estimated_complete").otherwise("actual_complete").alias("cost_status"))
 
 
+def provider_costs(events: DataFrame, provider: str = "provider") -> DataFrame:
+    """cost_rollup() by provider with the calls' latency; events that are still pending are an error, as their cost is not known."""
+    settled = events.withColumn("status", F.when(F.col("status") == "pending", F.raise_error(F.lit("a pending event has no final cost"))).otherwise(F.col("status")))
+    return cost_rollup(settled, provider).join(events.groupBy(provider).agg(F.coalesce(F.sum("latency_ms"), F.lit(0)).alias("latency_ms")), provider)
+
+
+def merged_costs(old: DataFrame, new: DataFrame, attempt: str, order: str) -> DataFrame:
+    """Events after new ones came in: of those with the same attempt the newest, of those without one each full value once."""
+    both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
+    last = Window.partitionBy(attempt).orderBy(F.desc("_side"), F.desc(order))
+    named = both.filter(F.col(attempt).isNotNull()).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_side")
+    return named.unionByName(both.filter(F.col(attempt).isNull()).drop("_side").distinct())
+
+
+def token_totals(batches: DataFrame, *keys: str) -> DataFrame:
+    """Tokens, bytes and the upper bound of the cost of a group's calls: each may be rounded up on its own."""
+    sums = batches.groupBy(*keys).agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("bytes").alias("bytes"), F.count("*").alias("calls"))
+    return sums.withColumn("most_micro_usd", token_cost(F.col("tokens_in"), F.col("tokens_out")) + F.col("calls") - 1)
+
+
 def unpriced(events: DataFrame, expected: DataFrame, run: str) -> DataFrame:
     """Expected (provider, operation) pairs of each run without a priced event."""
     priced = events.filter(F.coalesce("actual_micro_usd", "estimated_micro_usd").isNotNull()).select(run, "provider", "operation").distinct()

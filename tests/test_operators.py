@@ -4,6 +4,7 @@ import itertools
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
@@ -145,3 +146,46 @@ def test_staged_tables_can_be_dropped(spark):
     path = table.inputFiles()[0]
     assert staging.drop_staged(spark) == 1 and staging.drop_staged(spark) == 0
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_quotes_are_located_like_plain_search(spark):
+    """Long, short and very short quotes, within words and across lines, against plain search."""
+    from factloom.operators import citations
+
+    pages = {1: "Alpha beta gamma delta epsilon zeta eta theta\niota kappa", 2: "beta gamma and more", 3: "", 4: None, 5: "xx ab yy", 6: "Alpha beta gamma delta epsilon zeta eta theta iota"}
+    quotes = {1: "ta gamma delta epsilon zeta eta theta\nio", 2: "eta gam", 3: "gamma", 4: "a", 5: "ab", 6: "beta gamma and", 7: "", 8: None, 9: "not there at all", 10: "mm", 11: "lpha beta gamma delta epsilon zeta eta th", 12: "eta theta iota", 13: "zzzzz"}
+    found = citations.locate_quotes(spark.createDataFrame(list(quotes.items()), "q long, text string"), spark.createDataFrame(list(pages.items()), "p long, text string"), "q", "p")
+    assert {tuple(r) for r in found.collect()} == {(q, p) for q, t in quotes.items() for p, s in pages.items() if t and s and t in s}
+    nothing = spark.createDataFrame([], "q long, text string")
+    assert citations.locate_quotes(nothing, spark.createDataFrame(list(pages.items()), "p long, text string"), "q", "p").count() == 0
+
+
+def test_only_broken_words_are_mended(spark):
+    from factloom.operators import citations
+
+    pages = spark.createDataFrame([("d", 1, "The contractor must de liver the re port by noon today."), ("d", 2, "Something else entirely is here."), ("d", 3, "T he contractor must deliver the report by noon today.")], "document_sha256 string, page int, text string")
+    quote = "contractor must deliver the report by noon"
+    asked = spark.createDataFrame([("a", "d", quote), ("b", "d", "T he contractor must deliver the report"), ("c", "d", "nowhere to be found in any page")], "candidate_id string, document_sha256 string, evidence_quote string")
+    found = {r["candidate_id"]: (r["page"], r["method"]) for r in citations.verify_citations(asked, pages).collect()}
+    assert found["a"] == (3, "exact") and found["b"] == (3, "exact") and found["c"] == (None, "manual_required")
+
+
+def test_unnumbered_amendments_leave_a_package_incomplete(spark):
+    from factloom.operators import packages
+
+    rows = [("p", "base", None), ("p", "amendment", "A"), ("q", "base", None), ("q", "amendment", "1"), ("r", "base", None), ("r", "amendment", "9" * 30)]
+    found = packages.completeness(spark.createDataFrame([(p, r, a, "S1") for p, r, a in rows], "package_id string, role string, amendment_number string, solicitation_number string"))
+    assert {r["package_id"]: r["completeness"] for r in found.collect()} == {"p": "incomplete", "q": "unverified", "r": "incomplete"}
+
+
+def test_bounded_union_and_pending_costs_fail_loudly(spark):
+    from factloom.operators import ledgers, records
+
+    rows = spark.createDataFrame([("g", i) for i in range(4)], "g string, x long")
+    assert records.bounded_union(rows, rows, ("g",), 4).count() == 4
+    with pytest.raises(Exception, match="more rows than 3"):
+        records.bounded_union(rows, rows, ("g",), 3).collect()
+    costs = spark.createDataFrame([("a", "pending", 1, None, 5), ("a", "failed", None, 2, 6)], "provider string, status string, actual_micro_usd long, estimated_micro_usd long, latency_ms long")
+    assert ledgers.provider_costs(costs.filter("status = 'failed'")).first()["latency_ms"] == 6
+    with pytest.raises(Exception, match="pending"):
+        ledgers.provider_costs(costs).collect()

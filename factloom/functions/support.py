@@ -68,12 +68,15 @@ def only_points_elsewhere(text: Column, compose: bool = True) -> Column:
     return plain.rlike(LOCATED) & ~plain.rlike(OBLIGED)
 
 
+def methods_in(plain: Column) -> Column:
+    """All selection methods that a text in lower case names."""
+    return F.array_compact(F.array(*[F.when(plain.rlike(B0 + pattern + B1), F.lit(name)) for name, pattern in METHODS.items()]))
+
+
 def selection_method(text: Column, compose: bool = True) -> Column:
-    """The one selection method that a text names; null if it names none or several."""
-    plain = normalised(text, compose)
-    named = {name: plain.rlike(B0 + pattern + B1) for name, pattern in METHODS.items()}
-    named["lowest_price"] = named["lowest_price"] & ~named["lowest_evaluated_price"]
-    found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in named.items()]))
+    """The one selection method that a text names; null if it names none or several. The lowest evaluated price is not also the lowest price."""
+    named = methods_in(normalised(text, compose))
+    found = F.when(F.array_contains(named, "lowest_evaluated_price"), F.array_remove(named, "lowest_price")).otherwise(named)
     return F.when(F.size(found) == 1, F.element_at(found, 1))
 
 

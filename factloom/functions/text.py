@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The white space of the source language, and what evidence normalisation folds.
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -23,8 +25,14 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
+@cache
+def _nfkc_udf():
+    """Made once, so that Spark sees equal calls as equal and evaluates them once."""
+    return F.pandas_udf(_nfkc, StringType(), F.PandasUDFType.SCALAR)
+
+
 def nfkc(col: Column) -> Column:
-    return F.pandas_udf(_nfkc, "string", F.PandasUDFType.SCALAR)(col)
+    return _nfkc_udf()(col)
 
 
 #: The same characters as in SPACE, one by one.

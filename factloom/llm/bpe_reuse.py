@@ -2,7 +2,7 @@
 
 A rolling hash over the bytes cuts every text where its content says so, so passages that documents share
 fall into equal chunks. A chunk that occurs more than once is encoded once, in the first document that has
-it, and its ids go to all its places; what lies between shared chunks is encoded where it stands. Where two
+it, and its ids go to all its places; rows that repeat an id and its text are one document, encoded once; what lies between shared chunks is encoded where it stands. Where two
 pieces meet, the ids around the join are repaired: a window around the join is encoded anew and has to agree
 exactly, at both ends, with the ids that stand there; if it does not, it grows.
 
@@ -11,7 +11,7 @@ are equal if their 128-bit hashes are; their bytes are not compared again. The r
 share are dealt to SALTS tasks, to each of which the chunk's ids go.
 
 Defined cases: null counts as empty and has no ids. Rows are told apart by two hashes of their id and text,
-so rows that repeat an id are encoded by their own texts, and rows that repeat both get the same ids. A text
+so rows that repeat an id are encoded by their own texts, and rows that repeat both get the same ids, each row its own. A text
 without any place to cut is one chunk. An empty table gives an empty result.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -37,6 +38,8 @@ LEAST_CHUNK = 256
 REACH = 96
 #: The tokenizer's first step looks less far: at a special token, a contraction and a character beyond.
 MARGIN = 24
+#: Documents are encoded and given out in batches of so many.
+ROWS = 256
 #: Rows of a hot chunk meet its ids in so many tasks.
 SALTS = 16
 _GEAR = np.random.default_rng(2).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -187,19 +190,28 @@ def _compressed(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]
         yield {"k1": batch["k1"], "k2": batch["k2"], "doc_id": batch["doc_id"], "body": [pack(utf8(t)) for t in batch["_text"]]}
 
 
+def _repeated(batch: dict[str, list], copies: list[int]) -> Iterator[dict[str, list]]:
+    """The batch with each row as often as it has copies, in batches of ROWS at most."""
+    rows = (i for i, n in enumerate(copies) for _ in range(n))
+    while some := list(islice(rows, ROWS)):
+        yield {name: [values[i] for i in some] for name, values in batch.items()}
+
+
 def encode(docs: DataFrame, finish: Callable[[Encoder, np.ndarray], tuple], columns: str, tokenizer: str, text: str = "text") -> DataFrame:
     """doc_id and what ``finish`` makes of each document's ids, in ``columns``."""
     base = _keyed(docs, text)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     places = stage(map_batches(base.select(*_ROW, "_text"), _occurrences, "k1 bigint, k2 bigint, at int, h1 bigint, h2 bigint"), "chunks")
-    owner = F.min(F.struct(*_ROW, "at"))
-    shared = stage(places.groupBy(*_CHUNK).agg(F.count("*").alias("n"), owner.alias("owner")).filter("n > 1"), "shared")
+    place = F.struct(*_ROW, "at")
+    # A repeated row has the same places, so its chunks are not shared for that.
+    shared = stage(places.groupBy(*_CHUNK).agg(F.count("*").alias("n"), F.min(place).alias("owner"), F.max(place).alias("last")).filter("owner < last").drop("last"), "shared")
     hot = hot_bound(shared.agg(F.sum("n")).first()[0] or 0)
-    own = F.col("owner") == F.struct(*_ROW, "at")
+    own = F.col("owner") == place
     salt = F.when(F.col("n") > hot, F.pmod(F.xxhash64(*_ROW, "at"), F.lit(SALTS))).otherwise(0).cast("int")
     mine = stage(join_counted(places, shared, list(_CHUNK), "n", hot).select(*_ROW, "at", *_CHUNK, own.alias("own"), salt.alias("salt")), "reused")
     salts = F.broadcast(shared.filter(F.col("n") > hot).select(*_CHUNK, F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts")))
     texts = map_batches(base, _compressed, f"k1 bigint, k2 bigint, doc_id {id_type}, body binary", rows=512)
+    texts = texts.groupBy(*_ROW).agg(F.first("doc_id").alias("doc_id"), F.first("body").alias("body"), F.count("*").alias("copies"))
     unpack = lambda body: zstandard.ZstdDecompressor().decompress(body)
 
     def encode_owned(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
@@ -239,15 +251,15 @@ def encode(docs: DataFrame, finish: Callable[[Encoder, np.ndarray], tuple], colu
             for (piece, _), ids in zip(fresh, encoder.encode([t for _, t in fresh])):
                 piece[2] = ids
             rows = [finish(encoder, encoder.join(data, [tuple(p) for p in pieces])) for data, pieces in jobs]
-            yield {"doc_id": batch["doc_id"]} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
+            yield from _repeated({"doc_id": batch["doc_id"]} | {n: [r[i] for r in rows] for i, n in enumerate(names)}, batch["copies"])
         encoder.units.forget()
 
     owned = mine.filter("own").groupBy(*_ROW).agg(F.collect_set("at").alias("owned"))
     # Both joins read the same columns in the same way, so that the texts' exchange is made once and used twice.
-    tokens = map_batches(texts.join(owned, list(_ROW), "left").select("doc_id", "body", "owned"), encode_owned, "h1 bigint, h2 bigint, ids binary", rows=256).dropDuplicates(list(_CHUNK))
+    tokens = map_batches(texts.join(owned, list(_ROW), "left").select("doc_id", "body", "copies", "owned"), encode_owned, "h1 bigint, h2 bigint, ids binary", rows=ROWS).dropDuplicates(list(_CHUNK))
     dealt = tokens.join(salts, list(_CHUNK), "left").withColumn("salt", F.explode(F.coalesce("salts", F.array(F.lit(0))))).drop("salts")
     parts = mine.select(*_ROW, "at", *_CHUNK, "salt").join(dealt, [*_CHUNK, "salt"]).groupBy(*_ROW).agg(F.collect_set(F.struct("at", "ids")).alias("parts"))
-    return map_batches(texts.join(parts, list(_ROW), "left").select("doc_id", "body", "parts"), assemble, f"doc_id {id_type}, {columns}", rows=256)
+    return map_batches(texts.join(parts, list(_ROW), "left").select("doc_id", "body", "copies", "parts"), assemble, f"doc_id {id_type}, {columns}", rows=ROWS)
 
 
 def token_ids(docs: DataFrame, name: str = "byte_bpe_50k.json", text: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from factloom.llm import bpe_reuse, encoding, source_mix, token_files
+from factloom.llm.common import stage
 
 PARTS = ["the", "a", "  ", "\n", "\n\n", " x", "don't", "'s", "it's,", "<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "é", " ", "日本", "😀", "12", "3.5", "...", "!!", "\t", "Word ", " \n ", ",", ".", "é,", "_,", "²,", "́", "Σ", "İ", "×,", "A.B", "'ll!"]
 
@@ -96,6 +97,18 @@ def test_bpe_round_trip(make_docs, edge_rows):
     assert bpe_reuse.token_digests(make_docs([])).count() == 0
 
 
+def test_repeated_rows_are_encoded_once_and_all_given_out(make_docs, edge_rows, monkeypatch):
+    rows = edge_rows * 3 + [(60, "the same text again, " * 90, "a")] * (bpe_reuse.ROWS + 44)
+    plain = tokenizer("byte_bpe_50k.json")
+    sizes = Counter((i, len(plain.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in bpe_reuse.token_digests(make_docs(rows)).collect()) == sizes
+
+    staged = []
+    monkeypatch.setattr(bpe_reuse, "stage", lambda df, name: staged.append((name, stage(df, name))) or staged[-1][1])
+    assert bpe_reuse.token_digests(make_docs([(1, edge_rows[0][1], "a")] * 5)).count() == 5
+    assert dict(staged)["shared"].count() == 0
+
+
 def test_blocks_round_trip():
     source = np.random.default_rng(5)
     for high in (1, 2, 100, 50_000, 1 << 17, 1 << 32):

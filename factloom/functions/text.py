@@ -19,6 +19,7 @@ PLAIN_QUOTES = "\"\"''"
 
 #: Word limits that hold for ASCII letters, digits and underscores only, whatever the regex engine's own rule is.
 B0, B1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+EDGE = rf"(?:{B0}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_]){B1})"
 
 
 def _nfkc(values: pd.Series) -> pd.Series:

@@ -6,11 +6,17 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.text import EDGE
+
 from .pages import owning_core
 
+#: Whole numbers up to this are exact in a double.
+LARGEST = 2**53 - 1
+# Fixed value: wording in a document that addresses a model rather than a reader; case does not matter, and lines do not end it.
+INJECTION = r"\b(?:ignore|disregard|override|forget)\b.{0,80}\b(?:(?:prior|previous|earlier|above|all)\s+)?(?:instructions?|directions?|rules?|system|developer|prompt)\b|\bdo\s+not\s+(?:follow|obey)\b.{0,80}\b(?:instructions?|directions?|rules?|prompt)\b|\b(?:system|developer)\s+(?:message|prompt)\b|\b(?:browse|search)\s+(?:the\s+)?(?:web|internet)\b|\b(?:call|invoke|use)\s+(?:a\s+)?(?:tool|function)\b|\b(?:reveal|print|return|output)\b.{0,60}\b(?:hidden|system|developer)\s+(?:prompt|instructions?)\b"
 # How each channel is mentioned, in order of precedence.
 CHANNELS = {
     "email": r"\be-?mail(?:ed|ing|s)?\b|\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
@@ -103,3 +109,26 @@ def sections(lines: DataFrame, document: str, order: str, heading: str) -> DataF
     """Each line with the last heading at or before it."""
     carried = F.last(heading, ignorenulls=True).over(Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return lines.withColumn("section", carried)
+
+
+def injected(text: Column) -> Column:
+    """Whether a text has wording that addresses a model; null has none."""
+    return F.coalesce(text.rlike("(?is)" + INJECTION.replace(r"\b", EDGE)), F.lit(False))
+
+
+def tainted_batches(texts: DataFrame, batch: str, text: str = "text") -> DataFrame:
+    """Per batch its texts, how many of them address a model, and whether the batch is tainted: one taints it all."""
+    return texts.groupBy(batch).agg(F.count("*").alias("texts"), F.count_if(injected(F.col(text))).alias("injected")).withColumn("tainted", F.col("injected") > 0)
+
+
+def absolute_offsets(base: Column, start: Column, length: Column, condition_start: Column, condition_length: Column) -> Column:
+    """A relation's offsets, and its condition's, in the source that begins at ``base``; the condition's count from the relation.
+
+    Null for a relation that is empty or goes beyond the largest exact whole number; without a condition its offsets are null.
+    """
+    begin, end = base + start, base + start + length
+    condition = begin + condition_start
+    condition_end = condition + condition_length
+    ends = F.greatest(end, condition_end)
+    offsets = F.struct(begin.alias("start"), end.alias("end"), condition.alias("condition_start"), condition_end.alias("condition_end"))
+    return F.when((length > 0) & (ends <= LARGEST), offsets)

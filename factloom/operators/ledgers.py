@@ -186,3 +186,11 @@ def redacted(key: Column, value: Column, longest: int = 500, kept: int = 120) ->
     secret = key.rlike(r"(?i)authorization|cookie|token|secret|signed|source_url|upload_url|raw|markdown|pdf")
     cut = F.concat(F.substring(value, 1, kept), F.lit("…[REDACTED "), (F.length(value) - kept).cast("string"), F.lit(" chars]"))
     return F.when(secret, "[REDACTED]").when(F.length(value) > longest, cut).otherwise(value)
+
+
+def attempt_id(*parts: Column) -> Column:
+    """An id in the form of a UUID of version 5 from the digest of the parts, so that an attempt made again has the same id."""
+    digest = F.sha2(F.concat_ws(":", *parts), 256)
+    cut = lambda at, n: F.substring(digest, at, n)
+    variant = F.lower(F.conv(F.conv(cut(17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8).cast("string"), 10, 16))
+    return F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("5"), cut(14, 3)), F.concat(variant, cut(18, 3)), cut(21, 12))

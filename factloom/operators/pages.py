@@ -110,3 +110,9 @@ def output_caps(batches: DataFrame, total: int, floor: str, used: str, package:
     earlier = F.coalesce(F.sum(used).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     later = F.coalesce(F.sum(floor).over(ordered.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
     return batches.withColumn("output_cap", F.greatest(F.lit(total) - earlier - later, F.lit(0)))
+
+
+def joined(pages: DataFrame, document: str, order: str, text: str = "text") -> DataFrame:
+    """Each document's pages in order, a blank line between them; pages without a text count as empty."""
+    page = F.struct(order, F.coalesce(text, F.lit("")).alias("_page"))
+    return pages.groupBy(document).agg(F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda p: p["_page"]), "\n\n").alias(text))

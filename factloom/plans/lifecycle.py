@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import citations, extract, ledgers, materialize, packages, records, runs, uploads
+from factloom.operators import citations, coverage, extract, ledgers, materialize, packages, pages, records, runs, uploads
 from factloom.sources.tables import pages_of_documents, table
 
 from .structural import CHUNKS_SQL, COSTS_SQL, SENTENCES_SQL, SHA, _chunks, _costs
@@ -449,12 +449,48 @@ Q_TEXT_OVERLAP = """WITH b AS (SELECT item_id, substring(text, 1, 60) AS t, subs
 SELECT a.item_id, o.item_id AS other_id FROM b a JOIN b o ON a.item_id % 5 = o.item_id % 5 AND CASE WHEN a.item_id % 4 <> 0 THEN contains(a.t, o.r) OR contains(o.r, a.t) ELSE a.t = o.t END"""
 
 
+def q_tainted_batches(spark, sf_dir):
+    """Documents by source as batches."""
+    return coverage.tainted_batches(table(spark, sf_dir, "documents"), "source")
+
+
+Q_TAINTED = f"SELECT source, count(*) AS texts, count(*) FILTER (regexp_matches(text, '{coverage.INJECTION}', 'is')) AS injected, count(*) FILTER (regexp_matches(text, '{coverage.INJECTION}', 'is')) > 0 AS tainted FROM documents GROUP BY 1"
+
+
+def q_relation_offsets(spark, sf_dir):
+    """Line items as relations: some empty, some beyond what is exact, half of them with a condition."""
+    n = F.col("l_partkey")
+    base = F.when(n % 11 == 0, F.lit(coverage.LARGEST)).otherwise(n)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", coverage.absolute_offsets(base, F.col("l_suppkey"), n % 7, F.when(n % 2 == 0, n % 5), F.when(n % 2 == 0, n % 3)).alias("at"))
+    return lines.select("l_orderkey", "l_linenumber", F.col("at").isNotNull().alias("valid"), "at.*")
+
+
+Q_OFFSETS_OF_RELATIONS = f"""WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 THEN {coverage.LARGEST} ELSE l_partkey END + l_suppkey AS b, l_partkey % 7 AS n, CASE WHEN l_partkey % 2 = 0 THEN l_partkey % 5 END AS c, l_partkey % 3 AS m FROM lineitem),
+v AS (SELECT *, n > 0 AND b + n <= {coverage.LARGEST} AND (c IS NULL OR b + c + m <= {coverage.LARGEST}) AS valid FROM l)
+SELECT l_orderkey, l_linenumber, valid, CASE WHEN valid THEN b END AS start, CASE WHEN valid THEN b + n END AS "end", CASE WHEN valid THEN b + c END AS condition_start, CASE WHEN valid THEN b + c + m END AS condition_end FROM v"""
+
+
+def q_joined_pages(spark, sf_dir):
+    return pages.joined(_chunks(spark, sf_dir), "document_sha256", "ordinal").select("document_sha256", F.sha2("text", 256).alias("text_sha256"))
+
+
+Q_JOINED = f"WITH {CHUNKS_SQL} SELECT document_sha256, sha256(string_agg(text, chr(10) || chr(10) ORDER BY ordinal)) AS text_sha256 FROM chunks GROUP BY 1"
+
+
+def q_attempt_ids(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ledgers.attempt_id(F.lit("extraction"), F.col("l_orderkey"), F.col("l_linenumber")).alias("attempt_id"))
+
+
+Q_ATTEMPTS = """WITH d AS (SELECT l_orderkey, l_linenumber, sha256('extraction:' || l_orderkey || ':' || l_linenumber) AS h FROM lineitem)
+SELECT l_orderkey, l_linenumber, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ('89ab')[strpos('0123456789abcdef', h[17]) % 4 + CASE WHEN strpos('0123456789abcdef', h[17]) % 4 = 0 THEN 4 ELSE 0 END] || h[18:20] || '-' || h[21:32] AS attempt_id FROM d"""
+
+
 SQL = {
     "q_status_view": Q_STATUS_VIEW, "q_publishable": Q_PUBLISHABLE, "q_admission_claims": Q_ADMISSION, "q_dispatch_claims": Q_DISPATCH, "q_processing_claims": Q_PROCESSING, "q_lease_expired_updates": Q_LEASE_EXPIRED, "q_cleanup_retries": Q_RETRIES,
     "q_recovery_sweep": Q_RECOVERY, "q_maintenance_summary": Q_MAINTENANCE, "q_cleanup_candidates": Q_CANDIDATES, "q_expiry": Q_EXPIRY, "q_owner_view": Q_OWNER, "q_cancelled_runs": Q_CANCEL, "q_one_active_run": Q_ONE_ACTIVE, "q_source_watchdogs": Q_WATCHDOGS,
     "q_cleanup_disclosure": Q_DISCLOSURE, "q_plan_fits": Q_PLAN, "q_request_checks": Q_REQUESTS, "q_page_allowance": Q_ALLOWANCE, "q_upload_quotas": Q_UPLOAD_QUOTAS, "q_upload_claims": Q_UPLOAD_CLAIMS, "q_upload_sweep": Q_UPLOAD_SWEEP, "q_cost_merge": Q_COST_MERGE,
     "q_provider_costs": Q_PROVIDER_COSTS, "q_token_totals": Q_TOKEN_TOTALS, "q_receipt_merge": Q_RECEIPTS, "q_cascading_delete": Q_CASCADE, "q_bounded_merge": Q_BOUNDED, "q_recovered_first": Q_RECOVERED, "q_same_manifests": Q_MANIFESTS, "q_ordered_union": Q_ORDERED,
     "q_annotation_match": Q_ANNOTATIONS, "q_coverage_header": Q_HEADER, "q_worst_binding": Q_WORST, "q_chosen_batch": Q_CHOSEN, "q_most_complete": Q_MOST_COMPLETE, "q_json_bytes": Q_JSON, "q_populated_values": Q_POPULATED, "q_requirement_counts": Q_REQUIREMENTS,
-    "q_summary_values": Q_SUMMARY, "q_citation_offsets": Q_OFFSETS, "q_citation_in_chunk": Q_IN_CHUNK, "q_text_overlap": Q_TEXT_OVERLAP,
+    "q_summary_values": Q_SUMMARY, "q_citation_offsets": Q_OFFSETS, "q_citation_in_chunk": Q_IN_CHUNK, "q_text_overlap": Q_TEXT_OVERLAP, "q_tainted_batches": Q_TAINTED, "q_relation_offsets": Q_OFFSETS_OF_RELATIONS, "q_joined_pages": Q_JOINED, "q_attempt_ids": Q_ATTEMPTS,
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -15,7 +15,7 @@ CITATION = [*RECORD, "citation"]
 MERGED = ["package_id", "kind", "record_id"]
 # How well a record is bound to its source, best first, and the most citations of a record.
 BINDINGS = ("exact_bound", "unlocated", "coverage_gap", "relation_gap", "relation_conflict")
-MOST_CITATIONS = 8
+MOST_CITATIONS = 3
 
 
 def placed_citations(citations: DataFrame, bindings: DataFrame, pages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import adjudication
+from factloom.operators import adjudication, authority, pages
 from factloom.sources.tables import table
 
 
@@ -99,5 +99,82 @@ s AS (SELECT p, sum(CASE WHEN k % 11 = 0 THEN 2 ELSE 1 END) AS expected_pages, c
 SELECT p AS package_id, expected_pages, covered_pages, NOT short AND bases = 1 AND (amendments = 0 OR CASE WHEN p % 5 = 0 THEN amendments = 1 WHEN p % 7 = 0 THEN FALSE ELSE amendments = 2 OR first END) AS metadata_complete, n_units, n_units > 160 AS capacity_exceeded FROM s"""
 
 
-SQL = {"q_adjudicated_units": Q_UNITS, "q_adjudication_headers": Q_HEADERS, "q_ledger_headers": Q_LEDGER}
+def _origins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A record per document, which cites its own text once or twice; pairs of documents are merged into one record."""
+    k, n = F.col("k"), F.length("text")
+    sha = F.sha2(k.cast("string"), 256).alias("document_sha256")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text")).filter("k IS NOT NULL")
+    place = [F.floor(k / 20).alias("package_id"), F.floor(k / 4).alias("batch_id"), F.lit("c").alias("kind"), (k % 4).alias("ordinal")]
+    pair = F.floor(k / 2)
+    records = docs.select(*place, pair.alias("record_id"), sha, (k % 29 == 0).alias("tainted"))
+    relevance = F.when((pair % 3 == 2) & (k % 5 == 0), "u").when(pair % 3 == 0, "s").otherwise("n").alias("relevance")
+    times = F.when(k % 23 == 0, 0).when(k % 19 == 0, 2).otherwise(1)
+    annotations = docs.select(*place, relevance, F.explode(F.array_repeat(F.lit(1), times))).drop("col")
+    annotations = annotations.unionByName(docs.filter(k % 97 == 0).select(*place[:3], F.lit(9).alias("ordinal"), F.lit("n").alias("relevance")))
+    at = F.explode(F.when(n > 2760, F.array(F.lit(10), F.lit(2690))).otherwise(F.array(F.lit(10)))).alias("at")
+    cited = docs.filter(k % 31 != 0).select("k", "text", at).withColumn("citation", F.when(F.col("at") == 10, 0).otherwise(1))
+    elsewhere = F.when(k % 17 == 0, "elsewhere").otherwise(F.sha2(k.cast("string"), 256)).alias("document_sha256")
+    citations = cited.select(*place, "citation", elsewhere, F.substring("text", F.col("at") + 1, F.lit(40)).alias("evidence_quote"))
+    start = F.col("at") + F.when(k % 13 == 0, 1).otherwise(0)
+    bindings = cited.select(*place, "citation", sha, F.lit(1).alias("page"), start.alias("start"), (start + 40).alias("end"))
+    texts = docs.select(sha, F.lit(1).alias("page"), "text")
+    units = pages.cores(docs.select("k", sha, F.lit(1).alias("page"), "text"), keep=("k", "document_sha256", "page")).filter((k + F.col("core")) % 7 != 0)
+    units = units.withColumn("candidate_id", F.concat_ws("-", k.cast("string"), F.col("core").cast("string"))).withColumnsRenamed({"context_start": "source_start", "context_end": "source_end"})
+    first = F.col("core") == 0
+    spoken = units.filter((first & (k % 3 < 2)) | ((F.col("core") == 1) & (k % 2 == 0)))
+    begin = F.when(~first, 2700).when(k % 3 == 0, 0).otherwise(20)
+    second = first & (k % 3 == 1)
+    relations = spoken.select(
+        "candidate_id", begin.alias("relation_start"), F.when(~first, 2710).when(k % 3 == 0, 30).otherwise(60).alias("relation_end"), F.when(second & (k % 11 == 0), "ambiguous").otherwise("whole_bid").alias("subject_scope"),
+        F.when(k % 37 == 0, "unknown").otherwise("required").alias("modality"), F.when(~second, "email").when(k % 4 == 0, "unspecified").otherwise("portal").alias("channel"),
+    )
+    return authority.origin_records(records, annotations, citations, bindings, texts, units, relations), annotations, records
+
+
+ORIGINS_SQL = """WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, doc_id // 2 AS pair, CASE WHEN doc_id // 2 % 3 = 2 AND doc_id % 5 = 0 THEN 'u' WHEN doc_id // 2 % 3 = 0 THEN 's' ELSE 'n' END AS rel FROM documents WHERE doc_id IS NOT NULL),
+c AS (SELECT *, a + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS s, CASE WHEN a = 10 THEN 0 ELSE 1 END AS c FROM (SELECT *, unnest(CASE WHEN n > 2760 THEN [10, 2690] ELSE [10] END) AS a FROM d WHERE k % 31 <> 0)),
+f AS (SELECT *, (k + c) % 7 <> 0 AND s + 19 < least(n, c * 2700 + 2700) AND s + 40 <= least(n, least(n, c * 2700 + 2700) + 250) AS covered, CASE WHEN c = 0 THEN k % 3 < 2 ELSE k % 2 = 0 END AS over,
+  c = 0 AND k % 3 = 1 AS second, second AND k % 11 = 0 AS amb, NOT (second AND k % 4 = 0) AS named, k % 37 = 0 AS unk FROM c),
+o AS (SELECT k, c, over, covered AND over AND NOT amb AND named AS whole, CASE WHEN second THEN 'portal' ELSE 'email' END AS channel, CASE WHEN k % 17 = 0 THEN 'cross_document_citation' WHEN substring(t, s + 1, 40) <> substring(t, a + 1, 40) THEN 'invalid_private_source_binding' WHEN NOT covered THEN 'incomplete_occurrence_coverage'
+  WHEN rel = 's' AND NOT over THEN 'relationless_submission_record' WHEN rel = 's' AND (amb OR unk OR NOT named) THEN 'submission_relation_conflict' WHEN rel = 'n' AND over AND named THEN 'non_submission_relation_overlap' WHEN rel = 'u' THEN 'semantic_uncertainty' END AS why,
+  substring(t, s + 1, 40) = substring(t, a + 1, 40) AND k % 17 <> 0 AS bound FROM f),
+g AS (SELECT k, arg_min(why, c) FILTER (why IS NOT NULL) AS why, coalesce(list_sort(list(DISTINCT channel) FILTER (whole AND bound)), []) AS channels FROM o GROUP BY 1),
+h AS (SELECT k, pair, rel AS told, CASE WHEN k % 23 = 0 THEN 'missing_annotation' WHEN k % 19 = 0 THEN 'duplicate_annotation' WHEN k % 29 = 0 THEN 'prompt_injection' WHEN k % 31 = 0 THEN 'missing_exact_citation' END AS before, why, channels FROM d LEFT JOIN g USING (k)),
+r AS (SELECT k, pair, CASE WHEN k % 23 <> 0 AND k % 19 <> 0 THEN told END AS relevance, coalesce(before, why) AS reason, CASE WHEN before IS NOT NULL THEN 'unlocated' WHEN why IS NULL OR why = 'semantic_uncertainty' THEN 'exact_bound' WHEN why IN ('cross_document_citation', 'invalid_private_source_binding') THEN 'unlocated'
+  WHEN why = 'incomplete_occurrence_coverage' THEN 'coverage_gap' WHEN why = 'relationless_submission_record' THEN 'relation_gap' ELSE 'relation_conflict' END AS source_binding,
+  CASE WHEN reason IS NULL THEN 'consistent' WHEN before IS NULL AND (why IN ('relationless_submission_record', 'submission_relation_conflict', 'non_submission_relation_overlap', 'semantic_uncertainty') OR (why = 'incomplete_occurrence_coverage' AND told = 's')) THEN 'disagrees' ELSE 'unknown' END AS semantic_crosscheck,
+  CASE WHEN reason IS NULL THEN 'verified' ELSE 'discarded' END AS publication, CASE WHEN before IS NULL THEN channels ELSE [] END AS channels FROM h)"""
+
+
+def q_record_origins(spark, sf_dir):
+    origins = _origins(spark, sf_dir)[0]
+    return origins.select("package_id", "batch_id", "ordinal", "record_id", "relevance", "reason", "source_binding", "semantic_crosscheck", "publication", F.array_join("channels", ",").alias("channels"))
+
+
+Q_ORIGINS = f"{ORIGINS_SQL} SELECT k // 20 AS package_id, k // 4 AS batch_id, k % 4 AS ordinal, pair AS record_id, relevance, reason, source_binding, semantic_crosscheck, publication, array_to_string(channels, ',') AS channels FROM r"
+
+
+def q_record_authorities(spark, sf_dir):
+    return authority.merged_authorities(_origins(spark, sf_dir)[0]).withColumn("channels", F.array_join("channels", ","))
+
+
+MERGED_SQL = f"""{ORIGINS_SQL}, m AS (SELECT k // 20 AS package_id, pair AS record_id, count(*) AS n_origins, list(DISTINCT relevance) FILTER (relevance IS NOT NULL) AS rels, arg_min(reason, k) FILTER (reason IS NOT NULL) AS why,
+  arg_max(source_binding, list_position(['exact_bound', 'unlocated', 'coverage_gap', 'relation_gap', 'relation_conflict'], source_binding)) AS source_binding, bool_or(semantic_crosscheck = 'disagrees') AS dis, bool_or(semantic_crosscheck = 'unknown') AS unk,
+  bool_and(publication = 'verified') AS ver, bool_and(source_binding NOT IN ('unlocated', 'coverage_gap')) AS exact, array_to_string(list_sort(list_distinct(flatten(list(channels)))), ',') AS channels FROM r GROUP BY 1, 2),
+a AS (SELECT package_id, 'c' AS kind, record_id, n_origins, CASE WHEN len(rels) = 1 THEN rels[1] END AS relevance, CASE WHEN coalesce(len(rels), 0) <> 1 THEN 'duplicate_record_relevance_disagreement' ELSE why END AS reason, source_binding,
+  CASE WHEN coalesce(len(rels), 0) <> 1 THEN CASE WHEN exact THEN 'disagrees' ELSE 'unknown' END WHEN dis THEN 'disagrees' WHEN unk THEN 'unknown' ELSE 'consistent' END AS semantic_crosscheck,
+  CASE WHEN ver AND len(rels) = 1 AND NOT dis AND NOT unk THEN 'verified' ELSE 'discarded' END AS publication, channels FROM m)"""
+Q_AUTHORITIES = f"{MERGED_SQL} SELECT * FROM a"
+
+
+def q_authority_vetoes(spark, sf_dir):
+    origins, annotations, records = _origins(spark, sf_dir)
+    return authority.package_vetoes(authority.merged_authorities(origins), annotations, records)
+
+
+Q_VETOES = f"""{MERGED_SQL}, w AS (SELECT DISTINCT k // 20 AS package_id, TRUE AS stray FROM d WHERE k % 97 = 0)
+SELECT package_id, stray IS NULL AS complete, CASE WHEN stray IS NULL THEN count_if(publication = 'verified') ELSE 0 END AS published, stray IS NULL AND bool_or(semantic_crosscheck = 'disagrees') AS veto FROM a LEFT JOIN w USING (package_id) GROUP BY package_id, stray"""
+
+
+SQL = {"q_adjudicated_units": Q_UNITS, "q_adjudication_headers": Q_HEADERS, "q_ledger_headers": Q_LEDGER, "q_record_origins": Q_ORIGINS, "q_record_authorities": Q_AUTHORITIES, "q_authority_vetoes": Q_VETOES}
 QUERIES = {name: globals()[name] for name in SQL}

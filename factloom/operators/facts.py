@@ -128,3 +128,29 @@ def conflicts(reconciled: DataFrame) -> DataFrame:
     slug = F.substring(F.regexp_replace(F.regexp_replace("key", "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 48)
     answer = F.concat(F.lit("The supplied "), who, F.lit(" is internally inconsistent; clarification is required."))
     return rows.select("package_id", F.concat(F.lit("conflict-"), F.when(slug == "", "topic").otherwise(slug)).alias("id"), "topic", "candidate_values", answer.alias("safe_answer"))
+
+
+def reconcile_together(collections: dict[str, DataFrame], compose: bool = True) -> DataFrame:
+    """Facts of several collections (claims, requirements) reconciled once more as one package, with ``collection``.
+
+    A value superseded or conflicted by a fact of another collection is so in its own; facts without a right to change
+    others need review.
+    """
+    named = [df.withColumns({"collection": F.lit(name), "id": F.concat(F.lit(name + ":"), "id")}) for name, df in collections.items()]
+    together = named[0]
+    for df in named[1:]:
+        together = together.unionByName(df)
+    done = reconcile(together, compose)
+    own = F.expr("substring(id, length(collection) + 2)")
+    return done.withColumns({"id": own, "status": F.when(F.col("authorised"), F.col("status")).otherwise("needs_review")})
+
+
+def supported_conflicts(conflicts: DataFrame, citations: DataFrame, origins: DataFrame, discarded: DataFrame) -> DataFrame:
+    """The conflicts (package_id, id) with two citations or more, all verified and on a page, and no origin that was discarded.
+
+    ``citations`` has these keys, verified and page; ``origins`` has them and origin, as ``discarded`` has package_id and origin.
+    """
+    keys = ["package_id", "id"]
+    cited = citations.groupBy(keys).agg(F.count("*").alias("_n"), F.bool_and(F.col("verified") & F.col("page").isNotNull()).alias("_all")).filter("_n >= 2 AND _all")
+    gone = origins.join(discarded.select("package_id", "origin").distinct(), ["package_id", "origin"], "left_semi").select(*keys).distinct()
+    return conflicts.join(cited.select(*keys), keys, "left_semi").join(gone, keys, "left_anti")

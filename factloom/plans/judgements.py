@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import adjudication, authority, pages
+from factloom.operators import adjudication, alignment, authority, evaluation, facts, packages, pages
 from factloom.sources.tables import table
 
+from .structural import VERSIONS_SQL, _versions
+
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").dropDuplicates(["l_orderkey", "l_linenumber"])
@@ -176,5 +178,108 @@ Q_VETOES = f"""{MERGED_SQL}, w AS (SELECT DISTINCT k // 20 AS package_id, TRUE A
 SELECT package_id, stray IS NULL AS complete, CASE WHEN stray IS NULL THEN count_if(publication = 'verified') ELSE 0 END AS published, stray IS NULL AND bool_or(semantic_crosscheck = 'disagrees') AS veto FROM a LEFT JOIN w USING (package_id) GROUP BY package_id, stray"""
 
 
-SQL = {"q_adjudicated_units": Q_UNITS, "q_adjudication_headers": Q_HEADERS, "q_ledger_headers": Q_LEDGER, "q_record_origins": Q_ORIGINS, "q_record_authorities": Q_AUTHORITIES, "q_authority_vetoes": Q_VETOES}
+def _rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A rule per line item, whose field and faults follow from its keys, and what is cited for it."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q")).groupBy("l_orderkey", "l_linenumber").agg(F.min("q").alias("q"))
+    m, q, n = F.col("l_orderkey") + F.col("l_linenumber"), F.col("q"), F.col("l_linenumber") % 4
+    text = lambda *parts: F.concat(*[p.cast("string") if hasattr(p, "cast") else F.lit(p) for p in parts])
+    shown = q + F.when(m % 5 == 0, 1).otherwise(0)
+    field = F.when(n == 0, "technical_weight").when(n == 1, "rated_threshold").when(n == 2, "mandatory_gate").otherwise("selection_method")
+    value = F.when(n == 0, text(q, "%")).when(n == 1, text(q, " out of 60")).when(n == 2, F.when(m % 3 == 0, "false").otherwise("true")).otherwise(F.when(m % 7 == 0, "best value").otherwise("Lowest price"))
+    gate = F.when(m % 5 == 0, "Mandatory criteria may be required.").when(m % 3 == 0, "There are no mandatory criteria that bids must meet.").otherwise("All mandatory criteria must be met.")
+    award = F.when(m % 5 == 0, "The award is not based on the lowest price.").otherwise("The award is based on the lowest price.")
+    quote = F.when(n == 0, text("The technical weight is ", shown, "% and the price weight is ", 100 - shown, "%.")).when(n == 1, text("Bidders must obtain a minimum score of ", shown, " points out of 60.")).when(n == 2, gate).otherwise(award)
+    key = [F.col("l_orderkey").alias("package_id"), F.col("l_linenumber").alias("rule_id")]
+    verified = (m % 11 != 0).alias("verified")
+    more = lines.filter((n == 0) & (m % 7 == 0)).select(*key, text("Technical: ", q + 2, " percent").alias("evidence_quote"), verified)
+    return lines.select(*key, field.alias("field"), value.alias("value")), lines.select(*key, quote.alias("evidence_quote"), verified).unionByName(more)
+
+
+RULES_SQL = """WITH l AS (SELECT l_orderkey AS package_id, l_linenumber AS rule_id, min(CAST(l_quantity AS INTEGER)) AS q, l_orderkey + l_linenumber AS m FROM lineitem GROUP BY l_orderkey, l_linenumber),
+r AS (SELECT package_id, rule_id, ['technical_weight', 'rated_threshold', 'mandatory_gate', 'selection_method'][rule_id % 4 + 1] AS field,
+  CASE rule_id % 4 WHEN 0 THEN q || '%' WHEN 1 THEN q || ' out of 60' WHEN 2 THEN CASE WHEN m % 3 = 0 THEN 'false' ELSE 'true' END ELSE CASE WHEN m % 7 = 0 THEN 'best value' ELSE 'Lowest price' END END AS value,
+  CASE WHEN rule_id % 4 = 0 THEN q || '.0' ELSE value END AS parsed, m % 11 <> 0 AND m % 5 <> 0 AND (rule_id % 4 NOT IN (0, 3) OR m % 7 <> 0) AS valid FROM l)"""
+
+
+def q_evaluation_rules(spark, sf_dir):
+    rules, citations = _rules(spark, sf_dir)
+    return evaluation.validated_rules(rules, citations, compose=False).withColumn("parsed", evaluation.parsed_value(F.col("field"), F.col("value")))
+
+
+Q_RULES = f"{RULES_SQL} SELECT package_id, rule_id, field, value, parsed, valid, CAST(valid AS INTEGER) AS n_bound FROM r"
+
+
+def q_evaluation_fields(spark, sf_dir):
+    rules = q_evaluation_rules(spark, sf_dir)
+    return packages.evaluation_fields(rules.withColumns({"status": F.when(F.col("valid"), "active").otherwise("needs_review"), "value": F.col("parsed")}))
+
+
+Q_FIELDS = f"{RULES_SQL} SELECT package_id, " + ", ".join(f"CASE WHEN count(DISTINCT parsed) FILTER (field = '{f}') = 1 THEN max(parsed) FILTER (field = '{f}') END AS {f}" for f in packages.EVALUATION_FIELDS) + " FROM r WHERE valid GROUP BY 1"
+
+
+def q_package_facts(spark, sf_dir):
+    """Facts of two collections, reconciled as one package."""
+    versions = facts.topic_keys(_versions(spark, sf_dir), compose=False)
+    claim = F.split_part(F.col("id"), F.lit("-"), F.lit(4)).cast("int") % 2 == 1
+    done = facts.reconcile_together({"claim": versions.filter(claim), "requirement": versions.filter(~claim)}, compose=False)
+    return done.select("package_id", "collection", "id", "status")
+
+
+TOGETHER_SQL = VERSIONS_SQL.replace("concat_ws(", "CASE WHEN l_suppkey % 2 = 1 THEN 'claim:' ELSE 'requirement:' END || concat_ws(")
+Q_TOGETHER = f"WITH {TOGETHER_SQL} SELECT CAST(p AS VARCHAR) AS package_id, split_part(id, ':', 1) AS collection, split_part(id, ':', 2) AS id, CASE WHEN effect = 'add' OR (am AND ok AND n > 1) THEN status ELSE 'needs_review' END AS status FROM r"
+
+
+def q_supported_conflicts(spark, sf_dir):
+    """Orders stand for conflicts, their lines for citations and suppliers for origins, some of which are discarded."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("package_id"), F.col("o_orderkey").alias("id"))
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "id").join(orders, "id")
+    citations = lines.select("package_id", "id", (F.col("l_returnflag") != "R").alias("verified"), F.nullif(F.col("l_linenumber"), F.lit(7)).alias("page"))
+    origins = lines.select("package_id", "id", F.col("l_suppkey").alias("origin"))
+    return facts.supported_conflicts(orders, citations, origins, origins.filter(F.col("origin") % 7 == 0).select("package_id", "origin").filter(F.col("package_id") % 2 == 0))
+
+
+Q_SUPPORTED = """WITH l AS (SELECT o_custkey AS package_id, l_orderkey AS id, l_returnflag <> 'R' AND l_linenumber <> 7 AS ok, o_custkey % 2 = 0 AND l_suppkey % 7 = 0 AS gone FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT package_id, id FROM l GROUP BY 1, 2 HAVING count(*) >= 2 AND bool_and(ok) AND NOT bool_or(gone)"""
+
+
+def q_text_occurrences(spark, sf_dir):
+    """Where the first two characters of a turn start in it again."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    found = alignment.occurrences(F.col("text"), F.substring("text", 1, 2))
+    return turns.select("conv_id", "turn", F.array_join(found, ",").alias("starts"))
+
+
+Q_OCCURRENCES = """SELECT conv_id, turn, CASE WHEN length(coalesce(text, '')) = 0 THEN '' ELSE array_to_string(list_filter(range(0, length(text)), lambda i: substring(text, i + 1, least(2, length(text))) = substring(text, 1, 2)), ',') END AS starts FROM conversations"""
+
+
+def q_quote_selectors(spark, sf_dir):
+    """A stretch of each turn with its spaces doubled, searched for in the turns of its conversation."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), " +", " "))
+    quote = F.regexp_replace(F.substring("text", 4, 12), " ", " \n")
+    quotes = turns.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("quote_id"), "conv_id", quote.alias("quote"))
+    fragments = turns.select("conv_id", F.col("turn").alias("fragment_id"), "text")
+    return alignment.unique_places(quotes, fragments, "conv_id").drop("quote")
+
+
+Q_SELECTORS = """WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), ' +', ' ', 'g') AS text FROM conversations), q AS (SELECT conv_id || '-' || turn AS quote_id, conv_id, substring(text, 4, 12) AS quote FROM t),
+p AS (SELECT quote_id, turn, CASE WHEN quote <> '' AND quote = trim(quote) THEN list_filter(range(0, length(text)), lambda i: substring(text, i + 1, length(quote)) = quote) END AS places, length(quote) AS n FROM q JOIN t USING (conv_id)),
+s AS (SELECT quote_id, sum(coalesce(len(places), 0)) AS n_places, bool_or(places IS NULL) AS refused, max(CASE WHEN len(places) > 0 THEN turn END) AS turn, max(places[1]) AS place, any_value(n) AS n FROM p GROUP BY 1)
+SELECT quote_id, conv_id, n_places, CASE WHEN n_places = 1 AND NOT refused THEN turn END AS fragment_id, CASE WHEN n_places = 1 AND NOT refused THEN place END AS start, CASE WHEN n_places = 1 AND NOT refused THEN place + n END AS "end" FROM q JOIN s USING (quote_id)"""
+
+
+def q_sealed_manifests(spark, sf_dir):
+    """Customers' rows sealed, some of them changed since."""
+    now = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    before = now.withColumn("c_name", F.when(F.col("c_custkey") % 10 == 0, "other").otherwise(F.col("c_name")))
+    return alignment.intact(alignment.sealed(before, "c_custkey", "c_name", "c_nationkey"), now, "c_custkey", "c_name", "c_nationkey")
+
+
+Q_SEALED = """WITH b AS (SELECT c_custkey, '{"c_name":"' || CASE WHEN c_custkey % 10 = 0 THEN 'other' ELSE c_name END || '","c_nationkey":' || c_nationkey || '}' AS j FROM customer)
+SELECT c_custkey, sha256(j) AS digest, strlen(j) AS bytes, TRUE AS fits, c_custkey % 10 <> 0 AS intact FROM b"""
+
+
+SQL = {
+    "q_adjudicated_units": Q_UNITS, "q_adjudication_headers": Q_HEADERS, "q_ledger_headers": Q_LEDGER, "q_record_origins": Q_ORIGINS, "q_record_authorities": Q_AUTHORITIES, "q_authority_vetoes": Q_VETOES,
+    "q_evaluation_rules": Q_RULES, "q_evaluation_fields": Q_FIELDS, "q_package_facts": Q_TOGETHER, "q_supported_conflicts": Q_SUPPORTED, "q_text_occurrences": Q_OCCURRENCES, "q_quote_selectors": Q_SELECTORS, "q_sealed_manifests": Q_SEALED,
+}
 QUERIES = {name: globals()[name] for name in SQL}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import adjudication, alignment, authority, evaluation, facts, packages, pages
+from factloom.operators import adjudication, alignment, authority, evaluation, fact_keys, facts, packages, pages
 from factloom.sources.tables import table
 
 from .structural import VERSIONS_SQL, _versions
@@ -278,8 +278,100 @@ Q_SEALED = """WITH b AS (SELECT c_custkey, '{"c_name":"' || CASE WHEN c_custkey
 SELECT c_custkey, sha256(j) AS digest, strlen(j) AS bytes, TRUE AS fits, c_custkey % 10 <> 0 AS intact FROM b"""
 
 
+def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line per key, with its quantity and a number from its keys."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q")).groupBy("l_orderkey", "l_linenumber").agg(F.min("q").alias("q"))
+    return lines.select(F.col("l_orderkey").alias("package_id"), F.col("l_linenumber").alias("id"), "q", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("m"))
+
+
+SOURCED_SQL = "WITH l AS (SELECT l_orderkey AS package_id, l_linenumber AS id, min(CAST(l_quantity AS INTEGER)) AS q, l_orderkey * 8 + l_linenumber AS m FROM lineitem GROUP BY ALL)"
+
+
+def _worded(template: str, number) -> F.Column:
+    return F.replace(F.lit(template), F.lit("#"), number.cast("string"))
+
+
+def _by(m, *cases) -> F.Column:
+    out = F.when(m % len(cases) == 0, cases[0])
+    for n, case in enumerate(cases[1:], 1):
+        out = out.when(m % len(cases) == n, case)
+    return out
+
+
+def q_source_keys(spark, sf_dir):
+    """Facts whose sources are worded in eight ways; some have another value, are not verified, or cite another document."""
+    m, q = F.col("m"), F.col("q")
+    kinds = F.floor(m / 8) + F.col("id")
+    quotes = ("The deductible of the insurance is # in total.", "The contract end date is year # at last.", "The projection horizon is year # at last.", "Basis of payment in its entirety is set at # items.", "See appendix 1 compliance table row # there.", "Commercial general liability coverage is # in total.", "Parking is for # cars.", "The deductible of the insurance is # in total. The insurance contact is person # there.")
+    lines = _sourced(spark, sf_dir)
+    given = lines.select("package_id", "id", F.when(kinds % 13 == 0, "Table of values").otherwise("Values").alias("topic"), (q + F.when(kinds % 5 == 0, 100).otherwise(0)).cast("string").alias("value"), F.lit("d").alias("document_sha256"))
+    citations = lines.select("package_id", "id", F.when(kinds % 11 == 0, "e").otherwise("D").alias("document_sha256"), _by(kinds, *[_worded(t, q) for t in quotes]).alias("evidence_quote"), (kinds % 7 != 0).alias("verified"))
+    return fact_keys.source_keys(given, citations, compose=False)
+
+
+Q_SOURCE_KEYS = f"""{SOURCED_SQL}, k AS (SELECT *, m // 8 + id AS n FROM l)
+SELECT package_id, id, CASE n % 8 WHEN 0 THEN 'insurance:deductible' WHEN 1 THEN 'contract:end' WHEN 2 THEN 'projection:horizon' WHEN 3 THEN 'document:basis-of-payment' WHEN 4 THEN 'document:m3-appendix-1:row:' || lpad(CAST(q AS VARCHAR), 2, '0') ELSE 'insurance:cgl:coverage' END AS source_key
+FROM k WHERE n % 5 > 0 AND n % 7 > 0 AND n % 11 > 0 AND n % 8 < 6 AND (n % 13 > 0 OR n % 8 = 4)"""
+
+
+def q_deadline_keys(spark, sf_dir):
+    """Deadlines in four wordings; of an extended one only the new date counts."""
+    kinds, d = F.floor(F.col("m") / 8) + F.col("id"), F.col("q") % 28 + 1
+    quotes = ("Questions must be submitted by March #, 2021.", "Bids must be received by March #, 2021.", "The closing date is extended from March #, 2021 to April #, 2021.", "Deliveries are expected on March #, 2021.")
+    value = F.when(kinds % 5 == 0, _worded("May #, 2021", d)).when((kinds % 4 == 2) & (kinds % 3 > 0), _worded("April #, 2021", d)).otherwise(_worded("March #, 2021", d))
+    lines = _sourced(spark, sf_dir)
+    citations = lines.select("package_id", "id", _by(kinds, *[_worded(t, d) for t in quotes]).alias("evidence_quote"), (kinds % 7 != 0).alias("verified"))
+    return fact_keys.deadline_keys(lines.select("package_id", "id", value.alias("value")), citations, compose=False)
+
+
+Q_DEADLINES = f"""{SOURCED_SQL}, k AS (SELECT *, m // 8 + id AS n FROM l)
+SELECT package_id, id, CASE WHEN n % 4 = 0 THEN 'deadline:questions' ELSE 'deadline:solicitation' END AS deadline_key FROM k WHERE n % 5 > 0 AND n % 7 > 0 AND n % 4 < 3 AND (n % 4 < 2 OR n % 3 > 0)"""
+
+
+def q_mutation_targets(spark, sf_dir):
+    kinds, q = F.floor(F.col("m") / 8) + F.col("id"), F.col("q")
+    quotes = ("the limit is amended from # to 9#", "the amount is replaced by 9# instead of #", "new value is 9#", "the limit stays at #", "the revised technical ratio is 9# and not #", "the fee was changed to # and is now increased to 9#")
+    return _sourced(spark, sf_dir).select("package_id", "id", fact_keys.mutation_target(_by(kinds, *[_worded(t, q) for t in quotes])).alias("target"))
+
+
+Q_TARGETS = f"{SOURCED_SQL} SELECT package_id, id, CASE WHEN (m // 8 + id) % 6 <> 3 THEN '9' || q END AS target FROM l"
+
+
+def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds, q = F.floor(F.col("m") / 8) + F.col("id"), F.col("q")
+    findings = ("The insurance deductible is #", "The deadline for questions is # days ahead", "The insurance deductible is # but the closing date is near", "Parking is scarce for # cars")
+    lines = _sourced(spark, sf_dir)
+    value = _by(kinds, *[_worded(t, q) for t in findings])
+    citations = lines.select("package_id", "id", F.lit("d").alias("document_sha256"), F.when(kinds % 5 == 0, "Nothing of this applies here.").otherwise(F.concat(value, F.lit(", all told."))).alias("evidence_quote"), (kinds % 7 != 0).alias("verified"))
+    return fact_keys.risk_lineage(lines.select("package_id", "id", value.alias("value"), F.lit("d").alias("document_sha256")), citations, compose=False)
+
+
+RISKS_SQL = f"""{SOURCED_SQL}, k AS (SELECT *, m // 8 + id AS n FROM l),
+r AS (SELECT package_id, id, q, CASE WHEN n % 5 = 0 OR n % 7 = 0 THEN [] ELSE CASE n % 4 WHEN 0 THEN ['insurance:deductible'] WHEN 1 THEN ['deadline:questions'] WHEN 2 THEN ['deadline:solicitation', 'insurance:deductible'] ELSE [] END END AS keys FROM k)"""
+
+
+def q_risk_lineage(spark, sf_dir):
+    return _risks(spark, sf_dir).select("package_id", "id", "lineage", F.array_join("keys", ",").alias("keys"))
+
+
+Q_RISKS = f"{RISKS_SQL} SELECT package_id, id, CASE len(keys) WHEN 0 THEN 'unbound' WHEN 1 THEN 'bound' ELSE 'ambiguous' END AS lineage, array_to_string(keys, ',') AS keys FROM r"
+
+
+def q_stale_risks(spark, sf_dir):
+    """Every other line stands for a superseded amount of the deductible, some for one in conflict."""
+    status = F.when((F.col("package_id") % 9 == 0) & (F.col("id") == 1), "conflicted").when(F.col("id") % 2 == 1, "superseded").otherwise("active")
+    known = _sourced(spark, sf_dir).select("package_id", F.lit("insurance:deductible").alias("fact_key"), _worded("#", F.col("q")).alias("value"), status.alias("status"))
+    return fact_keys.stale_risks(_risks(spark, sf_dir), known, compose=False).select("package_id", "id", "dependency")
+
+
+Q_STALE = f"""{RISKS_SQL}, g AS (SELECT package_id, q FROM l GROUP BY 1, 2 HAVING bool_or(id % 2 = 1) AND NOT bool_or(id % 2 = 0) AND package_id % 9 > 0),
+d AS (SELECT DISTINCT package_id FROM l WHERE package_id % 9 = 0 AND id = 1), h AS (SELECT * FROM g UNION ALL SELECT package_id, q FROM l WHERE package_id % 9 = 0 AND package_id NOT IN (SELECT package_id FROM d) GROUP BY 1, 2 HAVING bool_or(id % 2 = 1) AND NOT bool_or(id % 2 = 0))
+SELECT r.package_id, r.id, CASE WHEN h.q IS NULL OR NOT list_contains(keys, 'insurance:deductible') THEN NULL WHEN len(keys) = 1 THEN 'stale' ELSE 'ambiguous' END AS dependency FROM r LEFT JOIN h ON r.package_id = h.package_id AND r.q = h.q"""
+
+
 SQL = {
     "q_adjudicated_units": Q_UNITS, "q_adjudication_headers": Q_HEADERS, "q_ledger_headers": Q_LEDGER, "q_record_origins": Q_ORIGINS, "q_record_authorities": Q_AUTHORITIES, "q_authority_vetoes": Q_VETOES,
     "q_evaluation_rules": Q_RULES, "q_evaluation_fields": Q_FIELDS, "q_package_facts": Q_TOGETHER, "q_supported_conflicts": Q_SUPPORTED, "q_text_occurrences": Q_OCCURRENCES, "q_quote_selectors": Q_SELECTORS, "q_sealed_manifests": Q_SEALED,
+    "q_source_keys": Q_SOURCE_KEYS, "q_deadline_keys": Q_DEADLINES, "q_mutation_targets": Q_TARGETS, "q_risk_lineage": Q_RISKS, "q_stale_risks": Q_STALE,
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import B0, B1, normalised, polarity_text, significant_words
 from factloom.functions.tokens import assertion_tokens
+from factloom.sources.staging import stage
 
 FACT = ["package_id", "id"]
 
@@ -90,9 +91,8 @@ def _has(text: Column, words: str) -> Column:
     return text.rlike(f"{B0}(?:{words}){B1}")
 
 
-def segments(quote: Column, compose: bool = True) -> Column:
+def segments(plain: Column) -> Column:
     """A quote in the form of evidence, in segments that each relate one thing; the objects of a list about insurance are cut apart."""
-    plain = normalised(quote, compose)
     insured = _has(plain, "insurance")
     parts = F.when(insured, F.split(plain, f"{SEGMENT_END}|{LIST_CUT}")).otherwise(F.split(plain, SEGMENT_END))
     named = F.transform(parts, lambda p: F.when(insured & ~_has(p, "insurance") & F.trim(p).rlike(OBJECT_FIRST), F.concat(F.lit("insurance "), F.trim(p))).otherwise(F.trim(p)))
@@ -141,7 +141,10 @@ def source_keys(facts: DataFrame, citations: DataFrame, compose: bool = True) ->
 
     A topic of a row or table needs a segment on that appendix.
     """
-    cut = _own_citations(facts, citations).select(*FACT, normalised(F.col("topic"), compose).alias("_topic"), normalised(F.col("value"), compose).alias("_value"), F.explode(segments(F.col("evidence_quote"), compose)).alias("_segment"))
+    plain = _own_citations(facts, citations).select(*FACT, *[normalised(F.col(c), compose).alias("_" + c) for c in ("topic", "value", "evidence_quote")])
+    # Spark takes no Python function into the functions on arrays below, so composed texts are written first.
+    plain = stage(plain, "evidence") if compose else plain
+    cut = plain.select(*FACT, "_topic", "_value", F.explode(segments(F.col("_evidence_quote"))).alias("_segment"))
     segment = F.col("_segment")
     tabular = _has(segment, "appendix\\s*1|criterion\\s*m3|m3") & _has(segment, "table|appendix")
     keyed = cut.withColumns({"_tabular": tabular, "_key": F.when(supports_value(segment, F.col("_value")), segment_key(segment, F.col("_value")))})
@@ -171,16 +174,19 @@ def deadline_keys(facts: DataFrame, citations: DataFrame, compose: bool = True)
     A clause with several dates, times or zones counts only if it goes from one to another and the value is the other.
     """
     cut = citations.filter("verified").join(facts.select(*FACT, "value"), FACT).select(*FACT, normalised(F.col("value"), compose).alias("_value"), F.explode(deadline_segments(F.col("evidence_quote"), compose)).alias("_clause"))
-    marked = cut.withColumns({"_scope": deadline_scope(F.col("_clause")), "_own": deadline_scope(F.col("_value")), "_asserted": assertion_tokens(F.col("_value"), False), "_shown": assertion_tokens(F.col("_clause"), False)})
-    marked = marked.filter("_scope IS NOT NULL AND size(_asserted) > 0 AND (_own IS NULL OR _own = _scope)").filter(F.size(F.array_except("_asserted", "_shown")) == 0)
+    scoped = cut.withColumns({"_scope": deadline_scope(F.col("_clause")), "_own": deadline_scope(F.col("_value"))}).filter("_scope IS NOT NULL AND (_own IS NULL OR _own = _scope)")
+    # Written, so that tokens are made once and not in each test below.
+    marked = stage(scoped.withColumns({"_asserted": assertion_tokens(F.col("_value"), False), "_shown": assertion_tokens(F.col("_clause"), False)}), "clauses")
+    marked = marked.filter("size(_asserted) > 0").filter(F.size(F.array_except("_asserted", "_shown")) == 0)
     several = F.lit(False)
     for kind in TEMPORAL:
         several |= F.size(_of_kinds(F.col("_shown"), (kind,))) > 1
+    # Only clauses that go from one to another need their target, which is written for the same reason.
     spoken = polarity_text(F.col("_clause"), False)
-    target = assertion_tokens(F.coalesce(mutation_target(spoken), spoken), False)
-    asserted = _of_kinds(F.col("_asserted"), TEMPORAL)
-    bound = F.col("_clause").rlike(rf"{B0}from{B1}.+{B0}(?:to|until|through){B1}") & (F.size(asserted) > 0) & (F.size(F.array_except(asserted, target)) == 0)
-    kept = marked.filter(~several | bound)
+    moved = marked.filter(several & F.col("_clause").rlike(rf"{B0}from{B1}.+{B0}(?:to|until|through){B1}"))
+    moved = stage(moved.select(*FACT, "_scope", _of_kinds(F.col("_asserted"), TEMPORAL).alias("_asserted"), F.coalesce(mutation_target(spoken), spoken).alias("_target")), "targets")
+    bound = (F.size("_asserted") > 0) & (F.size(F.array_except(F.col("_asserted"), assertion_tokens(F.col("_target"), False))) == 0)
+    kept = marked.filter(~several).select(*FACT, "_scope").unionByName(moved.filter(bound).select(*FACT, "_scope"))
     return kept.groupBy(FACT).agg(F.collect_set("_scope").alias("_scopes")).filter("size(_scopes) = 1").select(*FACT, F.element_at("_scopes", 1).alias("deadline_key"))
 
 

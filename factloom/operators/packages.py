@@ -70,12 +70,6 @@ def requests(documents: DataFrame) -> DataFrame:
     return sums.withColumn("reason", reason)
 
 
-def percentages(col: Column) -> Column:
-    """The percentages from 0 to 100 in a text."""
-    found = F.transform(F.regexp_extract_all(F.lower(col), F.lit(r"(?<![\p{L}\p{N}.])(\d+(?:\.\d+)?)\s*(?:%|per\s*cent|percent)"), F.lit(1)), lambda x: x.cast("double"))
-    return F.filter(found, lambda x: x <= 100)
-
-
 def weight_of(label: str, col: Column) -> Column:
     """The percentages that stand with a label of weights and with no other label between."""
     other = "financial|price" if label == "technical" else "technical"

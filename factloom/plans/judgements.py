@@ -262,7 +262,7 @@ def q_quote_selectors(spark, sf_dir):
 
 
 Q_SELECTORS = """WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), ' +', ' ', 'g') AS text FROM conversations), q AS (SELECT conv_id || '-' || turn AS quote_id, conv_id, substring(text, 4, 12) AS quote FROM t),
-p AS (SELECT quote_id, turn, CASE WHEN quote <> '' AND quote = trim(quote) THEN list_filter(range(0, length(text)), lambda i: substring(text, i + 1, length(quote)) = quote) END AS places, length(quote) AS n FROM q JOIN t USING (conv_id)),
+p AS (SELECT quote_id, turn, CASE WHEN quote <> '' AND NOT regexp_matches(quote, '^\\s|\\s$') THEN list_filter(range(0, length(text)), lambda i: substring(text, i + 1, length(quote)) = quote) END AS places, length(quote) AS n FROM q JOIN t USING (conv_id)),
 s AS (SELECT quote_id, sum(coalesce(len(places), 0)) AS n_places, bool_or(places IS NULL) AS refused, max(CASE WHEN len(places) > 0 THEN turn END) AS turn, max(places[1]) AS place, any_value(n) AS n FROM p GROUP BY 1)
 SELECT quote_id, conv_id, n_places, CASE WHEN n_places = 1 AND NOT refused THEN turn END AS fragment_id, CASE WHEN n_places = 1 AND NOT refused THEN place END AS start, CASE WHEN n_places = 1 AND NOT refused THEN place + n END AS "end" FROM q JOIN s USING (quote_id)"""
 

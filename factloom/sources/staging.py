@@ -31,10 +31,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, name: str) -> bool:
+    """Deletes a staged table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Deletes what this process has staged so far and gives the number of tables; results that still read them are lost."""
     dropped = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        dropped += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        dropped += drop_path(spark, _written.pop())
     return dropped

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, bpe_reuse, host_quality, lattice_lm, pii, quality_classifier, repeated_passages, simhash, source_mix, token_files
+from . import block_anchors, block_naming, bpe_reuse, host_quality, lattice_lm, lexical_search, pii, quality_classifier, repeated_passages, simhash, source_mix, token_files, vector_codes
 from .common import documents
 
 RULE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_kept", "kept")
@@ -54,9 +54,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_anchors.repeat_digests(documents(spark, sf_dir)).drop("n_spans")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_host_quality, op2_bpe_reuse, op3_block_naming, op4_simhash, op5_quality_classifier, op6_lattice_lm, op7_source_mix, op8_token_files, op9_repeated_passages, op10_pii)}
+    return {f.__name__: f for f in (op1_host_quality, op2_bpe_reuse, op3_block_naming, op4_simhash, op5_quality_classifier, op6_lattice_lm, op7_source_mix, op8_token_files, op9_repeated_passages, op10_pii, op11_vector_codes, op12_block_anchors, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_host_quality": host_quality.ORACLE_SQL, "op3_block_naming": block_naming.ORACLE_SQL}
+    return {
+        "op1_host_quality": host_quality.ORACLE_SQL,
+        "op3_block_naming": block_naming.ORACLE_SQL,
+        "op11_vector_codes": vector_codes.oracle_sql(),
+        "op12_block_anchors": block_anchors.ORACLE_SQL,
+        "op13_lexical_search": lexical_search.ORACLE_SQL,
+    }

@@ -8,7 +8,8 @@ in a document that has that entity: generalised, or removed if it occurs with th
 
 Defined cases: null counts as empty and has no spans. Entities are what the patterns find in any row, and
 rows that repeat an id count once each. A base span is kept whatever stands around it; terms never overlap
-one. An empty table gives an empty result. All patterns take time in proportion to the text.
+one. An empty table gives an empty result. All patterns take time in proportion to the text. Entities that stand in
+the same documents are looked at together, as are terms, so that a long list in several copies makes no pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hot_bound, join_counted, map_batches, stage, utf8
@@ -156,36 +157,91 @@ def _found(docs: DataFrame, text: str) -> DataFrame:
     return stage(map_batches(slim, find, f"rid bigint, k1 bigint, k2 bigint, doc_id {id_type}{counts}, base string, base_sha256 string, entity array<string>, body string"), "found")
 
 
-def _pairs(found: DataFrame, frequencies: DataFrame, n_docs: int, hot: float) -> DataFrame:
-    """(rid, entity, term, entity_docs, term_docs): a row per document and pair of it that may be disclosing.
+def _gives_away(both, entity_docs, term_docs, n_docs: int) -> Column:
+    """Whether a term in so many documents reveals an entity that it shares ``both`` with."""
+    information = F.log2(F.lit(float(n_docs)) / entity_docs)
+    given_away = F.log2(both * F.lit(float(n_docs)) / (entity_docs * term_docs))
+    return (information > 0) & (both >= LEAST_DOCS) & (given_away >= DISCLOSURE * information)
 
-    A pair is left out only if it cannot reach the thresholds: with both <= entity_docs, given_away is at most log2(n_docs / term_docs).
+
+def _lists() -> list[Column]:
+    """A digest of the set of documents that a row's group stands in."""
+    return [F.bit_xor(f"r{i}").alias(f"l{i}") for i in (1, 2)]
+
+
+def _classes(found: DataFrame, frequencies: DataFrame, n_docs: int, hot: float) -> tuple[DataFrame, DataFrame]:
+    """(rid, entity class) and (rid, term, term class) of the documents with entities that others have as well.
+
+    Entities in the same documents are one class, e1 and e2 with entity_docs; so are terms in the same of those
+    documents and in as many of all, t1 and t2 with l1, l2, has and term_docs. Terms are left out that cannot reach
+    the threshold: with ``has`` documents in which an entity may stand, no entity makes both ** 0.9 * n_docs ** 0.1
+    exceed has ** 0.9 * n_docs ** 0.1, which has to be term_docs at least.
     """
-    has = found.filter(F.size("entity") > 0)
-    each = has.select("rid", F.explode("entity").alias("entity"))
-    counts = stage(each.groupBy("entity").agg(F.count("*").alias("entity_docs")).filter(F.col("entity_docs") >= LEAST_DOCS), "entities")
-    known = join_counted(each, counts, ["entity"], "entity_docs", hot).groupBy("rid").agg(F.collect_list(F.struct("entity", "entity_docs")).alias("known"), F.max("entity_docs").alias("most"))
+    has = found.filter(F.size("entity") > 0).select("*", F.xxhash64("rid").alias("r1"), F.xxhash64(F.lit(1), "rid").alias("r2"))
+    each = has.select("rid", "r1", "r2", F.explode("entity").alias("entity"))
+    counts = stage(each.groupBy("entity").agg(F.count("*").alias("entity_docs"), *_lists()).filter(F.col("entity_docs") >= LEAST_DOCS), "entities")
+    entity = join_counted(each.select("rid", "entity"), counts, ["entity"], "entity_docs", hot).select("rid", F.col("l1").alias("e1"), F.col("l2").alias("e2"), "entity_docs")
+    entity = stage(entity.distinct(), "entity_classes")
+    bodies = has.select("rid", "r1", "r2", "body", "base").join(entity.select("rid").distinct(), "rid")
 
-    def find(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    def sum_up(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        held: dict[str, tuple[int, int, int]] = {}
+
+        def rows() -> dict[str, list]:
+            n, r1, r2 = zip(*held.values()) if held else ((), (), ())
+            return {"term": list(held), "n": list(n), "r1": list(r1), "r2": list(r2)}
+
+        for batch in batches:
+            for a, b, body, base in zip(*(batch[c] for c in ("r1", "r2", "body", "base"))):
+                for term in {t for t, _, _ in terms_outside(body, _stretches(base))}:
+                    n, x, y = held.get(term, (0, 0, 0))
+                    held[term] = (n + 1, x ^ a, y ^ b)
+                if len(held) > HELD_TERMS:
+                    yield rows()
+                    held = {}
+        yield rows()
+
+    def list_terms(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
-            for rid, body, base, some, most in zip(*(batch[c] for c in ("rid", "body", "base", "known", "most"))):
+            for rid, body, base in zip(*(batch[c] for c in ("rid", "body", "base"))):
                 terms = list({t for t, _, _ in terms_outside(body, _stretches(base))})
-                yield {"rid": [rid] * len(terms), "known": [some] * len(terms), "most": [most] * len(terms), "term": terms}
+                yield {"rid": [rid] * len(terms), "term": terms}
 
-    bodies = has.select("rid", "body", "base").join(known, "rid")
-    terms = map_batches(bodies, find, "rid bigint, known array<struct<entity: string, entity_docs: bigint>>, most bigint, term string", rows=64)
+    summed = map_batches(bodies.select("r1", "r2", "body", "base"), sum_up, "term string, n bigint, r1 bigint, r2 bigint", rows=64)
+    summed = summed.groupBy("term").agg(F.sum("n").alias("has"), *_lists()).filter(F.col("has") >= LEAST_DOCS).join(frequencies, "term")
     # A little slack, as this only leaves out what the exact test would; that one follows.
-    may = lambda docs: F.log2(F.lit(float(n_docs)) / F.col("term_docs")) >= DISCLOSURE * F.log2(F.lit(float(n_docs)) / F.col(docs)) - 1e-6
-    met = join_counted(terms, frequencies.filter(F.col("term_docs") >= LEAST_DOCS), ["term"], "term_docs", hot).filter(may("most"))
-    return met.select("rid", "term", "term_docs", F.explode("known").alias("k")).select("rid", "k.entity", "term", "k.entity_docs", "term_docs").filter(may("entity_docs"))
+    may = (1 - DISCLOSURE) * F.log2(F.lit(float(n_docs))) + DISCLOSURE * F.log2(F.col("has").cast("double")) >= F.log2(F.col("term_docs").cast("double")) - 1e-6
+    known = stage(summed.filter(may).select("term", "has", "term_docs", "l1", "l2", F.col("l1").alias("t1"), F.xxhash64("l2", "has", "term_docs").alias("t2")), "term_classes")
+    terms = map_batches(bodies.select("rid", "body", "base"), list_terms, "rid bigint, term string", rows=64)
+    return entity, stage(join_counted(terms, known, ["term"], "has", hot), "document_terms")
 
 
-def disclosing(pairs: DataFrame, n_docs: int) -> DataFrame:
-    """(entity, term, both, removed): the pairs in which the term reveals the entity beyond the threshold."""
-    known = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("entity_docs").alias("entity_docs"), F.first("term_docs").alias("term_docs")).filter(F.col("both") >= LEAST_DOCS)
-    information = F.log2(F.lit(float(n_docs)) / F.col("entity_docs"))
-    given_away = F.log2(F.col("both") * F.lit(float(n_docs)) / (F.col("entity_docs") * F.col("term_docs")))
-    return known.filter((information > 0) & (given_away >= DISCLOSURE * information)).select("entity", "term", "both", (F.col("both") >= F.col("term_docs")).alias("removed"))
+def _revealed(entity: DataFrame, terms: DataFrame, n_docs: int, hot: float) -> DataFrame:
+    """(rid, t1, t2, removed): the term classes that give away an entity of the document.
+
+    A class of terms in the documents of a class of entities is decided by its numbers. The others are met with the
+    entities of their documents, class by class and without each entity class's largest document: a pair that counts
+    shares another one too, and so a list of many entities with a document of each makes no pairs of all its classes.
+    """
+    by_class = terms.groupBy("t1", "t2").agg(*(F.first(c).alias(c) for c in ("l1", "l2", "has", "term_docs")))
+    sizes = entity.groupBy("rid").agg(F.count("*").alias("classes"))
+    of_entities = stage(entity.join(sizes, "rid").groupBy("e1", "e2").agg(F.first("entity_docs").alias("entity_docs"), F.max_by("rid", F.struct("classes", "rid")).alias("largest")), "entities_of_class")
+    same = (F.col("l1") == F.col("e1")) & (F.col("l2") == F.col("e2")) & (F.col("has") == F.col("entity_docs"))
+    gives = _gives_away(F.col("entity_docs"), F.col("entity_docs"), F.col("term_docs"), n_docs)
+    equal = stage(by_class.join(of_entities, same).filter(gives).select("t1", "t2", "has", (F.col("has") >= F.col("term_docs")).alias("removed")), "equal_classes")
+    each = stage(terms.select("rid", "t1", "t2", "has", "term_docs").distinct(), "document_classes")
+    rest = each.join(equal.select("t1", "t2"), ["t1", "t2"], "left_anti")
+    smaller = join_counted(entity.select("rid", "e1", "e2"), of_entities, ["e1", "e2"], "entity_docs", hot).filter("rid != largest").drop("largest")
+    pair = ["e1", "e2", "t1", "t2"]
+    met = smaller.join(rest, "rid").groupBy(*pair).agg(F.count("*").alias("some"), F.first("entity_docs").alias("entity_docs"), F.first("term_docs").alias("term_docs"))
+    met = met.join(of_entities.select("e1", "e2", "largest"), ["e1", "e2"])
+    there = rest.select(F.col("rid").alias("largest"), "t1", "t2", F.lit(1).alias("there"))
+    both = F.col("some") + F.coalesce("there", F.lit(0))
+    pairs = met.join(there, ["largest", "t1", "t2"], "left").withColumn("both", both).filter(_gives_away(F.col("both"), F.col("entity_docs"), F.col("term_docs"), n_docs))
+    pairs = stage(pairs.select(*pair, (F.col("both") >= F.col("term_docs")).alias("removed")), "pairs")
+    shared = rest.select("rid", "t1", "t2").join(pairs, ["t1", "t2"]).join(entity.select("rid", "e1", "e2"), ["rid", "e1", "e2"], "left_semi")
+    by_equal = join_counted(each.select("rid", "t1", "t2"), equal, ["t1", "t2"], "has", hot)
+    return by_equal.select("rid", "t1", "t2", "removed").unionByName(shared.groupBy("rid", "t1", "t2").agg(F.bool_or("removed").alias("removed")))
 
 
 def _term_spans(found: DataFrame, revealed: DataFrame) -> DataFrame:
@@ -208,9 +264,9 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     found = _found(docs, text)
     n_docs = found.count()
     hot = hot_bound(n_docs)
-    pairs = stage(_pairs(found, stage(document_frequencies(docs, text), "terms"), n_docs, hot), "pairs")
-    pairs_revealed = join_counted(pairs.select("rid", "entity", "term"), stage(disclosing(pairs, n_docs), "revealed"), ["entity", "term"], "both", hot)
-    listed = _term_spans(found, pairs_revealed.groupBy("rid", "term").agg(F.bool_or("removed").alias("removed")))
+    entity, terms = _classes(found, stage(document_frequencies(docs, text), "terms"), n_docs, hot)
+    revealed = _revealed(entity, terms, n_docs, hot)
+    listed = _term_spans(found, terms.select("rid", "term", "t1", "t2").join(revealed, ["rid", "t1", "t2"]))
     written = F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"], F.lit(":"), t["end"]))
     spans = F.array_join(F.filter(F.concat(F.array("base"), F.coalesce(written, F.array())), lambda s: s != ""), ",")
     return found.drop("entity", "body").join(listed, "rid", "left").withColumn("spans", spans)

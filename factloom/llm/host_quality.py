@@ -92,7 +92,8 @@ def judge(docs: DataFrame, factor: float = HOST_FACTOR, certainty: float = HOST_
     """doc_id, source, the counts, base_failed, the host's shrunk failure rate and verdict (null without a host), and kept."""
     judged = stage(document_counts(docs).withColumn("base_failed", base_failure()), "counts")
     verdicts = host_verdicts(judged, factor=factor, certainty=certainty).select(F.col("source").alias("_host"), "host_failure_rate", "host_kept").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = judged.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # By place in the written counts, as ids and counts may be alike in any number of rows.
+    salted = judged.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     joined = salted.join(verdicts, (salted["source"] == verdicts["_host"]) & (salted["_salt"] == verdicts["_salt"]), "left")
     return joined.select(*judged.columns, "host_failure_rate", "host_kept", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
 

@@ -92,25 +92,27 @@ def _lattice(path: str, counts: dict[int, int], ends: int) -> tuple[Lattice, flo
 
 
 def word_counts(docs: DataFrame, text: str, learn: Column) -> DataFrame:
-    """Every word with its count in the documents to learn from (0: it occurs in others only)."""
+    """Every word with its count in the documents to learn from (c; 0: it occurs in others only) and in all (n)."""
 
     def count(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        held: dict[bytes, int] = {}
+        held: tuple[dict[bytes, int], dict[bytes, int]] = {}, {}
         for batch in batches:
             for body, learns in zip(batch["_text"], batch["_learn"]):
+                some = held[bool(learns)]
                 for word, n in Counter(utf8(body).lower().split()).items():
-                    held[word] = held.get(word, 0) + (n if learns else 0)
-            if len(held) >= HELD_WORDS:
-                yield _strings(held)
-                held = {}
-        yield _strings(held)
+                    some[word] = some.get(word, 0) + n
+            if len(held[0]) + len(held[1]) >= HELD_WORDS:
+                yield from map(_strings, (False, True), held)
+                held = {}, {}
+        yield from map(_strings, (False, True), held)
 
     slim = docs.select(F.col(text).alias("_text"), learn.alias("_learn"))
-    return map_batches(slim, count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(slim, count, "word string, c bigint, n bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def _strings(held: dict[bytes, int]) -> dict[str, list]:
-    return {"word": [w.decode("utf-8", "surrogatepass") for w in held], "c": list(held.values())}
+def _strings(learns: bool, held: dict[bytes, int]) -> dict[str, list]:
+    n = list(held.values())
+    return {"word": [w.decode("utf-8", "surrogatepass") for w in held], "c": n if learns else [0] * len(n), "n": n}
 
 
 def piece_counts(counts: DataFrame, path: str) -> dict[int, int]:
@@ -131,16 +133,15 @@ def piece_counts(counts: DataFrame, path: str) -> dict[int, int]:
 
 
 def _most_frequent(rated: DataFrame) -> DataFrame:
-    """The words that occur at least so often that there are TOP of them at most; the bound comes from counts by magnitude, a few hundred rows."""
-    learnt = rated.filter(F.col("c") > 0)
-    step = F.floor(F.log2("c") * 16)
+    """The words that occur, in any documents, at least so often that there are TOP of them at most; the bound comes from counts by magnitude, a few hundred rows."""
+    step = F.floor(F.log2("n") * 16)
     least, held = inf, 0
-    for row in sorted(learnt.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect(), key=lambda r: -r["step"]):
-        held += row["n"]
+    for row in sorted(rated.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r["step"]):
+        held += row["words"]
         if held > TOP:
             break
         least = row["least"]
-    return learnt.filter(F.col("c") >= F.lit(least))
+    return rated.filter(F.col("n") >= F.lit(least))
 
 
 def _key(word: bytes) -> bytes:
@@ -161,9 +162,9 @@ def score(docs: DataFrame, name: str = "piece_bpe_32k.model", text: str = "text"
     def rate(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         lattice, _ = _lattice(path, pieces, ends)
         for batch in batches:
-            yield {"word": batch["word"], "c": batch["c"], "lp": [lattice(w) / _LOG10 for w in batch["word"]]}
+            yield {"word": batch["word"], "c": batch["c"], "n": batch["n"], "lp": [lattice(w) / _LOG10 for w in batch["word"]]}
 
-    rated = stage(map_batches(counts, rate, "word string, c bigint, lp double"), "rated")
+    rated = stage(map_batches(counts, rate, "word string, c bigint, n bigint, lp double"), "rated")
     top = map_batches(_most_frequent(rated), lambda batches: ({"key": [_key(utf8(w)) for w in b["word"]], "c": b["c"], "lp": b["lp"]} for b in batches), "key binary, c bigint, lp double").collect()
     base = lambda c: (log(c + SMOOTHING) - divisor) / _LOG10
     shared = spark.sparkContext.broadcast({bytes(r["key"]): (r["c"] > 0, base(r["c"]), r["lp"]) for r in top})

@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import xxhash
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_bound, join_counted, map_batches, stage, utf8
+from .common import given_out, hot_bound, join_counted, map_batches, stage, utf8
 from .encoding import tokenizer_path, unit_encoder
 
 #: Chunks have about 2 ** CUT_BITS bytes beyond the least.
@@ -190,13 +189,6 @@ def _compressed(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]
         yield {"k1": batch["k1"], "k2": batch["k2"], "doc_id": batch["doc_id"], "body": [pack(utf8(t)) for t in batch["_text"]]}
 
 
-def _repeated(batch: dict[str, list], copies: list[int]) -> Iterator[dict[str, list]]:
-    """The batch with each row as often as it has copies, in batches of ROWS at most."""
-    rows = (i for i, n in enumerate(copies) for _ in range(n))
-    while some := list(islice(rows, ROWS)):
-        yield {name: [values[i] for i in some] for name, values in batch.items()}
-
-
 def encode(docs: DataFrame, finish: Callable[[Encoder, np.ndarray], tuple], columns: str, tokenizer: str, text: str = "text") -> DataFrame:
     """doc_id and what ``finish`` makes of each document's ids, in ``columns``."""
     base = _keyed(docs, text)
@@ -251,7 +243,7 @@ def encode(docs: DataFrame, finish: Callable[[Encoder, np.ndarray], tuple], colu
             for (piece, _), ids in zip(fresh, encoder.encode([t for _, t in fresh])):
                 piece[2] = ids
             rows = [finish(encoder, encoder.join(data, [tuple(p) for p in pieces])) for data, pieces in jobs]
-            yield from _repeated({"doc_id": batch["doc_id"]} | {n: [r[i] for r in rows] for i, n in enumerate(names)}, batch["copies"])
+            yield from given_out({"doc_id": batch["doc_id"]} | {n: [r[i] for r in rows] for i, n in enumerate(names)}, batch["copies"], ROWS)
         encoder.units.forget()
 
     owned = mine.filter("own").groupBy(*_ROW).agg(F.collect_set("at").alias("owned"))

@@ -7,6 +7,7 @@ import re
 import string
 from collections.abc import Callable, Iterator
 from contextlib import suppress
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.sources.staging import shared_dir, stage
 
-__all__ = ["HOT_ROWS", "HOT_SHARE", "WORD", "WORDS", "ascii_lower", "bounded_batches", "documents", "hot_bound", "join_counted", "map_batches", "release_memory", "shared_dir", "stage", "utf8"]
+__all__ = ["HOT_ROWS", "HOT_SHARE", "WORD", "WORDS", "ascii_lower", "bounded_batches", "documents", "given_out", "hot_bound", "join_counted", "map_batches", "release_memory", "shared_dir", "stage", "utf8"]
 
 #: A key with more rows than this, and than this share of all, is hot: at most 1 / HOT_SHARE keys are.
 HOT_ROWS, HOT_SHARE = 1000, 0.0005
@@ -60,6 +61,13 @@ def join_counted(rows: DataFrame, known: DataFrame, keys: list[str], n: str, hot
     return rows.join(F.broadcast(many), keys).unionByName(rest.join(known.filter(F.col(n) <= hot), keys))
 
 
+def given_out(batch: dict[str, list], copies: list[int], rows: int) -> Iterator[dict[str, list]]:
+    """The batch with each row as often as it has copies, in batches of ``rows`` at most."""
+    each = (i for i, n in enumerate(copies) for _ in range(n))
+    while some := list(islice(each, rows)):
+        yield {name: [values[i] for i in some] for name, values in batch.items()}
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts may be long, so Arrow batches get fewer rows than Spark's default, unless the session says otherwise.
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_bound, join_counted, map_batches, stage, utf8
+from .common import given_out, hot_bound, join_counted, map_batches, stage, utf8
 from .suffix_arrays import repeated_starts
 
 WIDTH = 200
@@ -147,13 +147,13 @@ def _cut_pieces(width: int, k: int, places: bool):
         for batch in batches:
             out: dict[str, list] = {c: [] for c in (("k1", "k2", "start", "f1", "f2") if places else ("h", "piece", "once", "n"))}
             seen: dict[tuple[int, bytes, bool], int] = {}
-            for k1, k2, body, wanted in zip(batch["k1"], batch["k2"], batch["body"], batch["wanted"]):
+            for k1, k2, body, copies, wanted in zip(batch["k1"], batch["k2"], batch["body"], batch["copies"], batch["wanted"]):
                 for start, h, piece, once in _cut(unpack(body), width, k, wanted) if wanted else ():
                     if places:
                         for name, value in zip(out, (k1, k2, start, *_digest(piece))):
                             out[name].append(value)
                     else:
-                        seen[h, piece, once] = seen.get((h, piece, once), 0) + 1
+                        seen[h, piece, once] = seen.get((h, piece, once), 0) + copies
             if seen:
                 for name, values in zip(out, zip(*seen)):
                     out[name] = list(values)
@@ -264,7 +264,7 @@ def _finish(width: int):
                 out["n_bytes"].append(len(data))
                 out["removed"].append(_ranges(np.flatnonzero(gone)))
                 out["kept"].append(np.frombuffer(data, np.uint8)[~gone].tobytes())
-            yield out
+            yield from given_out(out, batch["copies"], 256)
 
     return finish
 
@@ -278,16 +278,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, kmer
     twice = stage(places.groupBy("h").agg(F.sum("times").alias("total")).filter("total > 1"), "twice")
     hot = hot_bound(twice.agg(F.sum("total")).first()[0] or 0)
     wanted = stage(join_counted(places.select(*_ROW, "h"), twice, ["h"], "total", hot).groupBy(*_ROW).agg(F.collect_set("h").alias("wanted")), "wanted")
-    # All joins read the same columns of the texts in the same way, so that their exchange is made once.
+    # All joins read the same columns of the texts in the same way, so that their exchange is made once. Rows that repeat an id and its text are cut once.
     texts = map_batches(base, _compressed, f"k1 bigint, k2 bigint, doc_id {id_type}, body binary", rows=512)
-    candidates = texts.join(wanted, list(_ROW), "left").select(*_ROW, "doc_id", "body", "wanted")
+    texts = texts.groupBy(*_ROW).agg(F.first("doc_id").alias("doc_id"), F.first("body").alias("body"), F.count("*").alias("copies"))
+    candidates = texts.join(wanted, list(_ROW), "left").select(*_ROW, "doc_id", "body", "copies", "wanted")
     pieces = map_batches(candidates, _cut_pieces(width, k, False), "h bigint, piece binary, once boolean, n bigint", rows=256)
     counted = stage(pieces.groupBy("h", "piece", "once").agg(F.sum("n").alias("n")), "pieces")
     found = stage(_repeated(counted, width, kmers[1:], most_bytes), "found")
     where = map_batches(candidates, _cut_pieces(width, k, True), "k1 bigint, k2 bigint, start int, f1 bigint, f2 bigint", rows=256)
     placed = join_counted(stage(where, "where"), found, ["f1", "f2"], "n", hot_bound(found.agg(F.sum("n")).first()[0] or 0))
     known = placed.groupBy(*_ROW).agg(F.collect_set(F.struct("start", "ranges")).alias("found"))
-    return map_batches(texts.join(known, list(_ROW), "left").select("doc_id", "body", "found"), _finish(width), f"doc_id {id_type}, n_bytes bigint, removed array<int>, kept binary", rows=256)
+    return map_batches(texts.join(known, list(_ROW), "left").select("doc_id", "body", "copies", "found"), _finish(width), f"doc_id {id_type}, n_bytes bigint, removed array<int>, kept binary", rows=256)
 
 
 def repeat_digests(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage, utf8
+from .common import bounded_batches, hot_bound, join_counted, stage, utf8
 
 SHINGLE = 3
 LIMIT = 2
@@ -202,7 +202,10 @@ def _links_of(runs: DataFrame, limit: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node reachable) of an undirected graph of links (a, b), by large and small stars in turn."""
+    """node and root (the smallest node reachable) of an undirected graph of links (a, b), by large and small stars in turn.
+
+    The smallest neighbour of a node with many links goes to all tasks, so that a star's centre is no task's alone.
+    """
 
     def oriented(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
@@ -213,11 +216,12 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
+        hot = hot_bound(2 * state[0])
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = oriented(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "low")
+        large = stage(oriented(join_counted(both, low, ["a"], "n", hot).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large")
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        small = join_counted(large, low, ["a"], "n", hot).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         now = stage(oriented(small), "edges")
 
 
@@ -225,11 +229,13 @@ def _rows(docs: DataFrame, text: str, limit: int) -> DataFrame:
     """doc_id, two hashes of id and text, fp (signed), root (the component's smallest fp) and component_id; one row per document."""
     keys = {"k1": F.xxhash64("doc_id", text), "k2": F.xxhash64(F.lit(1), "doc_id", text)}
     rows = stage(docs.select("doc_id", *(c.alias(n) for n, c in keys.items()), fingerprints(F.col(text)).alias("fp")), "prints")
-    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
+    hot = hot_bound(prints.agg(F.sum("n")).first()[0] or 0)
     roots = components(links(prints, limit))
-    placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select("doc_id", "k1", "k2", "fp", "root", "component_id")
+    placed = stage(prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")), "placed")
+    ids = stage(placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints")), "components")
+    named = stage(join_counted(placed, ids, ["root"], "prints", hot).select("fp", "n", "root", "component_id"), "named")
+    return join_counted(rows, named, ["fp"], "n", hot).select("doc_id", "k1", "k2", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:

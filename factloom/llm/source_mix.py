@@ -20,6 +20,7 @@ are dealt together, and any of them may be the one that is cut. An empty table g
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +32,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 SHARDS = 16
-#: The tasks that write one shard. With more data, more of both keep a task's share of rows the same.
-PARTS = 8
+#: Words that one task of a shard writes; a shard has as many tasks as its words need.
+PART_WORDS = 16_000_000
 SEED = 20
 MAX_SOURCES = 10_000
 BLOCKS = 4096
@@ -147,21 +148,31 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return draw(rows, plan_mix(rows, **options)).select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "draws", taken.alias("taken"))
 
 
-def _drawn(docs: DataFrame, **options) -> DataFrame:
-    """_shard, _order and the document; a row per draw. The document at a source's cut comes whole if more than half of it is drawn, else not at all."""
+def _planned(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The sized documents with all their columns in _doc, and their plan."""
     rows = sized(docs.select("doc_id", "source", "text", F.struct("*").alias("_doc")))
-    plan = plan_mix(stage(rows.select("doc_id", "_source", "_size", "_place", "_block", "_cell"), "sizes"), **options)
+    return rows, plan_mix(stage(rows.select("doc_id", "_source", "_size", "_place", "_block", "_cell"), "sizes"), **options)
+
+
+def _drawn(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """_shard, _order and the document; a row per draw. The document at a source's cut comes whole if more than half of it is drawn, else not at all."""
     drawn = draw(rows, plan).withColumn("_draw", F.explode("draws")).filter(2 * F.col("_draw.words") > F.col("_size"))
     return drawn.select(F.col("_draw.shard").alias("_shard"), F.col("_draw.order").alias("_order"), "_doc")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: _shard, _order and the documents' columns; a row per draw."""
-    return _drawn(docs, **options).select("_shard", "_order", "_doc.*")
+    return _drawn(*_planned(docs, **options)).select("_shard", "_order", "_doc.*")
+
+
+def shard_parts(words: float, shards: int = SHARDS, part_words: int = PART_WORDS) -> int:
+    """The tasks that each shard of a mix of so many words is dealt to."""
+    return max(1, ceil(words / (shards * part_words)))
 
 
-def shuffled_shards(docs: DataFrame, parts: int = PARTS, **options) -> DataFrame:
-    """The documents of the mix, shard by shard and in shuffled order within: a shard is dealt to ``parts`` tasks, each a range of that order."""
-    part = F.floor(F.shiftrightunsigned("_order", 32) * parts / (1 << 32)).cast("int")
-    dealt = _drawn(docs, **options).withColumn("_range", part).repartition("_shard", "_range")
-    return dealt.sortWithinPartitions("_shard", "_range", "_order").select("_doc.*")
+def shuffled_shards(docs: DataFrame, part_words: int = PART_WORDS, shards: int = SHARDS, **options) -> DataFrame:
+    """The documents of the mix, shard by shard and in shuffled order within: a shard is dealt to tasks of some ``part_words``, each a range of that order."""
+    rows, plan = _planned(docs, shards=shards, **options)
+    parts = shard_parts(plan.agg(F.sum("target")).first()[0] or 0, shards, part_words)
+    part = F.col("_shard") * parts + F.floor(F.shiftrightunsigned("_order", 32) * parts / (1 << 32)).cast("int")
+    return _drawn(rows, plan).repartitionById(shards * parts, part).sortWithinPartitions("_order").select("_doc.*")

@@ -99,7 +99,7 @@ def test_lattice_sums_all_segmentations():
 def test_scores_equal_plain_counts(make_docs, edge_rows, monkeypatch, top, bytes_):
     monkeypatch.setattr(lattice_lm, "TOP", top)
     monkeypatch.setattr(lattice_lm, "TOP_BYTES", bytes_)
-    rows = edge_rows + [(100 + i, f"alpha beta gamma{i % 9} Delta {i}", "s") for i in range(80)]
+    rows = edge_rows + [(100 + i, f"alpha beta gamma{i % 9} Delta {i}", "s") for i in range(80)] + [(None, "zeta zeta alone", "s")] * 60
     found = lattice_lm.score(make_docs(rows)).collect()
     assert len(found) == len(rows)
     out = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
@@ -124,6 +124,16 @@ def test_scores_equal_plain_counts(make_docs, edge_rows, monkeypatch, top, bytes
     assert lattice_lm.score(make_docs([])).count() == 0
 
 
+def test_words_of_held_out_rows_alone_are_frequent_too(spark):
+    rated = spark.createDataFrame([("often", 0, 50, -1.0), ("learnt", 20, 20, -1.0), *((f"w{i}", 1, 1, -1.0) for i in range(20))], "word string, c long, n long, lp double")
+    assert {r["word"] for r in lattice_lm._most_frequent(rated).collect()} == {"often", "learnt", *(f"w{i}" for i in range(20))}
+    lattice_lm.TOP, top = 2, lattice_lm.TOP
+    try:
+        assert {r["word"] for r in lattice_lm._most_frequent(rated).collect()} == {"often", "learnt"}
+    finally:
+        lattice_lm.TOP = top
+
+
 def test_suffix_arrays_equal_sorting(monkeypatch):
     """With buckets alone, in pairs and all in one group."""
     source = random.Random(3)
@@ -172,6 +182,7 @@ def test_repeated_passages_equal_brute_force(make_docs, edge_rows, monkeypatch,
     source = random.Random(8)
     passage = " ".join(f"p{source.randint(0, 999)}" for _ in range(80))
     rows += [(60 + i, f"{i} start " + passage[: 250 + 13 * i] + f" end {i}", "s") for i in range(8)]
+    rows += [(70, "again " + passage[100:400], "s")] * 30
     found = repeated_passages.remove_repeats(make_docs(rows), most_bytes=most_bytes).collect()
     got = sorted((r["n_bytes"], sum(r["removed"][1::2]) - sum(r["removed"][::2]), len(r["removed"]) // 2, hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in found)
     assert got == sorted(removed_by_hand([(t or "").encode() for _, t, _ in rows], 200))
@@ -259,3 +270,53 @@ def test_revealing_terms_are_sanitised_in_the_whole_document(make_docs, monkeypa
             assert set(spans) == wanted and len(spans) == sum(pii.term_of(w) in wanted for w in body.split())
         clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
         assert "zebulon" not in clean[0].lower() and "Quillon" not in clean[12] and clean[100] == rows[15][1]
+
+
+def plain_terms(rows):
+    """By counts of all pairs: {row: {(term, removed)}}."""
+    words, known = [], []
+    for _, text, _ in rows:
+        spans = pii.base_spans(text)
+        words.append({t for t, _, _ in pii.terms_outside(text or "", [(a, b) for _, a, b in spans])})
+        known.append(set(pii.entities(text or "", spans)))
+    n, out = len(rows), [{} for _ in rows]
+    term_docs, entity_docs, both = Counter(t for w in words for t in w), Counter(e for k in known for e in k), Counter((e, t) for w, k in zip(words, known) for e in k for t in w)
+    for (e, t), b in both.items():
+        information = math.log2(n / entity_docs[e])
+        if b >= 2 and entity_docs[e] >= 2 and information > 0 and math.log2(b * n / (entity_docs[e] * term_docs[t])) >= 0.9 * information:
+            for found, w, k in zip(out, words, known):
+                if t in w and e in k:
+                    found[t] = found.get(t, False) or b >= term_docs[t]
+    return [set(found.items()) for found in out]
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_term_spans_equal_counts_of_all_pairs(make_docs, monkeypatch, hot):
+    """Directories in versions with a page of each person, near copies, and common terms."""
+    monkeypatch.setattr(pii, "hot_bound", lambda rows: hot)
+    source = random.Random(4)
+    mail = lambda k: f"user{k}@mail.example.org"
+    lines = [f"Name{k} Town{k % 7} {mail(k)} +1 555 010 {k:04d}" for k in range(30)]
+    texts = ["\n".join(lines), "\n".join(lines), "\n".join(lines[:25] + ["Name99 extra"])]
+    texts += [f"Page of Name{k} in Town{k % 7}: hobby{k} {mail(k)} hobby{k}" for k in range(0, 30, 2)]
+    base = [f"w{source.randrange(90)}" for _ in range(60)]
+    texts += [" ".join([w for w in base if source.random() > 0.05] + [mail(source.choice([1, 2, 200])), f"odd{source.randrange(6)}"]) for _ in range(25)]
+    texts += [" ".join(f"w{source.randrange(120)}" for _ in range(40)) + source.choice([" Town3", " hobby4", "", " odd2 Name5"]) for _ in range(120)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    wanted = plain_terms(rows)
+    found = {r["doc_id"]: r for r in pii.find_personal_data(make_docs(rows)).collect()}
+    assert len(found) == len(rows) and sum(map(len, wanted)) > 100 and {True, False} == {x for w in wanted for _, x in w}
+    for i, text, _ in rows:
+        got = {(pii.term_of(text[t["start"] : t["end"]]), t["removed"]) for t in found[i]["terms"] or ()}
+        assert got == wanted[i], i
+
+
+def test_long_lists_make_no_pairs(make_docs):
+    """Two copies of a megabyte of addresses, and a page of each tenth person."""
+    text = "\n".join(f"Name{i} Surname{i} <user{i}@mail.example.org> +1 555 {i:07d}" for i in range(18_000))
+    rows = [(1, text, "s"), (2, text, "s")] + [(10 + i, f"Name{i} is user{i}@mail.example.org", "s") for i in range(0, 18_000, 10)]
+    rows += [(100_000 + i, "nothing of the kind", "s") for i in range(2000)]
+    began = time.time()
+    found = {r["doc_id"]: r["n_terms"] for r in pii.find_personal_data(make_docs(rows)).selectExpr("doc_id", "coalesce(size(terms), 0) AS n_terms").collect()}
+    assert time.time() - began < 90
+    assert found[1] == found[2] == 36_000 and all(found[10 + i] == 1 for i in range(0, 18_000, 10))

@@ -35,6 +35,13 @@ def test_host_verdict_is_relative_to_the_prior(make_docs):
     assert all(r["host_kept"] for r in host_quality.judge(make_docs(alike)).collect())
 
 
+def test_verdicts_reach_a_host_without_ids(make_docs):
+    """A third of all rows has one host, no id and one text."""
+    good = " ".join(f"w{i}" for i in range(60))
+    judged = host_quality.judge(make_docs([(None, good, "big")] * 300 + [(i, "bad", "big") for i in range(20)] + [(100 + i, good, f"h{i % 5}") for i in range(300)]))
+    assert judged.count() == 620 and judged.select("source", "host_kept").distinct().count() == 6 and judged.filter("host_kept IS NULL").count() == 0
+
+
 def test_rules_take_every_row(make_docs, edge_rows):
     assert host_quality.judge(make_docs(edge_rows)).count() == len(edge_rows)
     assert host_quality.judge(make_docs([])).count() == 0
@@ -133,6 +140,19 @@ def test_large_runs_are_dealt_again(spark, most):
     assert [roots.get(x, x) for x in prints.view(np.int64).tolist()] == [least[c] for c in label]
 
 
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_components_of_a_star_and_a_common_print(spark, make_docs, monkeypatch, hot):
+    """A centre with half of all links, a chain, and one text in half of the rows; hot keys are joined apart from the others."""
+    monkeypatch.setattr(simhash, "hot_bound", lambda rows: hot)
+    star = [(500, i) for i in range(501, 700)] + [(3, 500)] + [(i, i + 1) for i in range(1000, 1020)]
+    roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert {roots[i] for i in range(501, 700)} == {3} and roots[500] == 3 and {roots[i] for i in range(1001, 1021)} == {1000}
+    rows = [(i, None if i % 2 else f"alpha beta gamma delta {i}", "a") for i in range(40)]
+    found = {r["doc_id"]: r for r in simhash.near_duplicates(make_docs(rows)).collect()}
+    label = brute_components([int(found[i]["fingerprint"], 16) for i in range(40)])
+    assert all(found[i]["component_id"] == min(k for k in range(40) if label[k] == label[i]) for i in range(40))
+
+
 def test_one_of_each_keeps_one_row(make_docs, edge_rows):
     docs = make_docs(edge_rows)
     out = simhash.one_of_each(docs)

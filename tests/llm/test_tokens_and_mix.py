@@ -3,6 +3,7 @@ import random
 import time
 import zlib
 from collections import Counter
+from math import ceil
 
 import numpy as np
 import public_tokenizers
@@ -215,7 +216,13 @@ def test_shards_hold_whole_documents_in_shuffled_order(make_docs, edge_rows):
     drawn = Counter((r["doc_id"], d["shard"]) for r in source_mix.mix(docs, shards=4).collect() for d in r["draws"] if 2 * d["words"] > r["size"])
     assert Counter((r["doc_id"], r["_shard"]) for r in mixed) == drawn
     assert {(r["doc_id"], r["text"]) for r in mixed} <= {(i, t) for i, t, _ in rows}
-    shuffled = source_mix.shuffled_shards(docs, parts=2, shards=4)
-    assert shuffled.columns == docs.columns
+    words = sum(r["target"] for r in {r["source"]: r for r in source_mix.mix(docs, shards=4).collect()}.values())
+    shuffled = source_mix.shuffled_shards(docs, part_words=ceil(words / 8), shards=4)
+    assert shuffled.columns == docs.columns and shuffled.rdd.getNumPartitions() == 8
+    parts = shuffled.rdd.glom().map(lambda rows: [(r["doc_id"], r["text"]) for r in rows]).collect()
+    for shard in range(4):
+        halves = [[(r["doc_id"], r["text"]) for r in sorted(mixed, key=lambda r: r["_order"]) if r["_shard"] == shard and (r["_order"] < 0) == (half == 1)] for half in (0, 1)]
+        assert parts[2 * shard : 2 * shard + 2] == halves
     assert Counter((r["doc_id"], r["text"]) for r in shuffled.collect()) == Counter((r["doc_id"], r["text"]) for r in mixed)
     assert source_mix.shuffled_shards(make_docs([])).count() == 0
+    assert [source_mix.shard_parts(words) for words in (0, 2.56e8, 2.6e8, 2.5e13)] == [1, 1, 2, 97_657]

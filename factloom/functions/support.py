@@ -37,7 +37,7 @@ def is_definitive(plain: Column) -> Column:
 
 def evidence_spans(quote: Column, compose: bool = True) -> Column:
     """A quote in polarity form, in spans that each say one thing."""
-    return F.filter(F.transform(F.split(polarity_text(quote, compose), SPAN_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(polarity_text(quote, compose), SPAN_END), lambda p: F.trim(p)), lambda s: s != "")
 
 
 def span_supports(assertion: Column, span: Column, compose: bool = True) -> Column:

@@ -96,7 +96,7 @@ def question_tokens(col: Column, compose: bool = True) -> Column:
 
 def sentences(col: Column, least: int = 20, most: int = 450) -> Column:
     """Sentences by their end mark, of a length between the bounds."""
-    parts = F.transform(F.split(F.regexp_replace(col, rf"{SPACE}+", " "), r"(?<=[.!?;:])\s+"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(col, rf"{SPACE}+", " "), r"(?<=[.!?;:])\s+"), lambda p: F.trim(p))
     return F.filter(parts, lambda s: F.length(s).between(least, most))
 
 

@@ -61,7 +61,7 @@ def weight_values(plain: Column, label: str) -> Column:
 
 def threshold_values(plain: Column) -> tuple[Column, Column]:
     """The least scores and the scales that a quote, in lower case, lays down."""
-    spans = F.filter(F.transform(F.split(plain, SCORE_SPAN_END), F.trim), lambda s: (s != "") & is_definitive(s))
+    spans = F.filter(F.transform(F.split(plain, SCORE_SPAN_END), lambda p: F.trim(p)), lambda s: (s != "") & is_definitive(s))
     return _gathered(spans, *[(p, 1) for p in (*LEAST, *OF_SCALE)]), _gathered(spans, (SCALE, 1), *[(p, 2) for p in OF_SCALE])
 
 

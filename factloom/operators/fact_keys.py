@@ -84,6 +84,8 @@ RISK_KEYS = [
     ("contract:end", ["contract", "end date|expiry|expiration|terminat(?:e|ion)|period ends?|contract term"], None),
     ("projection:horizon", ["projection|projections|forecast|forecasts", r"horizon|end year|endpoint|extend|through|until|years? (?:out|beyond)|to 20\d{2}"], None),
 ]
+# Words of dates, zones and currencies, which relate nothing.
+SCALAR_WORDS = "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday mdt mst edt est cdt cst pdt pst utc gmt cad usd eur gbp".split()
 TEMPORAL = ("date:", "time:", "timezone:", "utc-offset:")
 
 
@@ -101,7 +103,7 @@ def segments(plain: Column) -> Column:
 
 def deadline_segments(quote: Column, compose: bool = True) -> Column:
     """A quote in clauses, each about one deadline at most."""
-    return F.filter(F.transform(F.split(normalised(quote, compose), f"{SENTENCE_END}|{DEADLINE_CUT}"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(normalised(quote, compose), f"{SENTENCE_END}|{DEADLINE_CUT}"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def supports_value(segment: Column, plain: Column) -> Column:
@@ -203,29 +205,35 @@ def closed_keys(facts: DataFrame, citations: DataFrame, compose: bool = True) ->
     return joined.withColumn("fact_key", F.coalesce("fact_key", "deadline_key", "source_key")).drop("deadline_key", "source_key")
 
 
-def risk_keys(segment: Column, plain: Column) -> Column:
-    """All keys that a segment of a risk speaks of, its source key included."""
+def risk_keys(segment: Column) -> Column:
+    """All keys that a segment of a risk speaks of."""
     tests = []
     for key, words, none_of in RISK_KEYS:
         test = F.lit(True)
         for pattern in words:
             test &= _has(segment, pattern)
         tests.append(F.when(test & ~_has(segment, none_of) if none_of else test, key))
-    return F.array_distinct(F.array_compact(F.array(segment_key(segment, plain), *tests)))
+    return F.array_distinct(F.array_compact(F.array(*tests)))
 
 
 def risk_lineage(findings: DataFrame, citations: DataFrame, compose: bool = True) -> DataFrame:
     """Findings (package_id, id, value, document_sha256) with ``lineage`` (bound, ambiguous, unbound) and ``keys``, those of their segments.
 
-    Each segment of a finding needs a span of verified evidence that has all its words; without one it is unbound.
+    Each segment of a finding needs a span of verified evidence that has all its words but those of dates, zones and currencies,
+    and one such word at least; without it the finding is unbound. A segment's source key is read from the evidence.
     """
     named = findings.withColumn("topic", F.lit(""))
-    spans = lambda c: F.filter(F.transform(F.split(normalised(c, compose), SEGMENT_END), F.trim), lambda p: p != "")
-    said = named.select(*FACT, F.explode(spans(F.col("value"))).alias("_said")).distinct()
+    spans = lambda c: F.filter(F.transform(F.split(normalised(c, compose), SEGMENT_END), lambda p: F.trim(p)), lambda p: p != "")
+    said = named.select(*FACT, "document_sha256", F.explode(spans(F.col("value"))).alias("_said")).distinct()
     shown = _own_citations(named, citations).select(*FACT, F.explode(spans(F.col("evidence_quote"))).alias("_shown"))
-    words = significant_words(F.col("_said"))
-    backed = said.join(shown, FACT, "left").groupBy(*FACT, "_said").agg(F.coalesce(F.bool_or((F.size(words) > 0) & (F.size(F.array_except(words, significant_words(F.col("_shown")))) == 0)), F.lit(False)).alias("_backed"))
-    keyed = backed.withColumn("_keys", risk_keys(F.col("_said"), F.lit("")))
+    words = F.array_except(significant_words(F.col("_said")), F.array(*map(F.lit, SCALAR_WORDS)))
+    backs = (F.size(words) > 0) & (F.size(F.array_except(words, significant_words(F.col("_shown")))) == 0)
+    backed = said.join(shown, FACT, "left").groupBy(*FACT, "_said").agg(F.coalesce(F.bool_or(backs), F.lit(False)).alias("_backed"))
+    own = F.struct("id", "_said")
+    of_spans = said.select("package_id", own.alias("id"), F.lit("").alias("topic"), F.col("_said").alias("value"), "document_sha256")
+    proof = citations.join(said.select(*FACT, "_said"), FACT).select("package_id", own.alias("id"), "document_sha256", "evidence_quote", "verified")
+    read = source_keys(of_spans, proof, compose).select("package_id", "id.id", F.col("id._said").alias("_said"), "source_key")
+    keyed = backed.join(read, [*FACT, "_said"], "left").withColumn("_keys", F.array_union(risk_keys(F.col("_said")), F.array_compact(F.array("source_key"))))
     sums = keyed.groupBy(FACT).agg(F.bool_and("_backed").alias("_all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_keys")))).alias("_found"))
     joined = findings.join(sums, FACT, "left")
     n = F.when(F.col("_all"), F.size("_found")).otherwise(0)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import trimmed
 
+from .ordered import packed, running
+
 STRIDE, WIDTH = 2800, 3000
 CORE, HALO = 2700, 250
 FRAGMENT, OVERLAP = 10_000, 500
@@ -77,39 +79,25 @@ def fragments(documents: DataFrame, key: str = "document_sha256", text: str = "t
     return documents.select(key, text).mapInPandas(split, f"`{key}` {kind}, ordinal int, fragment_start int, text string")
 
 
-def balanced_batches(parts: DataFrame, batches: int, package: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """Deals the ordered parts of a package into batches whose sizes differ by one at most."""
-    return parts.withColumn("batch", F.ntile(batches).over(Window.partitionBy(*package).orderBy(*order)))
+def balanced_batches(parts: DataFrame, batches: int, package: tuple[str, ...], order: tuple[str, ...], ranges: int | None = None) -> DataFrame:
+    """Deals the ordered parts of a package into batches whose sizes differ by one at most; the first ones are the larger."""
+    at = running(parts, package, order, {"_n": F.lit(1)}, ranges)
+    n, small, more = F.col("_n_before"), F.expr(f"_n_total div {batches}"), F.col("_n_total") % batches
+    early = n < more * (small + 1)
+    batch = F.when(early, F.expr(f"_n_before div (_n_total div {batches} + 1)")).otherwise(more + F.expr(f"(_n_before - _n_total % {batches} * (_n_total div {batches} + 1)) div greatest(_n_total div {batches}, 1)"))
+    return at.withColumn("batch", (batch + 1).cast("int")).drop("_n_before", "_n_total")
 
 
-def packed_batches(parts: DataFrame, package: str, order: tuple[str, ...], size: str, limit: int) -> DataFrame:
+def packed_batches(parts: DataFrame, package: str, order: tuple[str, ...], size: str, limit: int, ranges: int | None = None) -> DataFrame:
     """Fills batches in order up to ``limit``; a part that alone exceeds it gets a batch of its own, marked too_large."""
-    names = [f.name for f in parts.schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", batch int, too_large boolean"
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, used, batch = object(), 0, 0
-        for frame in frames:
-            batches, large = [], []
-            for key, n in zip(frame[package], frame[size]):
-                if key != last:
-                    last, used, batch = key, 0, 0
-                elif used + n > limit:
-                    used, batch = 0, batch + 1
-                used += n
-                batches.append(batch)
-                large.append(bool(n > limit))
-            yield frame[names].assign(batch=batches, too_large=large)
-
-    return parts.repartition(package).sortWithinPartitions(package, *order).mapInPandas(pack, schema)
+    return packed(parts, package, order, size, limit, ranges)
 
 
-def output_caps(batches: DataFrame, total: int, floor: str, used: str, package: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+def output_caps(batches: DataFrame, total: int, floor: str, used: str, package: tuple[str, ...], order: tuple[str, ...], ranges: int | None = None) -> DataFrame:
     """What a batch may put out: the total less what earlier batches used and later ones need at least."""
-    ordered = Window.partitionBy(*package).orderBy(*order)
-    earlier = F.coalesce(F.sum(used).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    later = F.coalesce(F.sum(floor).over(ordered.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    return batches.withColumn("output_cap", F.greatest(F.lit(total) - earlier - later, F.lit(0)))
+    at = running(batches, package, order, {"_used": F.coalesce(F.col(used), F.lit(0)), "_floor": F.coalesce(F.col(floor), F.lit(0))}, ranges)
+    later = F.col("_floor_total") - F.col("_floor_before") - F.coalesce(F.col(floor), F.lit(0))
+    return at.withColumn("output_cap", F.greatest(F.lit(total) - F.col("_used_before") - later, F.lit(0))).drop("_used_before", "_used_total", "_floor_before", "_floor_total")
 
 
 def joined(pages: DataFrame, document: str, order: str, text: str = "text") -> DataFrame:

@@ -133,6 +133,12 @@ def segment_key(segment: Column, plain: Column) -> Column:
     return F.when((case == "document:m3-appendix-1") & (row != ""), F.concat(case, F.lit(":row:"), F.lpad(row, 2, "0"))).otherwise(case)
 
 
+def once(rows: DataFrame, texts: list[str], **made: Column) -> DataFrame:
+    """The rows with columns made of these texts, once for each distinct combination; rows with a null text get nulls."""
+    known = stage(rows.select(*texts).distinct().withColumns(made), "distinct")
+    return rows.join(known, texts, "left")
+
+
 def _own_citations(facts: DataFrame, citations: DataFrame) -> DataFrame:
     proof = citations.filter("verified").select(*FACT, F.lower("document_sha256").alias("_cited"), "evidence_quote")
     return facts.select(*FACT, "topic", "value", "document_sha256").join(proof, FACT).filter(F.col("_cited") == F.lower("document_sha256"))
@@ -149,7 +155,7 @@ def source_keys(facts: DataFrame, citations: DataFrame, compose: bool = True) ->
     cut = plain.select(*FACT, "_topic", "_value", F.explode(segments(F.col("_evidence_quote"))).alias("_segment"))
     segment = F.col("_segment")
     tabular = _has(segment, "appendix\\s*1|criterion\\s*m3|m3") & _has(segment, "table|appendix")
-    keyed = cut.withColumns({"_tabular": tabular, "_key": F.when(supports_value(segment, F.col("_value")), segment_key(segment, F.col("_value")))})
+    keyed = once(cut, ["_value", "_segment"], _tabular=tabular, _key=F.when(supports_value(segment, F.col("_value")), segment_key(segment, F.col("_value"))))
     sums = keyed.groupBy(FACT).agg(F.collect_set("_key").alias("_keys"), (~F.bool_or(_has(F.col("_topic"), "row|table")) | F.bool_or("_tabular")).alias("_fits"))
     return sums.filter(F.col("_fits") & (F.size("_keys") == 1)).select(*FACT, F.element_at("_keys", 1).alias("source_key"))
 

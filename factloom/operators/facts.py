@@ -77,7 +77,9 @@ def merged_keys(facts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def with_rights(facts: DataFrame) -> DataFrame:
-    """Adds ``authorised``: additions always; others only from an amendment, verified, and over an earlier fact of the same key."""
+    """Adds ``authorised`` where it is not given (by mutations.mutation_rights): additions always; others only from an amendment, verified, and over an earlier fact of the same key."""
+    if "authorised" in facts.columns:
+        return facts
     order = Window.partitionBy("package_id", "key").orderBy("stage_number", "stage_label", "document_sha256", "id")
     earlier = F.count("*").over(order.rowsBetween(Window.unboundedPreceding, -1)) > 0
     allowed = (F.col("document_role") == "amendment") & F.col("verified") & earlier

@@ -15,7 +15,7 @@ from factloom.functions.text import nfkc
 from factloom.functions.tokens import assertion_tokens
 from factloom.sources.staging import stage
 
-from .fact_keys import FACT, risk_lineage
+from .fact_keys import FACT, once, risk_lineage
 
 PARTS = ("finding", "impact", "action")
 #: The states of a risk, each above those before it.
@@ -36,11 +36,14 @@ def risk_parts(risks: DataFrame, citations: DataFrame, compose: bool = True) ->
     known = risk_lineage(parts, of_parts, compose=False)
     spans = of_parts.filter("verified").select(*FACT, F.explode(evidence_spans(F.col("evidence_quote"), False)).alias("_span"))
     derived = parts.filter("id.part != 'finding'").select(*FACT, "value").join(spans, FACT)
-    said = derived.groupBy(FACT).agg(F.bool_or(span_supports(F.col("value"), F.col("_span"), False)).alias("_said"))
+    told = once(derived, ["value", "_span"], _says=span_supports(F.col("value"), F.col("_span"), False))
+    said = told.groupBy(FACT).agg(F.bool_or("_says").alias("_said"))
     finding = known.filter("id.part = 'finding' AND lineage = 'bound'").select("package_id", F.col("id.id").alias("_of"), F.col("keys").alias("_inherited"))
     met = known.join(said, FACT, "left").withColumn("_of", F.col("id.id")).join(finding, ["package_id", "_of"], "left")
     own = (F.col("id.part") == "finding") | F.coalesce("_said", F.lit(False))
-    takes = (F.col("id.part") != "finding") & ~(own & (F.col("lineage") == "bound")) & (F.size(assertion_tokens(F.coalesce("value", F.lit("")), False)) == 0) & F.col("_inherited").isNotNull()
+    met = once(met, ["value"], _tokens=assertion_tokens(F.col("value"), False))
+    bare = F.coalesce(F.size("_tokens"), F.lit(0)) <= 0
+    takes = (F.col("id.part") != "finding") & F.col("_inherited").isNotNull() & ~(own & (F.col("lineage") == "bound")) & bare
     none = F.array().cast("array<string>")
     return met.select(
         "package_id", F.col("_of").alias("id"), "id.part", "value",
@@ -60,7 +63,8 @@ def gone_tokens(facts: DataFrame, compose: bool = True) -> DataFrame:
 def risk_dependencies(parts: DataFrame, facts: DataFrame, compose: bool = True) -> DataFrame:
     """(package_id, id, dependency) of every risk: the greatest of its STATES over all keys of superseded facts."""
     gone = gone_tokens(facts, compose)
-    tokens = parts.select(*FACT, "part", "lineage", "keys", F.explode(assertion_tokens(F.col("value"), False)).alias("token"))
+    parts = once(parts, ["value"], _tokens=assertion_tokens(F.col("value"), False))
+    tokens = parts.select(*FACT, "part", "lineage", "keys", F.explode("_tokens").alias("token"))
     finding = parts.filter("part = 'finding'").select(*FACT, F.when(F.col("lineage") == "bound", F.element_at("keys", 1)).alias("_finding_key"))
     met = tokens.join(gone, ["package_id", "token"]).join(finding, FACT)
     of_key = F.array_contains("keys", F.col("fact_key"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import judgements, lifecycle, literals, placements, structural
+from . import changes, judgements, lifecycle, literals, placements, structural
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return structural.QUERIES | lifecycle.QUERIES | judgements.QUERIES | placements.QUERIES | literals.QUERIES
+    return structural.QUERIES | lifecycle.QUERIES | judgements.QUERIES | placements.QUERIES | changes.QUERIES | literals.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return structural.SQL | lifecycle.SQL | judgements.SQL | placements.SQL | literals.SQL
+    return structural.SQL | lifecycle.SQL | judgements.SQL | placements.SQL | changes.SQL | literals.SQL

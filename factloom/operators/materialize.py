@@ -52,7 +52,7 @@ def judged_records(records: DataFrame, citations: DataFrame, manifests: DataFram
 
 
 def package_quality(judged: DataFrame, pages_per_package: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """Per package: active and open records, covered pages of all, whether each active group is cited, and readiness.
+    """Per package: active and open records, covered pages of all, and readiness. What groups are cited is told by critical_groups().
 
     ``evaluation`` has package_id and fields, the number of evaluation fields with a value.
     """
@@ -69,6 +69,17 @@ def package_quality(judged: DataFrame, pages_per_package: DataFrame, evaluation:
     return joined.select("package_id", "active", "open", "verified_citations", "covered_pages", F.coalesce("pages_total", F.lit(0)).alias("pages_total"), state.alias("readiness"))
 
 
+def critical_groups(groups: DataFrame, citations: DataFrame, keys: tuple[str, ...] = ("kind", "id")) -> DataFrame:
+    """Per package: its visible groups, and those that are cited: with a citation, and all of them verified and on a page.
+
+    Groups and citations have package_id and the keys; a group that is named several times counts once.
+    """
+    sound = F.coalesce(F.col("verified") & F.col("page").isNotNull(), F.lit(False))
+    cited = citations.groupBy("package_id", *keys).agg(F.bool_and(sound).alias("_cited"))
+    joined = groups.select("package_id", *keys).distinct().join(cited, ["package_id", *keys], "left")
+    return joined.groupBy("package_id").agg(F.count("*").alias("critical_groups"), F.count_if("_cited").alias("cited_groups"))
+
+
 def summary_value(candidates: DataFrame) -> DataFrame:
     """Per package and field: the preferred value if the source has it, else the only value the source has, else null."""
     source = F.col("source_value")

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, mutations, risks
+from factloom.operators import facts, materialize, mutations, risks
+from factloom.sources.tables import table
 
 from .judgements import SOURCED_SQL, _by, _sourced, _worded
 
@@ -87,5 +88,15 @@ g AS (SELECT package_id, q FROM f WHERE package_id NOT IN (SELECT package_id FRO
 k AS (SELECT package_id, id, q, (m // 8 + id) % 2 = 0 AS bound, (m // 8 + id) % 3 AS i FROM l)
 SELECT k.package_id, k.id, CASE WHEN g.q IS NULL THEN 'none' WHEN bound THEN 'stale' WHEN i > 0 THEN 'mixed' ELSE 'none' END AS dependency FROM k LEFT JOIN g USING (package_id, q)"""
 
-QUERIES = {f.__name__: f for f in (q_mutation_rights, q_authorised_changes, q_risk_parts, q_risk_dependencies)}
-SQL = {"q_mutation_rights": Q_RIGHTS, "q_authorised_changes": Q_CHANGES, "q_risk_parts": Q_PARTS, "q_risk_dependencies": Q_DEPENDENCIES}
+def q_critical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the groups of their customer, their lines as citations: verified when shipped, on a page unless returned."""
+    groups = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("package_id"), F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linestatus") == "F").alias("verified"), F.when(F.col("l_returnflag") != "R", F.col("l_linenumber")).alias("page"))
+    return materialize.critical_groups(groups, groups.join(lines, "id"))
+
+
+Q_CRITICAL = """WITH c AS (SELECT l_orderkey AS id, bool_and(l_linestatus = 'F' AND l_returnflag <> 'R') AS cited FROM lineitem GROUP BY 1)
+SELECT o_custkey AS package_id, count(DISTINCT o_orderkey) AS critical_groups, count(DISTINCT o_orderkey) FILTER (cited) AS cited_groups FROM orders LEFT JOIN c ON o_orderkey = id GROUP BY 1"""
+
+QUERIES = {f.__name__: f for f in (q_mutation_rights, q_authorised_changes, q_risk_parts, q_risk_dependencies, q_critical_groups)}
+SQL = {"q_mutation_rights": Q_RIGHTS, "q_authorised_changes": Q_CHANGES, "q_risk_parts": Q_PARTS, "q_risk_dependencies": Q_DEPENDENCIES, "q_critical_groups": Q_CRITICAL}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.text import nfkc, trimmed
+
 PAGES = "document_sha256 string, page int, text string"
 CANDIDATES = "candidate_id string, document_sha256 string, evidence_quote string"
 FACTS = "package_id string, id string, topic string, fact_key string, value string, document_sha256 string, document_role string, amendment_number string, effect string, verified boolean"
@@ -31,9 +33,9 @@ def staged_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checked_name(col: F.Column) -> F.Column:
-    """A file name without control characters, or null if it is not the name of a PDF."""
-    name = F.trim(F.regexp_replace(col, r"[\x00-\x1F\x7F]", ""))
-    return F.when(F.length(name).between(1, MOST_NAME) & name.rlike(r"(?i)\.pdf$") & ~name.rlike(r"[/\\]"), name)
+    """A file name in composed form without control characters, or null if it is not the name of a PDF."""
+    name = trimmed(F.regexp_replace(nfkc(col), r"[\x00-\x1F\x7F]", ""))
+    return F.when(F.length(name).between(1, MOST_NAME) & name.rlike(r"(?i).\.pdf$") & ~name.rlike(r"[/\\]"), name)
 
 
 def unique_json_string(payload: F.Column, *paths: str) -> F.Column:

@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, materialize, mutations, risks
+from factloom.functions import predicates
+from factloom.functions.tokens import assertion_tokens
+from factloom.operators import citations, fact_keys, facts, materialize, mutations, risks
+from factloom.sources.staging import stage
 from factloom.sources.tables import table
 
 from .judgements import SOURCED_SQL, _by, _sourced, _worded
@@ -98,5 +101,55 @@ def q_critical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q_CRITICAL = """WITH c AS (SELECT l_orderkey AS id, bool_and(l_linestatus = 'F' AND l_returnflag <> 'R') AS cited FROM lineitem GROUP BY 1)
 SELECT o_custkey AS package_id, count(DISTINCT o_orderkey) AS critical_groups, count(DISTINCT o_orderkey) FILTER (cited) AS cited_groups FROM orders LEFT JOIN c ON o_orderkey = id GROUP BY 1"""
 
-QUERIES = {f.__name__: f for f in (q_mutation_rights, q_authorised_changes, q_risk_parts, q_risk_dependencies, q_critical_groups)}
-SQL = {"q_mutation_rights": Q_RIGHTS, "q_authorised_changes": Q_CHANGES, "q_risk_parts": Q_PARTS, "q_risk_dependencies": Q_DEPENDENCIES, "q_critical_groups": Q_CRITICAL}
+def q_cited_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders all of whose lines are verified and on a page, and those that also have one part only."""
+    line = F.struct((F.col("l_linestatus") == "F").alias("verified"), F.when(F.col("l_returnflag") != "R", F.col("l_linenumber")).alias("page"), (F.col("l_partkey") % 2).cast("string").alias("document_sha256"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("citations"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 2).cast("string").alias("document")).join(lines, "o_orderkey", "left")
+    return orders.select("o_orderkey", citations.all_verified().alias("verified"), citations.all_verified(document="document").alias("of_document"))
+
+
+Q_CITED = """WITH c AS (SELECT l_orderkey AS k, bool_and(l_linestatus = 'F' AND l_returnflag <> 'R') AS v, bool_and(l_partkey % 2 = l_orderkey % 2) AS d FROM lineitem GROUP BY 1)
+SELECT o_orderkey, coalesce(v, false) AS verified, coalesce(v AND d, false) AS of_document FROM orders LEFT JOIN c ON o_orderkey = k"""
+
+
+def q_same_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlines as asserted against those of a source that has the day, the day and an hour, or an hour and a zone."""
+    day = F.col("q") % 28 + 1
+    kinds = F.floor(F.col("m") / 8) + F.col("id")
+    source = _by(kinds, _worded("closes May #, 2021", day), _worded("closes May #, 2021 at 14:00", day), _worded("closes May #, 2021 at 14:00 EST", day))
+    said = _by(F.floor(kinds / 3), _worded("May #, 2021", day), _worded("May #, 2021 at 14:00", day), _worded("May #, 2021 at 14:00 EST", day), F.lit("at 14:00"))
+    tokens = stage(_sourced(spark, sf_dir).select("package_id", "id", assertion_tokens(said, False).alias("said"), assertion_tokens(source, False).alias("source")), "deadlines")
+    return tokens.select("package_id", "id", fact_keys.same_deadline(F.col("said"), F.col("source")).alias("same"))
+
+
+Q_DEADLINES = f"""{SOURCED_SQL}, k AS (SELECT package_id, id, (m // 8 + id) % 3 AS s, ((m // 8 + id) // 3) % 4 AS a FROM l)
+SELECT package_id, id, (s = 0 AND a = 0) OR (s = 1 AND a IN (1, 2)) OR (s = 2 AND a = 2) AS same FROM k"""
+
+
+def q_request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which page addresses could be request keys, and which are on one host by HTTPS."""
+    return table(spark, sf_dir, "pages").select("page_id", predicates.valid_request_key(F.col("url")).alias("valid_key"), predicates.allowed_url(F.col("url"), HOST).alias("allowed"))
+
+
+HOST = "blog.tionsh.example.net"
+Q_KEYS = rf"""SELECT page_id, coalesce(trim(url) = '', true) OR regexp_full_match(trim(url), '[\x21-\x7e]{{8,200}}') AS valid_key,
+  coalesce(regexp_matches(url, '(?i)^https://{HOST}(:443)?([/?#].*)?$'), false) AS allowed FROM pages"""
+
+
+def q_blocking_unknowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is not known of each customer: a positive balance, an order, an open order; the first and the last are told alike."""
+    open_ = F.max(F.col("o_orderstatus") == "O").alias("open")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), open_)
+    packages = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").withColumnRenamed("c_custkey", "package_id")
+    tests = (("means", F.col("c_acctbal") <= 0), ("orders", F.col("n").isNull()), ("means", ~F.coalesce("open", F.lit(False))))
+    found = materialize.blocking_unknowns(packages, *tests)
+    return found.select("package_id", F.array_join("unknowns", ",").alias("unknowns"))
+
+
+Q_UNKNOWNS = """WITH o AS (SELECT o_custkey AS k, bool_or(o_orderstatus = 'O') AS open FROM orders GROUP BY 1)
+SELECT c_custkey AS package_id, array_to_string(list_filter([CASE WHEN c_acctbal <= 0 OR NOT coalesce(open, false) THEN CASE WHEN c_acctbal <= 0 THEN 'means' END END, CASE WHEN k IS NULL THEN 'orders' END,
+  CASE WHEN c_acctbal > 0 AND NOT coalesce(open, false) THEN 'means' END], lambda x: x IS NOT NULL), ',') AS unknowns FROM customer LEFT JOIN o ON c_custkey = k"""
+
+QUERIES = {f.__name__: f for f in (q_mutation_rights, q_authorised_changes, q_risk_parts, q_risk_dependencies, q_critical_groups, q_cited_orders, q_same_deadlines, q_request_keys, q_blocking_unknowns)}
+SQL = {"q_mutation_rights": Q_RIGHTS, "q_authorised_changes": Q_CHANGES, "q_risk_parts": Q_PARTS, "q_risk_dependencies": Q_DEPENDENCIES, "q_critical_groups": Q_CRITICAL, "q_cited_orders": Q_CITED, "q_same_deadlines": Q_DEADLINES, "q_request_keys": Q_KEYS, "q_blocking_unknowns": Q_UNKNOWNS}

@@ -18,6 +18,7 @@ from factloom.functions.text import B0, B1, normalised, polarity_text
 from factloom.functions.tokens import assertion_tokens
 from factloom.sources.staging import stage
 
+from .cases import cases
 from .fact_keys import FACT, OBJECT_FIRST, OBJECTS, SENTENCE_END, deadline_scope, mutation_target, segment_key, supports_value
 
 #: Kinds of tokens of which a change that names several has to be told in full.
@@ -156,14 +157,10 @@ def terminal_targets(facts: DataFrame, citations: DataFrame, compose: bool = Tru
     return named.groupBy(*FACT).agg(F.max_by("_target", place).alias("terminal"))
 
 
-def mutation_rights(facts: DataFrame, citations: DataFrame, compose: bool = True) -> DataFrame:
-    """The facts with ``authorised``: true for additions, else whether the evidence has the right to the change.
-
-    Facts come with their closed key (fact_keys.closed_keys), the role of their document and its stage, a number that grows
-    with each amendment. A change without a key has no right.
-    """
+def _evidence_rights(changes: DataFrame, citations: DataFrame, compose: bool = True) -> DataFrame:
+    """(package_id, id, _right): whether the evidence of changes binds their key and ends with their value."""
     deadline = F.col("fact_key").startswith("deadline:")
-    scopes = action_scopes(facts, citations, compose).join(facts.select(*FACT, "fact_key"), FACT)
+    scopes = action_scopes(changes, citations, compose).join(changes.select(*FACT, "fact_key"), FACT)
     # Written with their tokens, so that these are made once and not in each test below.
     tokens = lambda c: assertion_tokens(F.col(c), False)
     aimed = stage(scopes.withColumn("_target", mutation_target(F.col("scope"))), "aimed")
@@ -175,11 +172,29 @@ def mutation_rights(facts: DataFrame, citations: DataFrame, compose: bool = True
     moved = scope.rlike(MOVED_FROM) & (F.size(dates("_said")) > 1) & F.arrays_overlap(dates("_said"), dates("_asserted"))
     names = F.when(deadline, (deadline_scope(scope) == F.col("fact_key")) | moved).otherwise((own == F.col("fact_key")) | F.col("fact_key").startswith(F.concat(own, F.lit(":"))))
     binding = scopes.groupBy(*FACT).agg(F.bool_or(goes & F.coalesce(names, F.lit(False))).alias("_binds"))
-    first = facts.filter("fact_key IS NOT NULL").groupBy("package_id", "fact_key").agg(F.min("stage").alias("_first"))
-    last = terminal_targets(facts, citations, compose)
-    joined = facts.join(first, ["package_id", "fact_key"], "left").join(last, FACT, "left").join(binding, FACT, "left")
-    plain = stage(joined.withColumn("_plain", normalised(F.col("value"), compose)), "rights")
+    last = terminal_targets(changes, citations, compose)
+    plain = stage(changes.join(last, FACT, "left").join(binding, FACT, "left").withColumn("_plain", normalised(F.col("value"), compose)), "rights")
     plain = stage(plain.withColumns({"_asserted": F.when(F.col("terminal").isNotNull(), tokens("_plain")), "_there": tokens("terminal")}), "rights")
     ends = (F.col("effect") == "delete") | target_supports(F.col("terminal"), F.col("_plain"), F.col("_there"), F.col("_asserted"), F.coalesce(deadline, F.lit(False)))
-    right = (F.col("role") == "amendment") & F.col("_binds") & ends & (deadline | (F.col("_first") < F.col("stage")))
-    return plain.withColumn("authorised", (F.col("effect") == "add") | F.coalesce(right, F.lit(False))).select(*facts.columns, "authorised")
+    return stage(plain.select(*FACT, F.coalesce(F.col("_binds") & ends, F.lit(False)).alias("_right")), "rights")
+
+
+def mutation_rights(facts: DataFrame, citations: DataFrame, compose: bool = True) -> DataFrame:
+    """The facts with ``authorised``: true for additions, else whether the evidence has the right to the change.
+
+    Facts come with their closed key (fact_keys.closed_keys), the role of their document and its stage, a number that grows
+    with each amendment. A change without a key has no right. Changes with the same texts are judged as one case.
+    """
+    changes = facts.filter(F.col("effect").isin("replace", "delete")).select(*FACT, "effect", "value", "fact_key", F.lower("document_sha256").alias("_own"))
+    sound = F.coalesce(F.col("verified") & F.col("page").isNotNull() & (F.lower("_cited") == F.col("_own")), F.lit(False))
+    cited = citations.select(*FACT, "citation", "verified", "page", F.col("document_sha256").alias("_cited"), "evidence_quote")
+    proof = cited.join(changes.select(*FACT, "_own"), FACT).select(*FACT, "page", "citation", sound.alias("verified"), "evidence_quote")
+    place = F.struct(F.col("page").isNull(), F.coalesce("page", F.lit(0)), "citation")
+    members, each, shown = cases(changes, FACT, ["effect", "value", "fact_key"], proof, ["verified", "evidence_quote"], place)
+    one = {"document_sha256": F.lit("")}
+    judged = _evidence_rights(each.withColumns(one), shown.withColumns(one | {"page": F.lit(1)}), compose)
+    rights = members.join(judged.select(F.col("id").alias("_case"), "_right"), "_case").filter("_right").select(*FACT, "_right")
+    first = facts.filter("fact_key IS NOT NULL").groupBy("package_id", "fact_key").agg(F.min("stage").alias("_first"))
+    joined = facts.join(first, ["package_id", "fact_key"], "left").join(rights, FACT, "left")
+    right = (F.col("role") == "amendment") & F.col("_right") & (F.col("fact_key").startswith("deadline:") | (F.col("_first") < F.col("stage")))
+    return joined.withColumn("authorised", (F.col("effect") == "add") | F.coalesce(right, F.lit(False))).select(*facts.columns, "authorised")

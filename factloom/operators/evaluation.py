@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from factloom.functions.support import METHODS, evidence_spans, is_definitive, relevant_to, selection_method
 from factloom.functions.text import B0, B1, normalised, polarity_text, significant_words
 from factloom.functions.tokens import assertion_tokens, tokens_supported
+from factloom.sources.staging import stage
+
+from .cases import cases
 
 RULE = ["package_id", "rule_id"]
 WEIGHTS = {"technical_weight": "technical", "financial_weight": "financial|price"}
@@ -90,8 +93,16 @@ def parsed_value(field: Column, value: Column) -> Column:
 def validated_rules(rules: DataFrame, citations: DataFrame, compose: bool = True) -> DataFrame:
     """The rules with ``valid`` and n_bound, how many of their relevant citations bind the value.
 
-    All relevant citations have to be verified, and there has to be one; their numbers have to agree on the value.
+    All relevant citations have to be verified, and there has to be one; their numbers have to agree on the value. Rules with
+    the same texts are judged as one case.
     """
+    members, each, shown = cases(rules, RULE, ["field", "value"], citations, ["verified", "evidence_quote"])
+    judged = stage(_judged_rules(each.withColumnRenamed("id", "rule_id"), shown.withColumnRenamed("id", "rule_id"), compose), "judged")
+    known = members.join(judged.select(F.col("rule_id").alias("_case"), "valid", "n_bound"), "_case").drop("_case")
+    return rules.join(known, RULE, "left").withColumns({"valid": F.coalesce("valid", F.lit(False)), "n_bound": F.coalesce("n_bound", F.lit(0).cast("long"))})
+
+
+def _judged_rules(rules: DataFrame, citations: DataFrame, compose: bool) -> DataFrame:
     field, quote = F.col("field"), F.col("evidence_quote")
     proof = citations.select(*RULE, "evidence_quote", "verified")
     near = rules.select(*RULE, "field", "value").join(proof, RULE).filter(relevant_to(field, quote, compose))

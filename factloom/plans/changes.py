@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from factloom.functions import predicates
 from factloom.functions.tokens import assertion_tokens
 from factloom.operators import citations, fact_keys, facts, materialize, mutations, risks
-from factloom.sources.staging import stage
 from factloom.sources.tables import table
 
 from .judgements import SOURCED_SQL, _by, _sourced, _worded
@@ -119,8 +118,10 @@ def q_same_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.floor(F.col("m") / 8) + F.col("id")
     source = _by(kinds, _worded("closes May #, 2021", day), _worded("closes May #, 2021 at 14:00", day), _worded("closes May #, 2021 at 14:00 EST", day))
     said = _by(F.floor(kinds / 3), _worded("May #, 2021", day), _worded("May #, 2021 at 14:00", day), _worded("May #, 2021 at 14:00 EST", day), F.lit("at 14:00"))
-    tokens = stage(_sourced(spark, sf_dir).select("package_id", "id", assertion_tokens(said, False).alias("said"), assertion_tokens(source, False).alias("source")), "deadlines")
-    return tokens.select("package_id", "id", fact_keys.same_deadline(F.col("said"), F.col("source")).alias("same"))
+    asked = _sourced(spark, sf_dir).select("package_id", "id", said.alias("said"), source.alias("source"))
+    told = fact_keys.once(asked, ["said"], _said=assertion_tokens(F.col("said"), False))
+    told = fact_keys.once(told, ["source"], _source=assertion_tokens(F.col("source"), False))
+    return told.select("package_id", "id", fact_keys.same_deadline(F.col("_said"), F.col("_source")).alias("same"))
 
 
 Q_DEADLINES = f"""{SOURCED_SQL}, k AS (SELECT package_id, id, (m // 8 + id) % 3 AS s, ((m // 8 + id) // 3) % 4 AS a FROM l)

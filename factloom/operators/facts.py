@@ -9,6 +9,8 @@ from factloom.functions.text import normalised, topic_tokens
 from factloom.functions.tokens import assertion_tokens
 from factloom.sources.staging import stage
 
+from .fact_keys import once
+
 LAST = 2**53 - 1
 #: Shared topic words, and the share of all or of the shorter topic's words, from which two topics are one.
 ALIAS_WORDS, ALIAS_JACCARD, ALIAS_CONTAINED = 2, 0.45, 0.75
@@ -94,23 +96,24 @@ def reconcile(facts: DataFrame, compose: bool = True) -> DataFrame:
     if all have scalar values and these differ.
     """
     number, label = stage_columns(F.col("document_role"), F.col("amendment_number"))
-    staged = with_rights(facts.withColumns({"stage_number": number, "stage_label": label}))
+    told = once(facts, ["value"], value_key=normalised(F.col("value"), compose), scalars=F.array_join(assertion_tokens(F.col("value"), compose), "|"))
+    staged = with_rights(told.withColumns({"stage_number": number, "stage_label": label}))
     group, in_stage = Window.partitionBy("package_id", "key"), Window.partitionBy("package_id", "key", "stage")
     ordered = staged.withColumn("stage", F.dense_rank().over(group.orderBy("stage_number", "stage_label")))
     valid = F.col("verified") & F.col("authorised")
     last = F.coalesce(F.max(F.when(valid & (F.col("effect") != "add"), F.col("stage"))).over(group), F.lit(0))
-    scalars = F.array_join(assertion_tokens(F.col("value"), compose), "|")
-    marked = ordered.withColumns({"current": valid & (F.col("effect") != "delete") & (F.col("stage") >= last), "owned": F.col("key").startswith("owned:") | F.col("key").startswith("derived:"), "value_key": normalised(F.col("value"), compose), "scalars": scalars})
-    marked = stage(marked, "marked")  # so that tokens are made once, not in each window below
+    marked = ordered.withColumns({"current": valid & (F.col("effect") != "delete") & (F.col("stage") >= last), "owned": F.col("key").startswith("owned:") | F.col("key").startswith("derived:")})
+    marked = stage(marked, "marked")  # so that stages are made once, not for each window below
     now = lambda c: F.when(F.col("current"), c)
 
+    def several(c: str, window) -> Column:
+        return F.min(now(F.col(c))).over(window) != F.max(now(F.col(c))).over(window)
+
     def differ(window) -> Column:
-        values = F.size(F.collect_set(now(F.col("scalars"))).over(window))
-        return F.bool_and(now(F.col("owned") & (F.col("scalars") != ""))).over(window) & (values > 1)
+        return F.bool_and(now(F.col("owned") & (F.col("scalars") != ""))).over(window) & several("scalars", window)
 
-    values = F.size(F.collect_set(now(F.col("value_key"))).over(in_stage))
     replaced = F.bool_or(now(F.col("effect") == "replace")).over(in_stage) & F.bool_and(now(F.col("owned"))).over(in_stage)
-    tested = marked.withColumns({"stage_conflict": F.coalesce(F.col("current") & (values > 1) & (replaced | differ(in_stage)), F.lit(False)), "whole_conflict": F.coalesce(F.col("current") & differ(group), F.lit(False))})
+    tested = marked.withColumns({"stage_conflict": F.coalesce(F.col("current") & several("value_key", in_stage) & (replaced | differ(in_stage)), F.lit(False)), "whole_conflict": F.coalesce(F.col("current") & differ(group), F.lit(False))})
     any_stage = F.bool_or("stage_conflict").over(group)
     status = F.when(~F.col("current"), "superseded").when(F.col("stage_conflict") | (~any_stage & F.col("whole_conflict")), "conflicted").otherwise("active")
     return tested.withColumn("status", status).drop("current", "owned", "scalars", "stage_conflict", "whole_conflict")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.sources.staging import stage
+
 from . import pages
 from .coverage import checked_relations, mentions
 
@@ -103,7 +105,7 @@ def relation_reasons(relations: DataFrame, units: DataFrame) -> DataFrame:
     """Per batch and unit: the reason against its first relation that has one, how many it has, and whether two share a span."""
     # The same page in two packages has the same units.
     checked = checked_relations(relations, units.dropDuplicates(["candidate_id"]))
-    spans = F.count_distinct("relation_start", "relation_end")
+    spans = F.size(F.collect_set(F.when(F.col("relation_start").isNotNull() & F.col("relation_end").isNotNull(), F.struct("relation_start", "relation_end"))))
     return checked.groupBy(*BATCH, "candidate_id").agg(F.count("*").alias("n_relations"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("ordinal"))).alias("relation_reason"), (spans < F.count("*")).alias("same_span"))
 
 
@@ -111,19 +113,22 @@ def stray_batches(batches: DataFrame, decisions: DataFrame) -> DataFrame:
     """Sound batches (as batch_reasons gives them) that were answered with decisions on units they were not sent."""
     sound = batches.filter("batch_reason IS NULL")
     sent = sound.select(*BATCH, F.explode("candidate_ids").alias("candidate_id"))
-    return decisions.join(sound.select(*BATCH), BATCH, "left_semi").join(sent, [*BATCH, "candidate_id"], "left_anti").select(*BATCH).distinct()
+    # Few decisions are on units not sent, so these are what the sound batches are asked for.
+    return decisions.select(*BATCH, "candidate_id").join(sent, [*BATCH, "candidate_id"], "left_anti").select(*BATCH).distinct().join(sound.select(*BATCH), BATCH, "left_semi")
+
 
+def unit_records(units: DataFrame, batches: DataFrame, decisions: DataFrame, relations: DataFrame, stray: DataFrame | None = None) -> DataFrame:
+    """Each unit of the batches (as batch_reasons gives them) with the first reason against it, null if its decision is verified.
 
-def unit_records(units: DataFrame, batches: DataFrame, decisions: DataFrame, relations: DataFrame) -> DataFrame:
-    """Each unit of the batches (as batch_reasons gives them) with the first reason against it, null if its decision is verified."""
-    sent = batches.filter("candidate_ids IS NOT NULL").select(*BATCH, "batch_reason", F.explode("candidate_ids").alias("candidate_id"))
+    ``stray`` is what stray_batches gives, if that is at hand.
+    """
+    stray = (stray_batches(batches, decisions) if stray is None else stray).withColumn("_stray", F.lit(True))
+    sent = batches.filter("candidate_ids IS NOT NULL").join(stray, BATCH, "left").select(*BATCH, "batch_reason", "_stray", F.explode("candidate_ids").alias("candidate_id"))
     per_unit = decisions.groupBy(*BATCH, "candidate_id").agg(F.count("*").alias("_decisions"), F.max("document_sha256").alias("_sha"), F.max("page").alias("_page"), F.max("coverage").alias("_coverage"))
-    stray = stray_batches(batches, decisions).withColumn("_stray", F.lit(True))
     joined = (
-        sent.join(units.select(*UNIT, "document_sha256", "page", "capacity"), UNIT)
-        .join(per_unit, [*BATCH, "candidate_id"], "left")
-        .join(stray, BATCH, "left")
+        sent.join(per_unit, [*BATCH, "candidate_id"], "left")
         .join(relation_reasons(relations, units), [*BATCH, "candidate_id"], "left")
+        .join(units.select(*UNIT, "document_sha256", "page", "capacity"), UNIT)
     )
     reason = (
         F.when(F.col("batch_reason").isNotNull(), F.col("batch_reason"))
@@ -144,10 +149,12 @@ def adjudicated(headers: DataFrame, units: DataFrame, batches: DataFrame, respon
     """(records, headers): a row per unit with its reason, or null if verified, and a row per package with its counts.
 
     A package with a reason of its own has no verified unit. ``complete`` says that it has units and nothing speaks against any.
+    What several steps read is staged, so that its joins are done once.
     """
     whole = package_reasons(headers, units, batches)
-    transport = batch_reasons(batches, responses)
-    judged = unit_records(units, transport, decisions, relations)
+    transport = stage(batch_reasons(batches, responses), "transport")
+    stray = stage(stray_batches(transport, decisions), "stray")
+    judged = stage(unit_records(units, transport, decisions, relations, stray).select(*UNIT, "batch_id", "reason", "n_relations"), "judged")
     first = whole.select("package_id", F.col("reason").alias("_package"))
     # Without a reason against the package each of its units is in one batch.
     one = judged.groupBy(UNIT).agg(F.min("reason").alias("_reason"), F.max("n_relations").alias("_n"))
@@ -157,7 +164,7 @@ def adjudicated(headers: DataFrame, units: DataFrame, batches: DataFrame, respon
     of_units = records.groupBy("package_id").agg(F.count("*").alias("expected_units"), F.count_if(F.col("reason").isNull()).alias("verified_units"), F.collect_set("reason").alias("_of_units"))
     whole_batches = judged.groupBy(BATCH).agg(F.bool_and(F.col("reason").isNull()).alias("_all"))
     sound = F.col("batch_reason").isNull()
-    stray = stray_batches(transport, decisions).withColumn("_stray", F.lit("unknown_candidate"))
+    stray = stray.withColumn("_stray", F.lit("unknown_candidate"))
     of_batches = transport.join(whole_batches, BATCH, "left").join(stray, BATCH, "left").groupBy("package_id").agg(
         F.count_if(F.col("candidate_ids").isNotNull()).alias("expected_batches"), F.count_if(sound & F.coalesce("_all", F.lit(True))).alias("_batches"),
         F.sum("n_fragments").alias("expected_fragments"), F.sum(F.when(sound, F.col("n_fragments")).otherwise(0)).alias("_fragments"), F.array_union(F.collect_set("batch_reason"), F.collect_set("_stray")).alias("_of_batches"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import adjudication, alignment, authority, evaluation, fact_keys, facts, packages, pages
+from factloom.sources.staging import stage
 from factloom.sources.tables import table
 
 from .structural import VERSIONS_SQL, _versions
@@ -25,7 +26,7 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _adjudicated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    units = _units(spark, sf_dir)
+    units = stage(_units(spark, sf_dir), "units")
     p, b, m = F.col("package_id"), F.col("batch_id"), F.col("m")
     headers = units.select("package_id").distinct().select(
         p, (p % 13 == 0).alias("capacity_exceeded"), (p % 17 != 0).alias("packing_complete"), F.lit(10).alias("expected_pages"), F.when(p % 19 == 0, 9).otherwise(10).alias("covered_pages"), (p % 23 != 0).alias("metadata_complete")

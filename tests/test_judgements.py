@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.operators import adjudication, alignment, coverage, evaluation, fact_keys
+from factloom.sources import staging
 
 
 def test_ledger_units_own_each_mention_once(spark):
@@ -63,3 +64,24 @@ def test_composed_texts(spark):
     quotes = [(1, 1, "Technical merit is worth \uff17\uff10%.", True), (1, 2, "The award is based on best value.", True), (1, 3, "Price is worth 40%.", True), (1, 4, None, True)]
     done = evaluation.validated_rules(rules, spark.createDataFrame(quotes, "package_id int, rule_id int, evidence_quote string, verified boolean"))
     assert {r["rule_id"]: r["valid"] for r in done.collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_adjudication_does_its_joins_once(spark, monkeypatch):
+    """Units by line and batch: a stray decision, an answer in other order, a repeated span and spans without an end; what is read twice is staged."""
+    names = []
+    monkeypatch.setattr(adjudication, "stage", lambda df, name: names.append(name) or staging.stage(df, name))
+    units = spark.createDataFrame([(1, f"u{i}", "s", i, 2, 0, 2700, 0, 2950) for i in range(6)], "package_id int, candidate_id string, document_sha256 string, page int, capacity int, core_start int, core_end int, source_start int, source_end int")
+    headers = spark.createDataFrame([(1, False, True, 1, 1, True)], "package_id int, capacity_exceeded boolean, packing_complete boolean, expected_pages int, covered_pages int, metadata_complete boolean")
+    sent = {1: ["u0", "u1"], 2: ["u2", "u3"], 3: ["u4"], 4: ["u5"]}
+    batches = spark.createDataFrame([(1, b, ids, "d", ["f"], False) for b, ids in sent.items()], "package_id int, batch_id int, candidate_ids array<string>, ledger_digest string, fragment_ids array<string>, tainted boolean")
+    answers = spark.createDataFrame([(1, b, "d", ids[::-1] if b == 2 else ids, ["f"]) for b, ids in sent.items()], "package_id int, batch_id int, ledger_digest string, candidate_ids array<string>, fragment_ids array<string>")
+    decisions = spark.createDataFrame([(1, b, u, "s", int(u[1]), "relevant") for b, ids in sent.items() for u in ids] + [(1, 2, "u9", "s", 0, "relevant"), (1, 3, "u0", "s", 0, "relevant")], "package_id int, batch_id int, candidate_id string, document_sha256 string, page int, coverage string")
+    relation = lambda b, u, n, a: (1, b, u, n, a, a + 5, None, None, 0.9, "whole_bid", "required", "email")
+    relations = spark.createDataFrame([relation(1, "u0", 1, 0), relation(1, "u0", 2, 0), relation(1, "u1", 1, 0), relation(1, "u1", 2, 9)], "package_id int, batch_id int, candidate_id string, ordinal int, relation_start int, relation_end int, condition_start int, condition_end int, confidence double, subject_scope string, modality string, channel string")
+    records, summed = adjudication.adjudicated(headers, units, batches, answers, decisions, relations)
+    assert {r["candidate_id"]: (r["reason"], r["n_relations"]) for r in records.collect()} == {
+        "u0": ("overlap_disagreement", 0), "u1": (None, 2), "u2": ("batch_manifest_mismatch", 0), "u3": ("batch_manifest_mismatch", 0), "u4": ("unknown_candidate", 0), "u5": (None, 0)
+    }
+    (head,) = summed.collect()
+    assert (head["expected_units"], head["verified_units"], head["expected_batches"], head["verified_batches"], head["verified_fragments"], head["complete"]) == (6, 2, 4, 1, 3, False)
+    assert head["reasons"] == "batch_manifest_mismatch,overlap_disagreement,unknown_candidate" and set(names) == {"transport", "stray", "judged"}

@@ -47,9 +47,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
 
 
+def _tallied(left: DataFrame, right: DataFrame, group: str, item: str) -> DataFrame:
+    """Per group and item how often either side has it (_l, _r), by one aggregation of both; nulls of the sides are not the same item."""
+    side = lambda df, l, r: df.select(group, item, F.lit(l).alias("_a"), F.lit(r).alias("_b"))  # noqa: E731, E741
+    return side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(group, item).agg(F.sum("_a").alias("_l"), F.sum("_b").alias("_r")).withColumn("_keyed", F.col(group).isNotNull() & F.col(item).isNotNull())
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str, *children: tuple[DataFrame, str]) -> list[DataFrame]:
     """The rows whose key is not among ``gone``, and of each child table those that do not refer to one that is."""
-    ids = gone.select(key).distinct()
+    ids = gone.select(key)  # an anti join takes repeated keys as they are
     return [rows.join(ids, key, "left_anti"), *[child.join(ids.withColumnRenamed(key, ref), ref, "left_anti") for child, ref in children]]
 
 
@@ -69,9 +75,7 @@ def recovered_first(model: DataFrame, recovered: DataFrame, key: tuple[str, ...]
 
 def same_multisets(left: DataFrame, right: DataFrame, group: str, item: str) -> DataFrame:
     """Per group whether both sides list the same items, each once."""
-    count = lambda df, name: df.groupBy(group, item).agg(F.count("*").alias(name))
-    both = count(left, "_l").join(count(right, "_r"), [group, item], "full_outer")
-    return both.groupBy(group).agg(F.bool_and((F.coalesce("_l", F.lit(0)) == 1) & (F.coalesce("_r", F.lit(0)) == 1)).alias("same"))
+    return _tallied(left, right, group, item).groupBy(group).agg(F.bool_and(F.col("_keyed") & (F.col("_l") == 1) & (F.col("_r") == 1)).alias("same"))
 
 
 def ordered_union(rows: DataFrame, group: str, item: str, order: str) -> DataFrame:
@@ -122,8 +126,8 @@ def json_bytes(*cols: str) -> Column:
 
 def divided(expected: DataFrame, present: DataFrame, group: str, item: str) -> DataFrame:
     """Per group of ``expected``: whether all its items are present. Groups without expected items do not appear."""
-    have = present.select(group, item).distinct().withColumn("_have", F.lit(True))
-    return expected.select(group, item).distinct().join(have, [group, item], "left").groupBy(group).agg(F.count("*").alias("n_expected"), F.count_if(F.col("_have")).alias("n_present")).withColumn("complete", F.col("n_expected") == F.col("n_present"))
+    wanted = _tallied(expected, present, group, item).filter("_l > 0")
+    return wanted.groupBy(group).agg(F.count("*").alias("n_expected"), F.count_if(F.col("_keyed") & (F.col("_r") > 0)).alias("n_present")).withColumn("complete", F.col("n_expected") == F.col("n_present"))
 
 
 def reason_counts(rows: DataFrame, group: str, reason: Column, reasons: tuple[str, ...]) -> DataFrame:

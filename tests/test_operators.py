@@ -196,3 +196,22 @@ def test_wording_that_addresses_a_model_taints_its_batch(spark):
     rows = spark.createDataFrame([(i // 4, t) for i, t in enumerate(texts)], "batch int, text string")
     assert [r[0] for r in rows.select(coverage.injected(F.col("text"))).collect()] == [True, False, True, False, True, False, False, True]
     assert sorted(map(tuple, coverage.tainted_batches(rows, "batch").collect())) == [(0, 4, 2, True), (1, 4, 2, True)]
+
+
+def test_sides_are_tallied_by_one_aggregation(spark):
+    """Repeated rows, items of one side only, nulls on both sides; no join takes memory for sorting."""
+    left = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 1), (3, None), (4, 7), (None, 1), (6, 1)], "g int, i int")
+    right = spark.createDataFrame([(1, 2), (1, 1), (2, 1), (3, None), (5, 1), (None, 1), (6, 1), (6, 1)], "g int, i int")
+    same, divided = records.same_multisets(left, right, "g", "i"), records.divided(left, right, "g", "i")
+    assert {r["g"]: r["same"] for r in same.collect()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, None: False}
+    assert {r["g"]: (r["n_expected"], r["n_present"], r["complete"]) for r in divided.collect()} == {1: (2, 2, True), 2: (1, 1, True), 3: (1, 0, False), 4: (1, 0, False), 6: (1, 1, True), None: (1, 0, False)}
+    assert not any("Join" in df._jdf.queryExecution().executedPlan().toString() for df in (same, divided))
+
+
+def test_rows_that_are_gone_take_their_children_along(spark):
+    """Keys that are gone twice and null keys; the keys are not made distinct first."""
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    children = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "r int")
+    kept, left = records.without(rows, spark.createDataFrame([(2,), (2,), (None,)], "k int"), "k", (children, "r"))
+    assert sorted(r["k"] or 0 for r in kept.collect()) == [0, 1] and sorted(r["r"] or 0 for r in left.collect()) == [0, 1, 3]
+    assert not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in (kept, left))

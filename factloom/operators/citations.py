@@ -63,11 +63,12 @@ def verify_citations(candidates: DataFrame, pages: DataFrame, repair: bool = Tru
     ``page`` is null and ``method`` is manual_required unless exactly one page of the document qualifies. Candidates with a
     column ``only_page`` that is not null are looked for on that page alone, and not at all if it is NO_PAGE.
     """
-    quotes = candidates.select("candidate_id", "document_sha256", F.trim("evidence_quote").alias("_quote")).withColumn("_plain", normalised(F.col("_quote"), compose))
+    named = ["only_page"] if "only_page" in candidates.columns else []
+    quotes = candidates.select("candidate_id", "document_sha256", *named, F.trim("evidence_quote").alias("_quote")).withColumn("_plain", normalised(F.col("_quote"), compose))
     sides = pages.select("document_sha256", "page", F.col("text").alias("_text"), normalised(F.col("text"), compose).alias("_page"))
     pairs = quotes.filter("_quote != ''").join(sides, "document_sha256")
-    if "only_page" in candidates.columns:
-        pairs = pairs.join(candidates.select("candidate_id", "only_page"), "candidate_id").filter("only_page IS NULL OR only_page = page")
+    if named:
+        pairs = pairs.filter("only_page IS NULL OR only_page = page")
     pairs = pairs.withColumns({"exact": F.contains("_text", "_quote"), "plain": F.contains("_page", "_plain") & (F.length("_plain") >= LEAST_NORMALISED)})
     if repair:
         # A page that has the quote with words broken has it once all white space is gone; no other page's text reaches Python.

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import citations, coverage, extract, ledgers, materialize, packages, pages, records, runs, uploads
+from factloom.sources.staging import stage
 from factloom.sources.tables import pages_of_documents, table
 
 from .structural import CHUNKS_SQL, COSTS_SQL, SENTENCES_SQL, SHA, _chunks, _costs
@@ -422,11 +423,11 @@ Q_OFFSETS = f"WITH d AS (SELECT {SHA} AS document_sha256, coalesce(text, '') AS
 
 def q_citation_in_chunk(spark, sf_dir):
     """The first sentence of each document, with the chunk that it comes from: looked for on the page that alone has the chunk."""
-    chunks = _chunks(spark, sf_dir)
+    chunks = stage(_chunks(spark, sf_dir), "chunks")
     claims = extract.scope_claims(chunks).select("document_sha256", F.col("document_sha256").alias("candidate_id"), F.col("quote").alias("evidence_quote"), "ordinal")
-    asked = claims.join(chunks.select("document_sha256", "ordinal", "chunk_id"), ["document_sha256", "ordinal"])
+    asked = stage(claims.join(chunks.select("document_sha256", "ordinal", "chunk_id"), ["document_sha256", "ordinal"]), "asked")
     pages_ = chunks.select("document_sha256", F.col("ordinal").alias("page"), "text")
-    within = citations.restricted_to_chunks(asked, chunks, pages_)
+    within = stage(citations.restricted_to_chunks(asked, chunks, pages_), "within")
     return citations.verify_citations(within, pages_, repair=False, compose=False).select("candidate_id", "page", "method", "verified")
 
 

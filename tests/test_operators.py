@@ -215,3 +215,12 @@ def test_rows_that_are_gone_take_their_children_along(spark):
     kept, left = records.without(rows, spark.createDataFrame([(2,), (2,), (None,)], "k int"), "k", (children, "r"))
     assert sorted(r["k"] or 0 for r in kept.collect()) == [0, 1] and sorted(r["r"] or 0 for r in left.collect()) == [0, 1, 3]
     assert not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in (kept, left))
+
+
+def test_a_page_that_is_named_costs_no_join(spark):
+    """Candidates with only_page meet the pages once, and each is looked for on its own page."""
+    candidates = spark.createDataFrame([("a", "d", "the same words", 2), ("b", "d", "the same words", None), ("c", "d", "the same words", citations.NO_PAGE)], "candidate_id string, document_sha256 string, evidence_quote string, only_page int")
+    pages_ = spark.createDataFrame([("d", 1, "the same words"), ("d", 2, "the same words again")], "document_sha256 string, page int, text string")
+    found = citations.verify_citations(candidates, pages_, repair=False, compose=False)
+    assert {r["candidate_id"]: (r["page"], r["method"]) for r in found.collect()} == {"a": (2, "exact"), "b": (None, "manual_required"), "c": (None, "manual_required")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2

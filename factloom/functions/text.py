@@ -90,8 +90,10 @@ def topic_tokens(col: Column, compose: bool = True) -> Column:
 
 
 def question_tokens(col: Column, compose: bool = True) -> Column:
-    """The distinct runs of three or more ASCII letters and digits."""
-    return F.array_distinct(F.filter(F.split(normalised(col, compose), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
+    """The distinct runs of three or more ASCII letters and digits, in normalised form; what that does to spaces, dashes and quotes changes no run."""
+    col = nfkc(col) if compose else col
+    plain = F.lower(F.when(F.length(col) == F.octet_length(col), col).otherwise(F.regexp_replace(col, INVISIBLE, "")))
+    return F.array_distinct(F.filter(F.split(plain, "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
 
 
 def sentences(col: Column, least: int = 20, most: int = 450) -> Column:

@@ -23,7 +23,7 @@ BLOCKS, LEAST_UNITS = 24, 2_048
 #: The share of its units from which a word is frequent: with all words of its questions in mind, and with the rare ones.
 DENSE, FLAGGED = 32, 256
 #: Most questions that are judged at once in a cell, and most pairs of them with units.
-SLICE, PAIRS = 16_384, 2_000_000
+SLICE, PAIRS = 4_096, 262_144
 
 
 def answer_units(units: DataFrame) -> DataFrame:

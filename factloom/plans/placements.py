@@ -11,15 +11,19 @@ from factloom.sources.tables import table
 
 def q_layout_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with layout marks put in is a fragment, its lines as they were are the pages; each line without marks of its own is looked up."""
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("page", "text"))
-    even = F.col("page") % 2 == 0
-    marked = lines.withColumn("marked", F.when(even, F.concat(F.lit("## "), "text")).otherwise(F.concat(F.lit("**"), "text", F.lit("**"))))
-    earlier = F.sum(F.length("marked") + 1).over(Window.partitionBy("document").orderBy("page")) - F.length("marked") - 1
-    placed = marked.withColumn("start", (earlier + F.when(even, 3).otherwise(2)).cast("int"))
-    line = F.struct("page", "marked")
-    fragments = marked.groupBy("document").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["marked"]), "\n").alias("text")).withColumn("fragment_id", F.col("document"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    lines = docs.select("document", F.posexplode("lines").alias("page", "text"))
+    even = lambda page: page % 2 == 0
+    marked = F.transform("lines", lambda x, page: F.when(even(page), F.concat(F.lit("## "), x)).otherwise(F.concat(F.lit("**"), x, F.lit("**"))))
+    fragments = docs.repartition("document").select(F.col("document").alias("fragment_id"), "document", F.array_join(marked, "\n").alias("text"))
+    # Where a line starts is told by the lengths of those before it: no text is shuffled for that.
     plain = ~F.col("text").rlike(r"[#*_|`\\]") & (F.length("text") <= layout.LONGEST) & (F.trim("text") != "")
-    selectors = placed.filter(plain).select(F.concat_ws("-", "document", "page").alias("selector_id"), F.col("document").alias("fragment_id"), "start", (F.col("start") + F.length("text")).alias("end"))
+    sizes = lines.select("document", "page", F.length("text").alias("n"), plain.alias("plain"))
+    before = Window.partitionBy("document").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.sum(F.col("n") + F.when(even(F.col("page")), 4).otherwise(5)).over(before)
+    start = (F.coalesce(ends, F.lit(0)) + F.when(even(F.col("page")), 3).otherwise(2)).cast("int")
+    placed = sizes.withColumn("start", start).filter("plain")
+    selectors = placed.select(F.concat_ws("-", "document", "page").alias("selector_id"), F.col("document").alias("fragment_id"), "start", (F.col("start") + F.col("n")).alias("end"))
     found = layout.resolved_spans(selectors, fragments, lines)
     return found.select("selector_id", "n_places", "page", "start", F.sha2("quote", 256).alias("quote_sha256"))
 
